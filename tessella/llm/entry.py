@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate
+from tessella.llm import decontaminate, quality, sentencepieces
 
 
 def queries() -> dict:
-    return {"op10_decontamination": decontaminate.op10_decontamination}
+    return {
+        "op3_quality": quality.op3_quality,
+        "op9_sentencepieces": sentencepieces.op9_sentencepieces,
+        "op10_decontamination": decontaminate.op10_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
