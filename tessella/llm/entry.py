@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, quality, sentencepieces
+from tessella.llm import decontaminate, fingerprints, html_text, line_dedup, quality, sentencepieces, sharding, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_quality": quality.op3_quality,
+        "op4_html_text": html_text.op4_html_text,
+        "op5_sharding": sharding.op5_sharding,
+        "op7_fingerprints": fingerprints.op7_fingerprints,
+        "op8_token_counts": token_files.op8_token_counts,
         "op9_sentencepieces": sentencepieces.op9_sentencepieces,
         "op10_decontamination": decontaminate.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": decontaminate.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op10_decontamination": decontaminate.SQL}
