@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, fingerprints, html_text, line_dedup, quality, sentencepieces, sharding, token_files
+from tessella.llm import decontaminate, fingerprints, html_text, jaccard, line_dedup, quality, sentencepieces, sharding, token_files
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_quality": quality.op3_quality,
         "op4_html_text": html_text.op4_html_text,
         "op5_sharding": sharding.op5_sharding,
