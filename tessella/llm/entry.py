@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, fingerprints, html_text, jaccard, line_dedup, quality, sentencepieces, sharding, token_files
+from tessella.llm import decontaminate, fingerprints, html_text, jaccard, line_dedup, pseudonyms, quality, sentencepieces, sharding, token_files
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_html_text": html_text.op4_html_text,
         "op5_sharding": sharding.op5_sharding,
+        "op6_pseudonyms": pseudonyms.op6_pseudonyms,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_token_counts": token_files.op8_token_counts,
         "op9_sentencepieces": sentencepieces.op9_sentencepieces,
