@@ -1,11 +1,52 @@
-"""The queries that the driver runs, by name."""
+"""The queries that the driver runs, by name, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.plans import binding, catalog
+
+
+def run(name: str, tables: dict, **params) -> DataFrame:
+    """The plan ``name`` over the given tables (a dict of DataFrames)."""
+    plan = catalog.PLANS[name]
+    used = {t: tables[t] for t in set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", plan))}
+    spark = next(iter(used.values())).sparkSession
+    return spark.sql(plan, **used, **params)
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(name, binding.bound(spark, sf_dir))
+
+
+#: What each view is made of.
+NEEDS = {"messages": ["ev"], "sessions": ["messages"], "artifacts": ["messages"]}
+
+
+def with_views(plan: str) -> str:
+    """A plan as one DuckDB statement, the views that it uses in front."""
+    plan = catalog.to_duckdb(plan)
+    used: list[str] = []
+
+    def need(view: str) -> None:
+        for other in NEEDS.get(view, []):
+            need(other)
+        if view not in used:
+            used.append(view)
+
+    for view in sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", plan))):
+        need(view)
+    body = re.sub(r"(?<!\{)\{(\w+)\}(?!\})", lambda m: m[1], plan).replace("{{", "{").replace("}}", "}")
+    views = ", ".join(f"{v} AS ({binding.ORACLE[v]})" for v in used)
+    return f"WITH {views} SELECT * FROM ({body})" if "LIMIT" not in body[-12:] else f"WITH {views} {body}"
+
 
 def queries() -> dict:
-    return {}
+    return {f"q_{name}": _query(name) for name in catalog.PLANS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f"q_{name}": with_views(plan) for name, plan in catalog.PLANS.items()}
