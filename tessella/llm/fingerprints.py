@@ -23,6 +23,8 @@ FRACTION, FLOOR, WORDS = 8, 64, 3
 #: Hashes are signed: the lowest 1/FRACTION of the range ends here.
 LIMIT = -(2**63) + 2**64 // FRACTION
 TOP = 2**63 - 1
+#: Stands for a null doc_id in joins; it sorts first.
+NO_ID = -(2**63)
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -90,14 +92,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     last one is followed by the first.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("row_hash", F.xxhash64("text")).withColumn("n_chars", F.length("text").cast("long"))
-    order = previous(base.select("doc_id", "row_hash", "n_chars"))
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.row_hash") == F.col(f"{b}.row_hash"))
-    heads = base.alias("d").join(written(order, "order").alias("o"), same("d", "o")).select(
-        F.col("o.before.doc_id").alias("doc_id"), F.col("o.before.row_hash").alias("row_hash"), "text", F.floor(F.col("o.before.n_chars") / 4).cast("int").alias("n"))
-    heads = with_sketch(heads, "text", "next").select("doc_id", "row_hash", "next", F.expr("substring(text, 1, n)").alias("head"))
-    heads = heads.groupBy("doc_id", "row_hash").agg(F.first("next").alias("next"), F.first("head").alias("head"))
-    met = base.alias("d").join(heads.alias("h"), same("d", "h")).select("d.doc_id", "text", "n_chars", "next", "head")
+    base = base.withColumns({"row_hash": F.xxhash64("text"), "n_chars": F.length("text").cast("long"), "doc_key": F.coalesce("doc_id", F.lit(NO_ID))})
+    order = written(previous(base.select(F.col("doc_key").alias("doc_id"), "row_hash", "n_chars")).withColumnsRenamed({"doc_id": "doc_key"}), "order")
+    # Both joins read the same columns, so that texts are shuffled once for the two.
+    heads = base.join(order, ["doc_key", "row_hash"]).select(
+        F.col("before.doc_id").alias("doc_key"), F.col("before.row_hash").alias("row_hash"), F.when(F.col("doc_id").isNull() & (F.col("n_chars") < 0), "").otherwise(F.col("text")).alias("text"), F.floor(F.col("before.n_chars") / 4).cast("int").alias("n"))
+    heads = with_sketch(heads, "text", "next").select("doc_key", "row_hash", "next", F.expr("substring(text, 1, n)").alias("head"))
+    heads = heads.groupBy("doc_key", "row_hash").agg(F.first("next").alias("next"), F.first("head").alias("head"))
+    met = base.join(heads, ["doc_key", "row_hash"]).select("doc_id", "text", "n_chars", "next", "head")
     return met.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), "head")).drop("head")
 
 
