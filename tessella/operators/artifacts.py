@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Which tool makes which kind of artifact (fixed values).
-ARTIFACT_OF_TOOL = {"Read": "file_read", "Glob": "file_read", "Grep": "file_read", "Edit": "file_write", "NotebookEdit": "file_write", "Write": "file_create", "Bash": "command", "WebFetch": "api_call", "WebSearch": "api_call"}
-#: The argument that names its target.
-ARGUMENTS = ("file_path", "notebook_path", "path", "pattern", "command", "url", "query")
+#: Which tool makes which kind of artifact (fixed values); tools named mcp_... are api calls.
+ARTIFACT_OF_TOOL = {"Read": "file_read", "Glob": "file_read", "Grep": "file_read", "Edit": "file_write", "Write": "file_create", "Bash": "command"}
+#: The argument that names a tool's target (fixed values); Grep's is its pattern and path, an api call's the tool.
+ARGUMENT_OF_TOOL = {"Read": "file_path", "Glob": "pattern", "Edit": "file_path", "Write": "file_path", "Bash": "command"}
 ERROR = "error|Error|ERROR"
 
 
@@ -33,9 +33,12 @@ def extract_artifacts(messages: DataFrame) -> DataFrame:
     A narrow map: nothing is shuffled. Messages of a session have distinct
     sequence numbers, so the uniqueness of the four columns needs no aggregate.
     """
-    kind = F.element_at(F.create_map(*(F.lit(x) for pair in ARTIFACT_OF_TOOL.items() for x in pair)), F.col("tool_name"))
+    api = F.col("tool_name").startswith("mcp_")
+    lookup = lambda d: F.element_at(F.create_map(*(F.lit(x) for pair in d.items() for x in pair)), F.col("tool_name"))
+    kind = F.when(api, "api_call").otherwise(lookup(ARTIFACT_OF_TOOL))
     args = tool_arguments(F.col("content"))
-    target = F.coalesce(*(F.element_at(args, F.lit(a)) for a in ARGUMENTS))
+    searched = F.trim(F.concat_ws(" ", F.element_at(args, F.lit("pattern")), F.element_at(args, F.lit("path"))))
+    target = F.when(api, F.col("tool_name")).when(F.col("tool_name") == "Grep", searched).otherwise(F.element_at(args, lookup(ARGUMENT_OF_TOOL)))
     tools = messages.where("tool_name is not null").select("id", "session_id", kind.alias("artifact_type"), F.nullif(target, F.lit("")).alias("target"), "tool_name", "sequence", F.lit(None).cast("string").alias("context"))
     errors = messages.where("tool_name is null").select("id", "session_id", F.lit("error").alias("artifact_type"), error_text(F.col("content")).alias("target"), "tool_name", "sequence", F.col("content").alias("context"))
     return tools.unionByName(errors).where("artifact_type is not null and target is not null")

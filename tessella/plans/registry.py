@@ -45,8 +45,12 @@ def with_views(plan: str) -> str:
 
 
 def queries() -> dict:
-    return {f"q_{name}": _query(name) for name in catalog.PLANS}
+    from tessella.plans import extra
+
+    return {f"q_{name}": _query(name) for name in catalog.PLANS} | extra.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"q_{name}": with_views(plan) for name, plan in catalog.PLANS.items()}
+    from tessella.plans import extra
+
+    return {f"q_{name}": with_views(plan) for name, plan in catalog.PLANS.items()} | extra.ORACLES
