@@ -4,12 +4,11 @@ Two zstandard dictionaries are built, one from texts labelled good and one from
 texts labelled bad. A text is cut into blocks (all of it, no prefix); each block
 is compressed on its own with either dictionary, so that a long text keeps
 leaning on the dictionaries instead of on its own beginning. The difference of
-the compressed sizes over the raw size is the text's evidence, and a logistic
-curve fitted on labelled texts turns it into a probability.
+the compressed sizes, normalised by the raw size, is turned into a probability by
+a logistic curve fitted on labelled texts.
 
 Fitting takes a bounded sample of the labelled rows (``per_class`` rows for each
-label, chosen by a hash of the id, half for the dictionaries and half for the
-curve); scoring covers every row in one map without a shuffle.
+label, chosen by a hash of the id); scoring covers every row in one map without a shuffle.
 """
 
 from __future__ import annotations
@@ -40,20 +39,16 @@ SLICE = 256
 class Model:
     good: bytes
     bad: bytes
-    #: The logistic curve over the evidence; slope 0 means that a class had no sample and every text scores the prior.
-    slope: float
-    base: float
+    #: The logistic curve's weights; both 0 means that a class had no sample and every text scores the prior.
+    weights: tuple[float, float]
     #: Log-odds of a good text among the labelled ones.
     prior: float
 
     def score(self, text: bytes | None) -> float:
         """Probability of quality 1; null and empty texts get the prior."""
-        if not self.slope:
-            x = self.prior
-        else:
-            size = len(text or b"")
-            neutral = (self.prior - self.base) / self.slope
-            x = self.slope * (evidence(text, self.good, self.bad) * size + neutral * NEUTRAL) / (size + NEUTRAL) + self.base
+        x = self.prior
+        if any(self.weights):
+            x += sum(w * z for w, z in zip(self.weights, features(text, self.good, self.bad)))
         return 1 / (1 + math.exp(-x)) if x >= 0 else 1 - 1 / (1 + math.exp(x))
 
 
@@ -64,13 +59,14 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
 
 
-def evidence(text: bytes | None, good: bytes, bad: bytes) -> float:
-    """(size with the bad dictionary - size with the good one) / raw size; 0 for null and empty texts."""
+def features(text: bytes | None, good: bytes, bad: bytes) -> tuple[float, float]:
+    """(size with the bad dictionary - size with the good one) and raw size, both over the raw size and ``NEUTRAL``; zeros for null and empty texts."""
     if not text:
-        return 0.0
+        return 0.0, 0.0
     a, b = _compressor(good).compress, _compressor(bad).compress
     blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-    return sum(len(b(x)) - len(a(x)) for x in blocks) / len(text)
+    size = len(text) + NEUTRAL
+    return sum(len(b(x)) - len(a(x)) for x in blocks) / size, len(text) / size
 
 
 def dictionary_of(texts: list[bytes], size: int = DICTIONARY) -> bytes:
@@ -85,37 +81,39 @@ def dictionary_of(texts: list[bytes], size: int = DICTIONARY) -> bytes:
     return b"\n".join(parts)[-size:]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and base of the logistic curve of greatest likelihood, with a small penalty on the slope (Newton's method)."""
-    scale = float(x.std()) or 1.0
-    z = np.stack([x / scale, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
-    penalty = np.diag([1e-2, 1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+def fit_curve(z: np.ndarray, y: np.ndarray, offset: float) -> tuple[float, float]:
+    """Weights of the logistic curve of greatest likelihood through ``offset``, lightly held towards 0 (Newton's method)."""
+    scale = z.std(axis=0) + 1e-12
+    z, w, penalty = z / scale, np.zeros(2), np.eye(2) * 1e-2
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w + offset, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return tuple((w / scale).tolist())
 
 
 def fit(rows: list[tuple[int, bytes]], counts: dict[int, int]) -> Model:
-    """A model from (label, text) pairs, alternately for the dictionaries and for the curve.
+    """A model from (label, text) pairs.
 
-    ``counts`` are all labelled rows by label: the sample has as many rows of
-    either, so the curve is moved by the labels' true odds.
+    The curve is fitted on texts scored with dictionaries of the other half of
+    the sample; the model's dictionaries are built from all of it. ``counts`` are
+    all labelled rows by label: the sample has as many rows of either, so the
+    curve's offset is moved to the labels' true odds.
     """
     prior = math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
     by = {y: [t for label, t in rows if label == y and t] for y in (0, 1)}
-    n = {y: len(v) for y, v in by.items()}
-    if min(n.values()) < 2:
-        return Model(b"", b"", 0.0, 0.0, prior)
-    good, bad = dictionary_of(by[1][::2]), dictionary_of(by[0][::2])
-    held = [(evidence(t, good, bad), y) for y in (0, 1) for t in by[y][1::2]]
-    x, y = np.array([a for a, _ in held]), np.array([float(b) for _, b in held])
-    slope, base = fit_curve(x, y)
-    return Model(good, bad, slope, base + prior - math.log(y.sum() / (len(y) - y.sum())), prior)
+    if min(map(len, by.values())) < 4:
+        return Model(b"", b"", (0.0, 0.0), prior)
+    z, y = [], []
+    for half in (0, 1):
+        good, bad = dictionary_of(by[1][half::2]), dictionary_of(by[0][half::2])
+        for label, texts in by.items():
+            z += [features(t, good, bad) for t in texts[1 - half :: 2]]
+            y += [float(label)] * len(texts[1 - half :: 2])
+    weights = fit_curve(np.array(z), np.array(y), math.log(len(by[1]) / len(by[0])))
+    return Model(dictionary_of(by[1]), dictionary_of(by[0]), weights, prior)
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
