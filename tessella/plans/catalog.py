@@ -22,14 +22,13 @@ def total(column: str) -> str:
 
 WRITES = "('file_write', 'file_create')"
 #: Paths that do not count as files at risk, and texts that are no error messages (fixed values).
-NO_RISK = "w.target NOT LIKE '%/plans/%' AND w.target NOT LIKE '%/.loopwright/%' AND w.target NOT LIKE '%/node_modules/%'"
+NO_RISK = "w.target NOT LIKE '%/plans/%' AND w.target NOT LIKE '%/node_modules/%'"
 REAL_ERROR = "{a}target NOT LIKE '{{%' AND {a}target NOT LIKE '[%'"
 TOPICS = ("webhook", "deploy", "migration", "KYB", "KYC", "withdraw", "deposit", "balance", "wallet", "docker", "database", "test", "bug", "fix")
 CONCEPTS = (
     "authentication", "authorization", "database", "deployment", "docker", "testing", "api", "webhook", "migration", "caching", "logging", "monitoring", "security", "performance", "refactoring", "ci/cd",
     "frontend", "backend", "infrastructure", "configuration",
 )
-NEXT_STEP_WORDS = ("todo", "next", "remaining", "still need", "should", "plan", "follow up", "follow-up")
 GAP_SECONDS = 600
 
 
