@@ -15,3 +15,34 @@ def test_history(spark, data):
 
 def test_renderers():
     assert api.bar(0.5, 4) == "██░░" and api.short_number(1234) == "1.2K" and api.sparkline([0, 7]) == "▁█" and api.sparkline([]) == ""
+
+
+def test_reports(spark, data):
+    from tessella import reports
+
+    history = api.History(binding.bound(spark, data))
+    found = reports.similar_history(history, "repair the order webhook")
+    assert len(found["worktrees"]) == 5 and reports.similar_history(history, "a b")["errors"] == []
+    one = history.tables["cycles"].first()["worktree_id"]
+    assert "cycle" in reports.correction_brief(history, one)
+    assert reports.compared(history, "e1", "e2").count() >= 1 and "messages" in reports.monitor(history)
+
+
+def test_call_records_and_experiments(spark, tmp_path):
+    import json
+
+    from tessella.sources import calls
+
+    request = json.dumps({"model": "m", "system": [{"text": "Working directory: /x/shop"}], "messages": [1, 2]})
+    response = json.dumps({"usage": {"input_tokens": 1000, "output_tokens": 100}, "stop_reason": "end_turn", "content": [{"type": "tool_use", "name": "Read"}, {"type": "text", "text": "x"}]})
+    rows = calls.call_records(spark.createDataFrame([("1", "t", request, response), ("2", "t", "{", None)], "id string, timestamp string, request string, response string")).orderBy("id").collect()
+    r = rows[0]
+    assert (r["model"], r["message_count"], r["cost_estimate_usd"], r["tools_used"], r["project"], r["stop_reason"]) == ("m", 2, 0.0225, '["Read"]', "shop", "end_turn")
+    assert rows[1]["input_tokens"] == 0 and rows[1]["model"] is None
+    (tmp_path / "a.json").write_text(json.dumps({"experimentId": "e1", "task": "t", "enriched": {"status": "passed", "durationMs": 80, "correctionCycles": 2}, "baseline": {"status": "passed", "duration_ms": 100}}))
+    (tmp_path / "b.json").write_text(json.dumps({"experiment_id": "e2", "enriched_status": "failed", "baseline_status": "passed"}))
+    found = {r["experiment_id"]: r for r in calls.experiments(spark, str(tmp_path / "*.json")).collect()}
+    assert found["e1"]["outcome"] == "enriched_wins" and found["e1"]["duration_delta_pct"] == -20.0 and found["e1"]["enriched_cycles"] == 2
+    assert found["e2"]["outcome"] == "baseline_wins"
+    twice = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "key string, at int, v string")
+    assert calls.first_by_key(twice, "key", order="at").first()["v"] == "a" and calls.last_by_key(twice, "key", order="at").first()["v"] == "b"
