@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.shared import written
+from tessella.functions.shared import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
         jumped = hooked.join(jump, F.col("label") == F.col("at")).select("node", "old", F.least("label", "further").alias("label"))
         step = written(jumped, "labels")
-        labels = step.select("node", "label")
+        discard(labels)
+        labels = step
         if step.where("label != old").isEmpty():
-            return labels
+            discard(both)
+            return step.select("node", "label")

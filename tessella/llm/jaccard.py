@@ -16,12 +16,13 @@ documents share bring no one together.
 1. Common tokens are counted (any set of them gives right results; it is held
    to ``MOST_COMMON`` tokens, which is what is broadcast).
 2. Prefix tokens that two documents share make buckets; equal sets are one
-   member; buckets of the same members are one. Trees over small buckets find
-   pairs that the bound admits; large buckets are taken as joined (a star).
+   member; buckets of the same members are one. Trees over the members' points
+   find pairs that the bound admits.
 3. Components of these pairs are blocks: all links lie inside blocks. Each
-   member's set is shipped to its block, in tiles of ``2 * CHUNK`` members at
-   most where the block is larger, and trees there find and verify links. Links
-   that only confirm a known connection are skipped, not looked for.
+   member's set is shipped to its block, and trees there find and verify links.
+   Links that only confirm a known connection are skipped, not looked for.
+   Buckets and blocks too large for one task are dealt out in chunks, and every
+   two chunks meet in a tile.
 4. The components of the links are the result.
 """
 
@@ -36,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.shared import written
+from tessella.functions.shared import discard, written
 from tessella.llm.components import components
 
 #: A token is common if so many documents have it in their prefix, counted by task; at most so many are broadcast (8 bytes each).
-COMMON, MOST_COMMON = 200, 1_000_000
-#: Members of a bucket up to which a tree looks into it, members of a tile's side, points of a leaf.
-SMALL, CHUNK, LEAF = 64, 128, 16
+COMMON, MOST_COMMON = 50, 1_000_000
+#: Members of a chunk of a bucket (points) and of a block (sets), points of a leaf.
+POINTS, SETS, LEAF = 512, 128, 16
+#: Members of a tile's side in blocks of more than SETS members, and shingles of its first document times members that bound it.
+LEAST_TILE, TILE, TILE_SHINGLES = 32, 512, 1 << 21
 #: Ids up to which they are broadcast to fetch the texts of documents in blocks (16 bytes each).
 FEW_IDS = 500_000
 SLICE = 256
@@ -101,8 +104,8 @@ def prefix(s: np.ndarray, num: int, den: int, common: np.ndarray) -> np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """Coordinates of a set's point: a power of two near a fourth of its size."""
-    return 1 << min(10, max(5, (n // 4).bit_length()))
+    """Coordinates of a set's point: a power of two near an eighth of its size."""
+    return 1 << min(12, max(5, (n // 8).bit_length()))
 
 
 def counts(s: np.ndarray, groups: int) -> np.ndarray:
@@ -135,16 +138,21 @@ class CountTree:
         self._pack(order[:half])
         self._pack(order[half:])
 
-    def partners(self, q: int) -> np.ndarray:
-        """Members after q that the bound admits as linked to it."""
+    def partners(self, q: int, labels: np.ndarray | None = None) -> np.ndarray:
+        """Members after q that the bound admits as linked to it; with ``labels``, of other labels only."""
         point, size = self.points[q], self.sizes[q]
         low, high = least_share(size, self.num, self.den), size * self.den // self.num
-        boxes = (self.most >= low) & (self.least <= high)
-        boxes[boxes] = np.minimum(self.upper[boxes], point).sum(axis=1) >= needed(size, np.maximum(self.least[boxes], low), self.num, self.den)
-        if not boxes.any():
-            return np.empty(0, dtype=np.int64)
-        found = np.concatenate([self.leaves[i] for i in np.flatnonzero(boxes)])
-        found = found[found > q]
+        if len(self.leaves) == 1:
+            found = np.arange(q + 1, len(self.sizes))
+        else:
+            boxes = (self.most >= low) & (self.least <= high)
+            boxes[boxes] = np.minimum(self.upper[boxes], point).sum(axis=1) >= needed(size, np.maximum(self.least[boxes], low), self.num, self.den)
+            if not boxes.any():
+                return np.empty(0, dtype=np.int64)
+            found = np.concatenate([self.leaves[i] for i in np.flatnonzero(boxes)])
+            found = found[found > q]
+        if labels is not None:
+            found = found[labels[found] != labels[q]]
         n = self.sizes[found]
         found, n = found[(n >= low) & (n <= high)], n[(n >= low) & (n <= high)]
         return found[np.minimum(self.points[found], point).sum(axis=1) >= needed(size, n, self.num, self.den)]
@@ -168,31 +176,88 @@ class Forest:
         return a != b
 
 
-def admitted(points: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that the bound admits."""
-    groups = min(len(p) for p in points)
-    tree = CountTree(np.stack([folded(p, groups) for p in points]), sizes, num, den)
-    forest = Forest(len(sizes))
-    return [(q, int(x)) for q in range(len(sizes)) for x in tree.partners(q) if forest.join(q, int(x))]
+def point_of(s: np.ndarray) -> bytes:
+    """A set's point as bytes; none if a count is above 255 (then nothing bounds the set)."""
+    c = counts(s, groups_for(len(s)))
+    return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b""
+
+
+def admitted(points: list[bytes], sizes: np.ndarray, side: np.ndarray, cross: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that the bound admits; with ``cross``, of those between the two sides."""
+    bound = [i for i, p in enumerate(points) if p]
+    if len(bound) == len(points) == 2:
+        a, b = (np.frombuffer(p, dtype=np.uint8) for p in points)
+        small, large = sorted(sizes.tolist())
+        if (cross and side[0] == side[1]) or small < least_share(large, num, den):
+            return []
+        groups = min(len(a), len(b))
+        a, b = (x if len(x) == groups else folded(x.astype(np.int64), groups) for x in (a, b))
+        return [(0, 1)] if int(np.minimum(a, b).sum()) >= needed(small, large, num, den) else []
+    forest = Forest(len(points))
+    free = {i for i, p in enumerate(points) if not p}
+    out = [(i, j) for i in free for j in range(len(points)) if i != j and not (cross and side[i] == side[j]) and forest.join(i, j)]
+    # Linked sets' points have as many coordinates, or few times as many: each such class is folded to its own least number.
+    levels = sorted({len(points[i]) for i in bound})
+    for groups in levels:
+        own = [i for i in bound if groups <= len(points[i]) <= groups << ((den // num).bit_length())]
+        if len(own) > 1:
+            tree = CountTree(np.stack([folded(np.frombuffer(points[i], dtype=np.uint8).astype(np.int64), groups) for i in own]), sizes[own], num, den)
+            for q in range(len(own)):
+                out += [(own[q], own[x]) for x in tree.partners(q).tolist() if not (cross and side[own[q]] == side[own[x]]) and forest.join(own[q], own[x])]
+    return out
+
 
+def is_link(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return den * both >= num * (len(a) + len(b) - both)
 
-def linked(sets: list[np.ndarray], side: np.ndarray, cross: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with ``cross``, of those between the two sides."""
+
+def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets."""
     sizes = np.array([len(s) for s in sets])
-    groups = groups_for(int(np.median(sizes))) * 4
-    tree = CountTree(np.stack([counts(s, groups) for s in sets]), sizes, num, den)
-    forest, out = Forest(len(sets)), []
+    groups = groups_for(int(np.median(sizes)))
+    tree = CountTree(np.stack([counts(s, groups) for s in sets]).astype(np.int32), sizes, num, den)
+    labels, out = np.arange(len(sets)), []
     for q in range(len(sets)):
-        for x in tree.partners(q).tolist():
-            if (cross and side[q] == side[x]) or forest.root(q) == forest.root(x):
-                continue
-            both = len(np.intersect1d(sets[q], sets[x], assume_unique=True))
-            if den * both >= num * (len(sets[q]) + len(sets[x]) - both):
-                forest.join(q, x)
+        for x in tree.partners(q, labels).tolist():
+            if labels[q] != labels[x] and is_link(sets[q], sets[x], num, den):
+                labels[labels == labels[x]] = labels[q]
                 out.append((q, x))
     return out
 
 
+def linked_apart(hub: np.ndarray, apart: list[np.ndarray], side: np.ndarray, cross: bool, num: int, den: int, joined: np.ndarray) -> list[tuple[int, int]]:
+    """``linked`` for sets given by their differences from ``hub``.
+
+    Two sets differ by as much as their differences from the hub do. What a set
+    has more and what it lacks are counted apart, coarsely and then finely, and
+    the counts' distance is no more than the sets' own.
+    """
+    lacks = [np.isin(d, hub, assume_unique=True) for d in apart]
+    sizes = np.array([len(hub) + len(d) - 2 * int(x.sum()) for d, x in zip(apart, lacks)])
+    groups = 1 << min(11, max(6, int(np.median([len(d) for d in apart])).bit_length()))
+    fine = np.stack([np.concatenate([counts(d[~x], groups), counts(d[x], groups)]) for d, x in zip(apart, lacks)]).astype(np.int16)
+    coarse = fine.reshape(len(apart), 2, -1, 32).sum(axis=2).reshape(len(apart), -1).astype(np.int16)
+    labels, out = np.arange(len(apart)), []
+    if joined.any():
+        labels[joined] = labels[joined].min()
+    for q in range(len(apart) - 1):
+        rest = np.flatnonzero(labels[q + 1 :] != labels[q]) + q + 1
+        if cross:
+            rest = rest[side[rest] != side[q]]
+        most = sizes[rest] + sizes[q] - 2 * needed(sizes[q], sizes[rest], num, den)
+        for points in (coarse, fine):
+            near = np.abs(points[rest] - points[q]).sum(axis=1, dtype=np.int64) <= most
+            rest, most = rest[near], most[near]
+        for x, limit in zip(rest.tolist(), most.tolist()):
+            if labels[q] != labels[x]:
+                common = len(np.intersect1d(apart[q], apart[x], assume_unique=True))
+                if len(apart[q]) + len(apart[x]) - 2 * common <= limit:
+                    labels[labels == labels[x]] = labels[q]
+                    out.append((q, x))
+    return out
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Within, Arrow batches have at most so many rows."""
@@ -205,6 +270,13 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Rows as Python values, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield [batch.column(c)[k].as_py() for c in range(batch.num_columns)]
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, SLICE):
@@ -249,7 +321,7 @@ def features(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray
             tokens = [prefix(s, num, den, shared.value) for s in sets]
             offsets = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
             flat = np.concatenate(tokens).view(np.int64)
-            points = [counts(s, groups_for(len(s))).astype("<u2").tobytes() if len(s) < 1 << 16 else b"" for s in sets]
+            points = [point_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signed(set_key(s)) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(points, pa.binary())],
                 names=["doc_id", "n", "key", "tokens", "point"])
@@ -266,39 +338,37 @@ def candidate_edges(found: DataFrame, num: int, den: int) -> DataFrame:
     members = written(members, "members")
     buckets = members.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("all"), F.min("doc_id").alias("hub")).where("m > 1")
     buckets = written(buckets.groupBy("m", "all", "hub").agg(F.min("token").alias("token")).select("token", "m", "hub"), "buckets")
-    inside = members.join(buckets, "token")
-    stars = inside.where(F.col("m") > SMALL).where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-    points = found.where("n > 0").select("doc_id", "point")
-    small = inside.where(F.col("m") <= SMALL).join(points, "doc_id").dropDuplicates(["token", "doc_id"])
-    lists = small.groupBy("token").agg(F.collect_list(F.struct("doc_id", "n", "point")).alias("members"))  # SMALL at most
+    inside = members.join(buckets, "token").select("token", "doc_id", "key", "n", "m")
+    inside = inside.join(found.where("n > 0").select("doc_id", "key", "point"), ["doc_id", "key"]).dropDuplicates(["token", "doc_id", "key"])
+    tiles = tiled(inside, "token", POINTS, "n", "point")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            out = []
-            for bucket in part.column("members").to_pylist():
-                bucket.sort(key=lambda x: x["doc_id"])
-                ids = [x["doc_id"] for x in bucket]
-                free = [x["doc_id"] for x in bucket if not x["point"]]
-                out += [(min(f, i), max(f, i)) for f in free[:1] for i in ids if i != f]
-                bound = [x for x in bucket if x["point"]]
-                if len(bound) > 1:
-                    points = [np.frombuffer(x["point"], dtype="<u2").astype(np.int64) for x in bound]
-                    out += [(bound[i]["doc_id"], bound[j]["doc_id"]) for i, j in admitted(points, np.array([x["n"] for x in bound]), num, den)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+        for _, x, y, tile in rows_of(batches):
+            tile.sort(key=lambda m: (m["doc_id"], m["n"]))
+            found = admitted([m["point"] for m in tile], np.array([m["n"] for m in tile]), np.array([m["c"] for m in tile]), x != y, num, den)
+            if found:
+                yield pairs_of((tile[i]["doc_id"], tile[j]["doc_id"]) for i, j in found)
+
+    with batches_of(spark, 500):
+        out = written(tiles.mapInArrow(search, "a long, b long").where("a != b").dropDuplicates(), "candidates")
+    discard(shared, members, buckets)
+    return out
+
 
-    with batches_of(spark, 1000):
-        return written(stars.unionByName(lists.mapInArrow(search, "a long, b long")).dropDuplicates(), "candidates")
+def tiled(members: DataFrame, key: str, chunk: int, *columns: str) -> DataFrame:
+    """key, x, y, members: the members (doc_id, m: how many there are, and ``columns``) of a key by tiles of two chunks, or of one with itself."""
+    chunks = F.ceil(F.col("m") / chunk).cast("int")
+    dealt = members.withColumn("c", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    sides = (F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y"))
+    return dealt.groupBy(key, *sides).agg(F.collect_list(F.struct("doc_id", "c", *columns)).alias("members"))  # about 2 * chunk
 
 
 def block_links(docs: DataFrame, blocks: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that join what is linked inside each block of ``blocks`` (node, label)."""
     spark = docs.sparkSession
     sizes = written(blocks.groupBy("label").agg(F.count("*").alias("m")), "sizes")
-    ids = written(blocks.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", "m"), "blocks")
-    if ids.count() <= FEW_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, "doc_id")
+    table = written(blocks.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", "m"), "blocks")
+    texts = docs.join(F.broadcast(table) if table.count() <= FEW_IDS else table, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -306,23 +376,65 @@ def block_links(docs: DataFrame, blocks: DataFrame, width: int, num: int, den: i
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("m"), pa.array(found, pa.binary())], names=["doc_id", "label", "m", "s"])
 
     members = texts.select("doc_id", "label", "m", "text").mapInArrow(sets, "doc_id long, label long, m long, s binary")
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    dealt = members.withColumn("c", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    tiles = dealt.groupBy("label", F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y")).agg(F.collect_list(F.struct("doc_id", "c", "s")).alias("members"))  # about 2 * CHUNK
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            out = []
-            for x, y, tile in zip(*(part.column(c).to_pylist() for c in ("x", "y", "members"))):
-                tile = list({m["doc_id"]: m for m in sorted(tile, key=lambda m: (m["doc_id"], m["s"]))}.values())
-                if len(tile) > 1:
-                    found = linked([np.frombuffer(m["s"], dtype=np.uint64) for m in tile], np.array([m["c"] for m in tile]), x != y, num, den)
-                    out += [(tile[i]["doc_id"], tile[j]["doc_id"]) for i, j in found]
+    chunks = F.ceil(F.col("m") / SETS).cast("int")
+    own = F.array(F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
+    every = F.sequence(F.lit(0), chunks - 1)
+    dealt = members.withColumn("c", F.explode(F.when(F.col("doc_id") == F.col("label"), every).otherwise(own)))
+    once = dealt.groupBy("label", "c").agg(F.first("m").alias("m"), F.collect_list(F.struct("doc_id", "s")).alias("members"))  # about SETS
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for label, c, m, tile in rows_of(batches):
+            tile = distinct(tile)
+            held = [np.frombuffer(x["s"], dtype=np.uint64) for x in tile]
+            if m <= SETS:
+                out = [(tile[i]["doc_id"], tile[j]["doc_id"], None, None, None) for i, j in linked(held, num, den)]
+            else:
+                hub = next(s for x, s in zip(tile, held) if x["doc_id"] == label)
+                parts = -(-m // max(LEAST_TILE, min(TILE, TILE_SHINGLES // len(hub))))
+                out = [(label, label, parts, True, hub.tobytes())] if not c else []
+                for x, s in zip(tile, held):
+                    if x["doc_id"] != label:
+                        joined = is_link(s, hub, num, den)
+                        out.append((x["doc_id"], label, parts, joined, np.setxor1d(s, hub, assume_unique=True).tobytes()))
+                        out += [(x["doc_id"], label, None, None, None)] if joined else []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["a", "b", "parts", "joined", "s"])
+
+    with batches_of(spark, 16):
+        found = written(once.mapInArrow(inside, "a long, b long, parts int, joined boolean, s binary"), "links")
+    discard(sizes, table)
+    large = found.where("parts is not null")
+    if large.isEmpty():
+        return found.select("a", "b")
+    # Members of large blocks by what sets them apart from the block's first document, which comes to every tile.
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    large = large.withColumn("c", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    pair = F.explode(F.transform(every, lambda o: F.struct(F.least("c", o).alias("x"), F.greatest("c", o).alias("y"))))
+    apart = large.where("a != b").select("a", "b", "c", "joined", "s", pair.alias("t"))
+    pairs = F.explode(F.flatten(F.transform(every, lambda x: F.transform(F.sequence(x, F.col("parts") - 1), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
+    hubs = large.where("a = b").select("a", "b", F.lit(-1).alias("c"), "joined", "s", pairs.alias("t"))
+    tiles = apart.unionByName(hubs).groupBy("b", "t").agg(F.collect_list(F.struct(F.col("a").alias("doc_id"), "c", "joined", "s")).alias("members"))  # about 2 * TILE
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t, tile in rows_of(batches):
+            hub = next(np.frombuffer(x["s"], dtype=np.uint64) for x in tile if x["c"] < 0)
+            apart = [np.empty(0, dtype=np.uint64) if x["c"] < 0 else np.frombuffer(x["s"], dtype=np.uint64) for x in tile]
+            side, joined = np.array([x["c"] for x in tile]), np.array([x["joined"] for x in tile])
+            if found := linked_apart(hub, apart, side, t["x"] != t["y"], num, den, joined):
+                yield pairs_of((tile[i]["doc_id"], tile[j]["doc_id"]) for i, j in found)
+
+    with batches_of(spark, 16):
+        return found.where("parts is null").select("a", "b").unionByName(written(tiles.mapInArrow(between, "a long, b long"), "links"))
+
+
+def pairs_of(found) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
 
-    with batches_of(spark, 200):
-        return written(tiles.mapInArrow(verify, "a long, b long"), "links")
+def distinct(members: list[dict]) -> list[dict]:
+    """One member for each id: of rows that share it, that of the least set."""
+    return list({x["doc_id"]: x for x in sorted(members, key=lambda x: (x["doc_id"], x["s"]), reverse=True)}.values())
 
 
 def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -331,8 +443,9 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     Null and blank texts have no shingles and are their own component, whatever
     others there are. Rows with a null doc_id keep their shingle count and, as
     nothing can name them, get the component of an equal set that has an id, else
-    null. Rows that share a doc_id but not the text link by each text, and share
-    the id's component. Repeated rows stay; other columns are ignored.
+    null. Ids are taken to name one text: of rows that share an id but not the
+    text, one set is compared with near ones, and each row gets its own set's
+    component. Repeated rows stay; other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(features(base, width, num, den, common_tokens(base, width, num, den)), "features")
