@@ -31,7 +31,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group that similarities of 0.8 or more (five-word shingles) join.
 
-    Rows with a null id stay; of rows that share their id one stays for each text.
+    Rows with a null id stay; rows that share an id stay or go together.
     """
     groups = jaccard.jaccard_components(docs, 5, 80, 100).where("component_id != doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(groups, "doc_id", "left_anti").select(*COLUMNS)
