@@ -1,13 +1,14 @@
 """Main text of HTML pages by consensus on host paths.
 
-Each page scores its containers (text in paragraphs, less text in links), and
-votes for the generalised path of its best one: tag and first class of every
-element from the root, digits made alike. Votes are summed per host and path in
-Spark, and the path with most votes of a host is its consensus. Pages are then
-extracted again from the element on that path; a page that has none, or none
-with text, falls back on its own best container.
-
-Inside the chosen element, menus, headers, footers, sidebars, notices, adverts,
+Each page scores its containers (text in paragraphs, less text in links), widens
+the best one to the element that holds the other parts of its text too, and
+votes for that element's generalised path: tag and first class of every element
+from the root, digits made alike. Votes are summed per host and path in Spark,
+and the path with most votes of a host is its consensus. Pages are then
+extracted again from all elements on that path, with the heading before them; a
+page that has none, or none with text, falls back on its own best container.
+
+Inside the chosen elements, menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out.
 """
 
@@ -43,6 +44,8 @@ QUALIFIERS = frozenset("has with no is without hide show".split())
 CONTAINERS = frozenset("article main section div td body html blockquote center table".split())
 #: What a container gets of its own paragraphs' and of its children's paragraphs' text.
 OWN, CHILD, ARTICLE = 1.0, 0.5, 1.25
+#: Share of a container's text that a part of it may leave out and still stand for it; of the body's text.
+REST, BODY_REST = 0.05, 0.1
 SLICE = 64
 WORDS = re.compile(r"[a-z]+")
 
@@ -150,23 +153,85 @@ class Page:
                 out[up] = out.get(up, 0.0) + CHILD * n
         return out
 
+    def prose(self) -> list[int]:
+        """Of each element, the characters outside links in those of its blocks that are not mostly links."""
+        plain: dict[int, int] = {}
+        for _, block, text, link in self.texts:
+            n = len(text.strip())
+            plain[block] = plain.get(block, 0) + (-n if link else n)
+        out = [0] * len(self.tag)
+        for element, block, text, link in self.texts:
+            if not link and plain[block] > 0:
+                out[element] += len(text.strip())
+        return self._summed(out)
+
+    def _summed(self, own: list[int]) -> list[int]:
+        """Of each element, the sum over itself and all that it holds."""
+        for element in range(len(own) - 1, 0, -1):
+            own[self.parent[element]] += own[element]
+        return own
+
+    def _filled(self) -> list[int]:
+        """Of each element, how many of its texts are not blank."""
+        out = [0] * len(self.tag)
+        for element, _, text, _ in self.texts:
+            out[element] += bool(text.strip())
+        return self._summed(out)
+
     def best(self) -> int:
-        """The container of the greatest score, the first of equals; the whole page if none scores."""
+        """The container of the greatest score, the first of equals, widened to its text's other parts; the whole page if none scores."""
         scores = self.scores()
         top = min(scores, key=lambda e: (-scores[e], e), default=0)
-        return top if scores.get(top, 0) > 0 else 0
-
-    def on_path(self, path: str) -> int | None:
-        """The best element on a path that has text."""
-        scores = self.scores()
-        found = [e for e in range(1, len(self.tag)) if not self.out[e] and self.path[e] == path and self.text(e)] if path else []
-        return min(found, key=lambda e: (-scores.get(e, 0.0), e), default=None)
-
-    def text(self, element: int) -> str:
-        """Blocks of an element in page order, white space made one space."""
+        return self._widened(top) if scores.get(top, 0) > 0 else 0
+
+    def _widened(self, element: int) -> int:
+        """The container around an element that holds the parts beside it: up to its article or main, and where more than a rest is outside."""
+        prose, up = self.prose(), self.parent[element]
+        while up > 0 and self.tag[element] not in ("article", "main"):
+            if self.tag[up] in CONTAINERS:
+                outer = self.tag[up] in ("body", "html")
+                part = self.tag[element] in ("section", "blockquote") and not outer
+                if part or self.tag[up] in ("article", "main") or prose[up] - prose[element] > (BODY_REST if outer else REST) * prose[up]:
+                    element = up
+            up = self.parent[up]
+        return element
+
+    def on_path(self, path: str) -> list[int]:
+        """The elements on a path that have text; only the best one where all are mostly links."""
+        filled = self._filled() if path else []
+        found = [e for e in range(1, len(filled)) if not self.out[e] and self.path[e] == path and filled[e]]
+        prose = self.prose() if len(found) > 1 else []
+        if len(found) > 1 and not any(prose[e] for e in found):
+            scores = self.scores()
+            return [min(found, key=lambda e: (-scores.get(e, 0.0), e))]
+        return [e for e in found if prose[e]] if len(found) > 1 else found
+
+    def main(self, path: str | None) -> str:
+        """The page's main text: of the elements on the path, or else of those on its best container's own path."""
+        elements = self.on_path(path or "")
+        if not elements:
+            top = self.best()
+            elements = self.on_path(self.path[top]) or [top]
+        return self.text(self._heading(elements) + elements)
+
+    def _heading(self, elements: list[int]) -> list[int]:
+        """The heading before elements that hold none: the last h1, or else the last h2 beside them or around them."""
+        first, filled = elements[0], self._filled()
+        inside = {self.tag[e] for x in elements for e in range(x, self.end[x])}
+        for level in ("h1", "h2"):
+            found = [e for e in range(1, first) if self.tag[e] == level and not self.out[e] and filled[e]]
+            if level == "h2":
+                found = [e for e in found if first < self.end[self.parent[e]]]
+            if level in inside or found:
+                return [] if level in inside else found[-1:]
+        return []
+
+    def text(self, elements: list[int]) -> str:
+        """Blocks of elements in page order, white space made one space."""
         blocks: dict[int, list[str]] = {}
+        held = {e for x in elements for e in range(x, self.end[x])}
         for e, block, text, _ in self.texts:
-            if element <= e < self.end[element]:
+            if e in held:
                 blocks.setdefault(block, []).append(text)
         return " ".join(t for parts in blocks.values() if (t := " ".join("".join(parts).split())))
 
@@ -214,9 +279,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 part = batch.slice(k, SLICE)
                 texts = []
                 for source, path in zip(part.column("html").to_pylist(), part.column("path").to_pylist()):
-                    page = Page(source or "")
-                    element = page.on_path(path) if path else None
-                    texts.append(page.text(page.best() if element is None else element))
+                    texts.append(Page(source or "").main(path))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), part.column("path")], names=["page_id", "url", "text", "path"])
 
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -180,6 +180,19 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_in_parts(spark):
+    say = lambda word, n: f"{word} " * n
+    sections = lambda a, b: f"<body><nav><a href=x>Menu</a></nav><article><h1>A heading of thirty letters or so</h1><section class=a><p>{say('one', a)}</section><section class=b><p>{say('two', b)}</section></article><div class=footer>F</div>"
+    parts = f"<body><h1>Title</h1><div class=text><p>{say('one', 90)}</div><ul><li><a href=x>Link</a></ul><div class=text><p>{say('two', 3)}</div>"
+    cells = f"<body><table><tr><td><p>{say('one', 90)}</td><td><a href=x>Link</a></td></tr><tr><td><p>{say('two', 60)}</td></tr></table>"
+    rows = [(1, "http://s.org/1", sections(150, 100)), (2, "http://s.org/2", sections(300, 2)), (3, "http://s.org/3", sections(100, 100)), (4, "http://p.org/1", parts), (5, "http://t.org/1", cells)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for page, a, b in ((1, 150, 100), (2, 300, 2), (3, 100, 100)):
+        assert found[page] == f"A heading of thirty letters or so {say('one', a)}{say('two', b)}".strip()
+    assert found[4] == f"Title {say('one', 90)}{say('two', 3)}".strip()
+    assert found[5].split().count("one") == 90 and found[5].split().count("two") == 60
+
+
 def test_sharding(spark):
     rows = [(i, "t" * (i % 50)) for i in range(3000)] + [(None, None), (None, ""), (7, "again"), (7, "again")]
     found = sharding.assigned(table(spark, rows), 40).collect()
