@@ -9,7 +9,9 @@ extracted again from all elements on that path, with the heading before them; a
 page that has none, or none with text, falls back on its own best container.
 
 Inside the chosen elements, menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are left out.
+forms, scripts, styles and reader comments are left out. A class that only begins
+or ends with such a word marks what to leave out where it holds a minor part of
+the page's text; a page with nothing else has the largest of what was left out.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ NOISE = frozenset(
     "related recommended recommendation share sharing social toolbar pagination pager complementary contentinfo".split()
 )
 QUALIFIERS = frozenset("has with no is without hide show".split())
+#: Words that make a known form with a noise word, like ``comment-list``.
+FORMS = frozenset("list area section box container wrapper wrap block thread item items inner holder slot unit link links".split())
+#: Share of the page's text outside links from which elements of one path are not noise by a class that only begins or ends with a noise word.
+MAJOR = 0.25
 CONTAINERS = frozenset("article main section div td body html blockquote center table".split())
 #: What a container gets of its own paragraphs' and of its children's paragraphs' text.
 OWN, CHILD, ARTICLE = 1.0, 0.5, 1.25
@@ -58,7 +64,11 @@ class Page:
         self.tag, self.path, self.parent, self.end, self.out = ["#page"], [""], [-1], [0], [False]
         #: (element, block number, text, inside a link)
         self.texts: list[tuple[int, int, str, bool]] = []
+        #: Elements that their class, id or role marks as noise: whether by a whole word or known form.
+        self.noise: dict[int, bool] = {}
         self._read(source)
+        if self.noise:
+            self._leave_out()
 
     def _close(self, stack: list[int], depth: int) -> None:
         while len(stack) > depth:
@@ -116,24 +126,70 @@ class Page:
                 return
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
-        cls, noise = "", False
+        cls, noise = "", 0
         for name, *values in CLASS.findall(attributes):
             value = (values[0] or values[1] or values[2]).lower()
             if name.lower() == "class":
                 cls = re.sub(r"\d+", "#", value.split()[0]) if value.split() else ""
-            noise |= any(self._noisy(WORDS.findall(token)) for token in value.split())
+            noise = max([noise, *(self._noisy(WORDS.findall(token)) for token in value.split())])
         up = stack[-1]
         stack.append(len(self.tag))
         self.tag.append(tag)
         self.path.append(f"{self.path[up]}/{tag}{'.' * bool(cls)}{cls}")
         self.parent.append(up)
         self.end.append(0)
-        self.out.append(self.out[up] or tag in SKIPPED or (noise and tag not in ("html", "body", "article", "main")))
+        self.out.append(self.out[up] or tag in SKIPPED)
+        if noise and not self.out[-1] and tag not in ("html", "body", "article", "main"):
+            self.noise[stack[-1]] = noise == 2
 
     @staticmethod
-    def _noisy(words: list[str]) -> bool:
-        """Whether a class, like ``site-footer`` but not ``with-sidebar``, names something to leave out."""
-        return bool(words) and words[0] not in QUALIFIERS and (words[0] in NOISE or words[-1] in NOISE)
+    def _noisy(words: list[str]) -> int:
+        """Whether a class, like ``site-footer`` but not ``with-sidebar``, names something to leave out: 2 if all its words do or are of a known form, 1 if its first or last does."""
+        if not words or words[0] in QUALIFIERS or not (words[0] in NOISE or words[-1] in NOISE):
+            return 0
+        return 2 if all(w in NOISE or w in FORMS for w in words) else 1
+
+    def _leave_out(self) -> None:
+        """Drops the texts of noise."""
+        sure = self._marked({e for e, whole in self.noise.items() if whole})
+        size = self._summed(self._own(sure))
+        shares: dict[str, int] = {}
+        for e, whole in self.noise.items():
+            if not whole and not sure[e]:
+                shares[self.path[e]] = shares.get(self.path[e], 0) + size[e]
+        minor = lambda e: sure[e] or not shares[self.path[e]] or shares[self.path[e]] < MAJOR * size[0]
+        noise = {e for e in self.noise if minor(e)}
+        out = self._marked(noise)
+        if noise and not any(self._own(out)):
+            # Of each noise element, what is in no other one inside it.
+            nearest, own = list(range(len(self.tag))), dict.fromkeys(noise, 0)
+            for e in range(1, len(nearest)):
+                nearest[e] = e if e in noise else nearest[self.parent[e]]
+            for e, n in enumerate(self._own([not x for x in out])):
+                if n:
+                    own[nearest[e]] += n
+            largest = min(own, key=lambda e: (-own[e], e))
+            if own[largest] > sum(len(text.strip()) for e, _, text, _ in self.texts if not out[e]):
+                while largest > 0:
+                    noise.discard(largest)
+                    largest = self.parent[largest]
+                out = self._marked(noise)
+        self.out = [a or b for a, b in zip(self.out, out)]
+        self.texts = [x for x in self.texts if not out[x[0]]]
+
+    def _own(self, out: list[bool]) -> list[int]:
+        """Of each element, the characters of its own texts outside links; 0 for those in ``out``."""
+        own = [0] * len(self.tag)
+        for e, _, text, link in self.texts:
+            own[e] += 0 if link or out[e] else len(text.strip())
+        return own
+
+    def _marked(self, elements: set[int]) -> list[bool]:
+        """Of each element, whether it is one of ``elements`` or in one."""
+        out = [False] * len(self.tag)
+        for e in range(1, len(out)):
+            out[e] = e in elements or out[self.parent[e]]
+        return out
 
     def scores(self) -> dict[int, float]:
         """Containers and their scores."""

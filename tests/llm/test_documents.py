@@ -193,6 +193,20 @@ def test_html_in_parts(spark):
     assert found[5].split().count("one") == 90 and found[5].split().count("two") == 60
 
 
+def test_html_in_containers_named_like_noise():
+    body = "A paragraph of the article that is long enough to be its main text. " * 5
+    text = lambda source: html_text.Page(source).main(None)
+    for name in ("post category-advertising", "tag-social", "share-enabled", "side-by-side", "search-results"):
+        page = f'<body><nav><a href=x>Menu</a></nav><div class="{name}"><p>{body}</p><div class="share-buttons">Share it</div></div><div class="page-footer">Small print</div></body>'
+        assert text(page) == body.strip(), name
+        parts = f'<body><div class=all>{"".join(f"""<div class="{name}"><p>{i} {body}</p></div>""" for i in range(8))}</div></body>'
+        assert text(parts).count("its main text") == 40, name
+    # Whole words and known forms stay noise, also where they hold most text; the largest is taken where nothing else is left.
+    assert text(f'<body><div class=post><p>Short article.</p></div><div class="comment-list"><p>{body}</p></div></body>') == "Short article."
+    assert text(f'<body><ul><li><a href=x>Link</a></ul><div class="promo"><p>{body}</p></div><div class="cookie-notice">C</div></body>') == body.strip()
+    assert text('<body><div class="site-nav"><a href=x>Menu</a></div><p>Text.</p></body>') == "Text."
+
+
 def test_sharding(spark):
     rows = [(i, "t" * (i % 50)) for i in range(3000)] + [(None, None), (None, ""), (7, "again"), (7, "again")]
     found = sharding.assigned(table(spark, rows), 40).collect()
