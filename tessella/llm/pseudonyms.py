@@ -15,6 +15,9 @@ addresses are permuted as pairs of 16-bit numbers, dates as a pair of numbers
 modulo 200 and 365 (the day in a period of 73,000 days); a card's last digit
 follows from the others.
 
+Numbers that may be cards are tried first, at every group of digits and in every
+length that ends with a group; those that pass the check are looked for by name.
+
 Built of DataFrame functions only. One regular expression cuts a text into
 alternating gaps and values; values are changed inside the row and joined up
 again, so nothing is shuffled and no text leaves its task.
@@ -31,11 +34,15 @@ KINDS = {
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "card": r"(?:(?<![\w.-])|(?<=\d-))\d(?:[ -]?\d){12,18}(?!\w|-(?!\d))",
     "phone": r"(?<![\w])\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ghp_|sk-|xox[abp]-)[A-Za-z0-9-]{12,}|[0-9a-f]{32,128})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ghp_|sk-|xox[abp]-)[A-Za-z0-9-]{12,}|[0-9a-fA-F]{32,128})(?![A-Za-z0-9])",
 }
-PATTERN = "|".join(KINDS.values())
+#: All kinds but cards, which each text adds itself.
+PATTERN = "|".join(p for k, p in KINDS.items() if k != "card")
+#: Where a card may begin and end; 13 to 19 digits from there and the next two characters.
+BEGIN, END = r"(?:(?<![\w.-])|(?<=\d-))", r"(?!\w|-(?!\d))"
+CANDIDATE = rf"(?s){BEGIN}(?=(\d(?:[ -]?\d){{12,18}}.{{0,2}}))"
 ROUNDS = 8
 KEY = "tessella"
 #: Days of a period of dates (200 * 365), and its first day.
@@ -105,6 +112,16 @@ def card(value: Column, key: str) -> Column:
     return F.when(valid, F.concat(body, gap, check.cast("string")))
 
 
+def cards(text: Column) -> Column:
+    """The card numbers outside a text's other values that pass their check, longest first."""
+    digits = lambda v: F.regexp_replace(v, "[^0-9]", "")
+    of_length = lambda w: F.array(*(F.regexp_extract(w, rf"^(\d(?:[ -]?\d){{{n - 1}}}){END}", 1) for n in range(19, 12, -1)))
+    rest = F.when(text.rlike(r"\d(?:[ -]?\d){12}"), F.regexp_replace(text, PATTERN, ";")).otherwise(F.lit(""))
+    tried = F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(CANDIDATE), F.lit(1)), of_length))
+    valid = F.array_distinct(F.filter(tried, lambda v: (v != "") & (luhn_sum(digits(v), False) % 10 == 0)))
+    return F.transform(F.sort_array(F.transform(valid, lambda v: F.struct(F.length(digits(v)).alias("n"), v.alias("v"))), asc=False), lambda x: x["v"])
+
+
 def address(value: Column, key: str) -> Column:
     """An IPv4 address for an address; null if a part is above 255."""
     parts = F.transform(F.split(value, "\\."), lambda x: x.cast("long"))
@@ -139,7 +156,11 @@ def pseudonym(value: Column, key: str) -> Column:
     mail = F.concat(permuted(F.regexp_extract(value, r"^([^@]*)@", 1), key, "mail name"), F.lit("@"), permuted(F.regexp_extract(value, r"@(.*)\.[^.]*$", 1), key, "mail host"), F.regexp_extract(value, r"(\.[^.]*)$", 1))
     number = lambda kind: permuted(value, key, kind)
     prefix = F.regexp_extract(value, r"^(AKIA|ghp_|sk-|xox[abp]-|)", 1)
-    secret = F.concat(prefix, permuted(F.regexp_extract(value, r"^(?:AKIA|ghp_|sk-|xox[abp]-|)(.*)$", 1), key, "secret", value.rlike("^[0-9a-f]+$")))
+    # Upper-case hexadecimal keys get the pseudonym of the lower-case ones, in upper case; mixed ones keep each letter's case.
+    upper = value.rlike("^[0-9A-F]*[A-F][0-9A-F]*$")
+    body = F.regexp_extract(F.when(upper, F.lower(value)).otherwise(value), r"^(?:AKIA|ghp_|sk-|xox[abp]-|)(.*)$", 1)
+    secret = F.concat(prefix, permuted(body, key, "secret", upper | value.rlike("^[0-9a-f]+$")))
+    secret = F.when(upper, F.upper(secret)).otherwise(secret)
     ssn = ~value.rlike("^(?:000|666|9)|-00-|-0000$")
     out = F.when(value.contains("@"), mail).when(whole("date"), slashed(date(value, key))).when(whole("ssn"), F.when(ssn, number("ssn")))
     out = out.when(whole("ip"), address(value, key)).when(whole("phone"), number("phone")).when(whole("card"), card(value, key)).otherwise(secret)
@@ -162,11 +183,14 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     base = docs.drop("n_private")
     names = base.columns
-    cut = base.withColumn("_values", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({PATTERN})"), F.lit(1)))
+    cut = base.withColumn("_cards", cards(F.coalesce("text", F.lit(""))))
+    named = F.concat(F.lit(f"{PATTERN}|{BEGIN}(?:"), F.array_join("_cards", "|"), F.lit(f"){END}"))
+    cut = cut.withColumn("_pattern", F.when(F.size("_cards") > 0, named).otherwise(F.lit(PATTERN)))
+    cut = cut.withColumn("_values", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.concat(F.lit("("), F.col("_pattern"), F.lit(")")), F.lit(1)))
     some = F.size("_values") > 0
     new = F.transform("_values", lambda v: pseudonym(v, key))
     cut = cut.withColumn("_new", F.when(some, new).otherwise(F.array().cast("array<string>")))
-    gaps = F.split("text", PATTERN, -1)
+    gaps = F.split("text", F.col("_pattern"), -1)
     joined = F.array_join(F.zip_with(gaps, F.col("_new"), lambda g, v: F.concat(F.coalesce(g, F.lit("")), F.coalesce(v, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with("_values", "_new", lambda a, b: a != b), lambda x: x)).cast("long")
     out = cut.withColumns({"text": F.when(some, joined).otherwise(F.col("text")), "n_private": changed})

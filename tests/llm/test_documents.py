@@ -252,6 +252,21 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(table(spark, [])).count() == 0
 
 
+def test_pseudonyms_beside_other_digits(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, "4417 7442 8035 1547 12/27"), (2, "4417744280351547 123"), (3, "4417-7442-8035-1547-123"), (4, "no 12 4417 7442 8035 1547."), (5, "378282246310005 4417 7442 8035 1547"), (6, "4417744280351547"), (7, "1234 123-45-6789 x"), (8, f'TOKEN = "{secret.upper()}"'), (9, f'token = "{secret}"'), (10, f'token = "{secret[:20].upper()}{secret[20:]}"'), (11, "4417744280351548 123")]
+    by = {r["doc_id"]: r for r in pseudonyms.pseudonymised(table(spark, rows)).collect()}
+    new = by[6]["text"]
+    assert new != rows[5][1] and by[2]["text"] == f"{new} 123"
+    assert re.fullmatch(r"(\d{4} ){4}12/27", by[1]["text"]) and by[1]["text"][:19] != "4417 7442 8035 1547"
+    assert re.fullmatch(r"(\d{4}-){4}123", by[3]["text"]) and "4417-7442" not in by[3]["text"] and by[3]["n_private"] == 1
+    assert re.fullmatch(r"no 12 (\d{4} ){3}\d{4}\.", by[4]["text"]) and "4417 7442" not in by[4]["text"]
+    assert by[5]["n_private"] == 2 and "378282246310005" not in by[5]["text"] and "8035 1547" not in by[5]["text"]
+    assert re.fullmatch(r"1234 \d{3}-\d{2}-\d{4} x", by[7]["text"]) and "123-45-6789" not in by[7]["text"]
+    assert by[8]["text"] == by[9]["text"].upper() != rows[7][1] and by[10]["n_private"] == 1
+    assert by[11]["text"] == rows[10][1] and by[11]["n_private"] == 0
+
+
 def test_pseudonyms_are_a_permutation(spark):
     values = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert {r[0] for r in values.select(pseudonyms.permuted(F.col("v"), "k", "test")).collect()} == {f"{i:03d}" for i in range(1000)}
