@@ -8,7 +8,7 @@ the compressed sizes, normalised by the raw size, is turned into a probability b
 a logistic curve fitted on labelled texts.
 
 Fitting takes a bounded sample of the labelled rows (``per_class`` rows for each
-label, chosen by a hash of the id); scoring covers every row in one map without a shuffle.
+label, chosen by a hash of the id; of a long text a piece from a hashed place); scoring covers every row in one map without a shuffle.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 BLOCK, DICTIONARY, LEVEL = 128, 256 * 1024, 3
 #: Bytes of neutral text that every text is taken to have besides its own, so that very short ones stay near the prior.
 NEUTRAL = 100
-#: Rows a label in the sample, and the longest text in it.
+#: Rows a label in the sample, and the longest piece of a text in it.
 PER_CLASS, SAMPLE_CHARS = 1500, 16_000
 THRESHOLD = 0.3
 SLICE = 256
@@ -117,14 +117,20 @@ def fit(rows: list[tuple[int, bytes]], counts: dict[int, int]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
-    """Up to ``per_class`` labelled texts of each label, chosen by a hash of the id, and all rows by label; none held out."""
+    """Up to ``per_class`` labelled texts of each label, chosen by a hash of the id, and all rows by label; none held out.
+
+    A text of over ``SAMPLE_CHARS`` characters gives as many from a hashed place.
+    """
     free = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & free & F.col("quality").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     picked = [known.where(f"quality = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most 2 * per_class rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    over = F.length("text") - SAMPLE_CHARS
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(over, F.lit(0)) + 1).cast("int") + 1
+    texts = texts.withColumn("text", F.when(over > 0, F.substring("text", place, F.lit(SAMPLE_CHARS))).otherwise(F.col("text")))
     rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return [(r["quality"], r["text"].encode()) for r in rows], counts

@@ -168,6 +168,16 @@ def test_quality_edges(spark):
     assert quality.Model(b"", b"", (0.0, 0.0), 0.0).score(b"x") == 0.5
 
 
+def test_quality_of_long_texts(spark):
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{(i * 7 + k) % 90}" for k in range(4000))) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    picked, counts = quality.sample(table(spark, rows), labels)
+    assert len(picked) == sum(counts.values()) > 20 and {len(t) for _, t in picked} == {quality.SAMPLE_CHARS}
+    assert all(any(t.decode() in x for _, x in rows) for _, t in picked)
+    model = quality.fit(picked, counts)
+    assert any(model.weights) and model.score(rows[1][1].encode()) > 0.5 > model.score(rows[0][1].encode())
+
+
 def test_html(spark):
     page = '<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><nav><a href=x>Menu</a></nav><header>Site</header><div class="content post-17"><h1>Head &amp; more</h1><p>First <b>bold</b>ly&nbsp; and\n on. It is a long paragraph of text.<br>After<p>Second one is also long enough.</p><div class="ad-box">Buy</div><form>F</form><aside>A</aside><script>var a="</p>";</script><!-- c --><div id="comments"><p>Reader says a lot of things here, more than all the others did, and more, and more.</p></div></div><div class="cookie-notice">C</div><footer>F</footer>'
     other = page.replace("post-17", "post-4").replace("First", "Other")
