@@ -9,28 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder.
+
+    Where none is configured, a local master gets one of its own (tests); on a
+    cluster that is an error, as executors would not see the driver's folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` gave, once nothing reads them any more."""
     for df in tables:
         if path := getattr(df, "written_to", None):
-            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(session.sessionState().newHadoopConf()).delete(place, True)
+            remove(df.sparkSession, path)
