@@ -13,23 +13,26 @@ prefixes, that is of the first ``n - ceil(t n) + 1`` tokens in an order common t
 all. Common tokens come last in that order, so that passages which many
 documents share bring no one together.
 
-1. Common tokens are counted (any set of them gives right results; it is held
-   to ``MOST_COMMON`` tokens, which is what is broadcast).
-2. Prefix tokens that two documents share make buckets; equal sets are one
-   member; buckets of the same members are one. Trees over the members' points
-   find pairs that the bound admits.
+What is joined are sets, named by 128 bits; equal sets are one node.
+
+1. Common tokens are counted (any set of them gives right results).
+2. Prefix tokens that two sets share make buckets; buckets of the same members
+   are one. Trees over the members' points find pairs that the bound admits. A
+   bucket adds no more edges than it has members less one: each chunk of a large
+   bucket joins its own members first, and only the boxes of what it joined meet
+   those of other chunks. Few of the tokens are taken first; buckets all of whose
+   members these have joined are not looked at again.
 3. Components of these pairs are blocks: all links lie inside blocks. Each
    member's set is shipped to its block, and trees there find and verify links.
-   Links that only confirm a known connection are skipped, not looked for.
-   Buckets and blocks too large for one task are dealt out in chunks, and every
-   two chunks meet in a tile.
-4. The components of the links are the result.
+   Links that only confirm a known connection are skipped, not looked for. In
+   large blocks, members are compared with one of them, the hub; those linked to
+   it need not meet each other, only those that are not.
+4. The components of the links, and of sets that share a doc_id, are the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +43,20 @@ from pyspark.sql import functions as F
 from tessella.functions.shared import discard, written
 from tessella.llm.components import components
 
-#: A token is common if so many documents have it in their prefix, counted by task; at most so many are broadcast (8 bytes each).
+#: A token is common if so many documents have it in their prefix, counted by task. Of common tokens the most frequent are
+#: taken, as many as this broadcast table holds (8 bytes each); the others keep their places in the order, which costs
+#: larger buckets, never links.
 COMMON, MOST_COMMON = 50, 1_000_000
+#: One of so many tokens is taken first.
+FIRST_OF = 8
 #: Members of a chunk of a bucket (points) and of a block (sets), points of a leaf.
 POINTS, SETS, LEAF = 512, 128, 16
-#: Members of a tile's side in blocks of more than SETS members, and shingles of its first document times members that bound it.
+#: Members of a tile's side in blocks of more than SETS members, and shingles of its hub times members that bound it.
 LEAST_TILE, TILE, TILE_SHINGLES = 32, 512, 1 << 21
-#: Ids up to which they are broadcast to fetch the texts of documents in blocks (16 bytes each).
-FEW_IDS = 500_000
+#: Sets in blocks up to which their names are broadcast to fetch their texts (about 100 bytes each).
+FEW_NODES = 200_000
+#: Names and edges that a task remembers, so as not to pass them on twice.
+REMEMBERED = 500_000
 SLICE = 256
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -74,13 +83,9 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def set_key(s: np.ndarray) -> int:
-    """A 64-bit name of a set, equal for equal sets."""
-    return int(np.bitwise_xor.reduce(mixed(s))) ^ int((s * M1).sum()) ^ (len(s) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-
-
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def set_key(s: np.ndarray) -> bytes:
+    """A 128-bit name of a set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def least_share(n: int | np.ndarray, num: int, den: int):
@@ -158,53 +163,74 @@ class CountTree:
         return found[np.minimum(self.points[found], point).sum(axis=1) >= needed(size, n, self.num, self.den)]
 
 
-class Forest:
-    """Sets of members joined so far."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def point_of(s: np.ndarray) -> bytes:
     """A set's point as bytes; none if a count is above 255 (then nothing bounds the set)."""
     c = counts(s, groups_for(len(s)))
     return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b""
 
 
-def admitted(points: list[bytes], sizes: np.ndarray, side: np.ndarray, cross: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that the bound admits; with ``cross``, of those between the two sides."""
+def admitted(points: list[bytes], sizes: np.ndarray, labels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """``labels`` (members' places, equal where they are joined already) after joining all pairs that the bound admits: the least of each part."""
     bound = [i for i, p in enumerate(points) if p]
-    if len(bound) == len(points) == 2:
+    if len(bound) < len(points):  # an unbounded set may be linked with any
+        return np.full(len(points), labels.min()) if len(points) > 1 else labels
+    if len(points) == 2:
         a, b = (np.frombuffer(p, dtype=np.uint8) for p in points)
         small, large = sorted(sizes.tolist())
-        if (cross and side[0] == side[1]) or small < least_share(large, num, den):
-            return []
+        if labels[0] == labels[1] or small < least_share(large, num, den):
+            return labels
         groups = min(len(a), len(b))
         a, b = (x if len(x) == groups else folded(x.astype(np.int64), groups) for x in (a, b))
-        return [(0, 1)] if int(np.minimum(a, b).sum()) >= needed(small, large, num, den) else []
-    forest = Forest(len(points))
-    free = {i for i, p in enumerate(points) if not p}
-    out = [(i, j) for i in free for j in range(len(points)) if i != j and not (cross and side[i] == side[j]) and forest.join(i, j)]
+        return np.full(2, labels.min()) if int(np.minimum(a, b).sum()) >= needed(small, large, num, den) else labels
+    labels = labels.copy()
     # Linked sets' points have as many coordinates, or few times as many: each such class is folded to its own least number.
-    levels = sorted({len(points[i]) for i in bound})
-    for groups in levels:
-        own = [i for i in bound if groups <= len(points[i]) <= groups << ((den // num).bit_length())]
-        if len(own) > 1:
-            tree = CountTree(np.stack([folded(np.frombuffer(points[i], dtype=np.uint8).astype(np.int64), groups) for i in own]), sizes[own], num, den)
-            for q in range(len(own)):
-                out += [(own[q], own[x]) for x in tree.partners(q).tolist() if not (cross and side[own[q]] == side[own[x]]) and forest.join(own[q], own[x])]
-    return out
+    for groups in sorted({len(points[i]) for i in bound}):
+        own = np.array([i for i in bound if groups <= len(points[i]) <= groups << ((den // num).bit_length())])
+        if len(own) < 2 or (labels[own] == labels[own[0]]).all():
+            continue
+        tree = CountTree(np.stack([folded(np.frombuffer(points[i], dtype=np.uint8).astype(np.int64), groups) for i in own]), sizes[own], num, den)
+        for q in range(len(own)):
+            found = tree.partners(q, labels[own])
+            if len(found):
+                parts = np.unique(labels[own[np.append(found, q)]])
+                labels[np.isin(labels, parts)] = parts[0]
+                if (labels[own] == labels[own[0]]).all():
+                    break
+    return labels
+
+
+def box_of(points: list[bytes], sizes: np.ndarray) -> tuple[bytes, int, int]:
+    """Upper corner of points (32-bit counts, in the least of their numbers of groups; none if one is unbounded), least and greatest size."""
+    if not all(points):
+        return b"", int(sizes.min()), int(sizes.max())
+    groups = min(map(len, points))
+    upper = np.max([folded(np.frombuffer(p, dtype=np.uint8).astype(np.int32), groups) for p in points], axis=0)
+    return upper.astype(np.int32).tobytes(), int(sizes.min()), int(sizes.max())
+
+
+def boxes_admitted(uppers: list[bytes], low: np.ndarray, high: np.ndarray, labels: np.ndarray, side: np.ndarray, cross: bool, num: int, den: int) -> np.ndarray:
+    """``labels`` after joining boxes between which the bound admits a pair; with ``cross``, only boxes of different sides meet."""
+    labels = labels.copy()
+    free = np.array([not u for u in uppers])
+    groups = np.array([len(u) // 4 or 1 << 30 for u in uppers])
+    points = {g: np.stack([folded(np.frombuffer(u, dtype=np.int32).astype(np.int64), g) if len(u) >= 4 * g else np.zeros(g, dtype=np.int64) for u in uppers]) for g in sorted(set(groups.tolist()) - {1 << 30})}
+    for q in range(len(uppers) - 1):
+        rest = np.arange(q + 1, len(uppers))
+        rest = rest[(labels[rest] != labels[q]) & ((side[rest] != side[q]) | (not cross))]
+        fit = (high[rest] >= least_share(low[q], num, den)) & (high[q] >= least_share(low[rest], num, den))
+        rest, near = rest[fit], []
+        for g in np.unique(np.minimum(groups[rest], groups[q])).tolist():
+            own = rest[np.minimum(groups[rest], groups[q]) == g]
+            if g == 1 << 30:
+                near.append(own)
+                continue
+            bound = np.minimum(points[g][own], points[g][q]).sum(axis=1)
+            near.append(own[(bound >= needed(low[q], low[own], num, den)) | free[own] | free[q]])
+        found = np.concatenate(near) if near else rest
+        if len(found):
+            parts = np.unique(labels[np.append(found, q)])
+            labels[np.isin(labels, parts)] = parts[0]
+    return labels
 
 
 def is_link(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -226,22 +252,22 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def linked_apart(hub: np.ndarray, apart: list[np.ndarray], side: np.ndarray, cross: bool, num: int, den: int, joined: np.ndarray) -> list[tuple[int, int]]:
-    """``linked`` for sets given by their differences from ``hub``.
+def linked_apart(more: list[np.ndarray], less: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, cross: bool, num: int, den: int, joined: np.ndarray) -> list[tuple[int, int]]:
+    """``linked`` for sets given by what they have more than their hub and what they lack of it; with ``cross``, between the two sides.
 
     Two sets differ by as much as their differences from the hub do. What a set
     has more and what it lacks are counted apart, coarsely and then finely, and
-    the counts' distance is no more than the sets' own.
+    the counts' distance is no more than the sets' own. Those ``joined`` (to the
+    hub) are of one label from the beginning.
     """
-    lacks = [np.isin(d, hub, assume_unique=True) for d in apart]
-    sizes = np.array([len(hub) + len(d) - 2 * int(x.sum()) for d, x in zip(apart, lacks)])
-    groups = 1 << min(11, max(6, int(np.median([len(d) for d in apart])).bit_length()))
-    fine = np.stack([np.concatenate([counts(d[~x], groups), counts(d[x], groups)]) for d, x in zip(apart, lacks)]).astype(np.int16)
-    coarse = fine.reshape(len(apart), 2, -1, 32).sum(axis=2).reshape(len(apart), -1).astype(np.int16)
-    labels, out = np.arange(len(apart)), []
+    groups = 1 << min(11, max(6, int(np.median([len(m) + len(x) for m, x in zip(more, less)])).bit_length()))
+    fine = np.stack([np.concatenate([counts(m, groups), counts(x, groups)]) for m, x in zip(more, less)]).astype(np.int16)
+    coarse = fine.reshape(len(more), 2, -1, 32).sum(axis=2).reshape(len(more), -1).astype(np.int16)
+    labels, out = np.arange(len(more)), []
     if joined.any():
         labels[joined] = labels[joined].min()
-    for q in range(len(apart) - 1):
+    differ = lambda a, b: len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
+    for q in range(len(more) - 1):
         rest = np.flatnonzero(labels[q + 1 :] != labels[q]) + q + 1
         if cross:
             rest = rest[side[rest] != side[q]]
@@ -250,28 +276,14 @@ def linked_apart(hub: np.ndarray, apart: list[np.ndarray], side: np.ndarray, cro
             near = np.abs(points[rest] - points[q]).sum(axis=1, dtype=np.int64) <= most
             rest, most = rest[near], most[near]
         for x, limit in zip(rest.tolist(), most.tolist()):
-            if labels[q] != labels[x]:
-                common = len(np.intersect1d(apart[q], apart[x], assume_unique=True))
-                if len(apart[q]) + len(apart[x]) - 2 * common <= limit:
-                    labels[labels == labels[x]] = labels[q]
-                    out.append((q, x))
+            if labels[q] != labels[x] and differ(more[q], more[x]) + differ(less[q], less[x]) <= limit:
+                labels[labels == labels[x]] = labels[q]
+                out.append((q, x))
     return out
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Within, Arrow batches have at most so many rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """Rows as Python values, one at a time."""
+    """Rows as Python values, one at a time; Spark bounds the bytes of a batch."""
     for batch in batches:
         for k in range(batch.num_rows):
             yield [batch.column(c)[k].as_py() for c in range(batch.num_columns)]
@@ -312,150 +324,235 @@ def common_tokens(docs: DataFrame, width: int, num: int, den: int) -> np.ndarray
 
 
 def features(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, key (of the set), tokens (prefix) and point of each row."""
+    """doc_id, row_hash (of the text), n, node (the set's name) of each row; tokens (prefix) and point where ``first``: once for each node and task."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
+    fields = ["doc_id", "row_hash", "n", "node", "tokens", "point", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part in slices(batches):
             sets = [shingles(t, width) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            tokens = [prefix(s, num, den, shared.value) for s in sets]
+            nodes, first = [set_key(s) for s in sets], []
+            for node in nodes:
+                first.append(node not in seen)
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(node)
+            none = np.empty(0, dtype=np.uint64)
+            tokens = [prefix(s, num, den, shared.value) if f else none for s, f in zip(sets, first)]
             offsets = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
             flat = np.concatenate(tokens).view(np.int64)
-            points = [point_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signed(set_key(s)) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(points, pa.binary())],
-                names=["doc_id", "n", "key", "tokens", "point"])
+            points = [point_of(s) if f else None for s, f in zip(sets, first)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            columns = [part.column("doc_id"), part.column("row_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), lists, pa.array(points, pa.binary()), pa.array(first)]
+            yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, tokens array<long>, point binary")
+    return docs.select("doc_id", "row_hash", "text").mapInArrow(run, "doc_id long, row_hash long, n long, node binary, tokens array<long>, point binary, first boolean")
 
 
-def candidate_edges(found: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) between documents, one for each set, whose components hold all links between different sets."""
-    spark = found.sparkSession
-    rows = found.where("n > 0 and doc_id is not null").select("doc_id", "key", "n", F.explode("tokens").alias("token"))
-    shared = written(rows.groupBy("token").count().where("count > 1").select("token"), "tokens")
-    members = rows.join(shared, "token").groupBy("token", "key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    members = written(members, "members")
-    buckets = members.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("all"), F.min("doc_id").alias("hub")).where("m > 1")
+EDGE = [("a", pa.binary()), ("b", pa.binary())]
+CLUSTER = [("token", pa.int64()), ("root", pa.binary()), ("upper", pa.binary()), ("low", pa.int64()), ("high", pa.int64())]
+
+
+def batch_of(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+
+class Once:
+    """Says of edges whether a task passes them on for the first time, as far as it remembers."""
+
+    def __init__(self):
+        self.seen: set[tuple[bytes, bytes]] = set()
+
+    def __call__(self, edge: tuple[bytes, bytes]) -> bool:
+        if edge in self.seen:
+            return False
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        self.seen.add(edge)
+        return True
+
+
+def bucket_edges(members: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between labels whose components hold all links inside the buckets of ``members`` (token, node, n, label).
+
+    ``points``: node, point. Of buckets that have the same members one is taken, and none whose members have one label.
+    """
+    label = F.coalesce("label", "node")
+    sums = (F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("all"), F.min("node").alias("hub"), (F.min(label) != F.max(label)).alias("open"))
+    buckets = members.groupBy("token").agg(*sums).where("m > 1 and open")
     buckets = written(buckets.groupBy("m", "all", "hub").agg(F.min("token").alias("token")).select("token", "m", "hub"), "buckets")
-    inside = members.join(buckets, "token").select("token", "doc_id", "key", "n", "m")
-    inside = inside.join(found.where("n > 0").select("doc_id", "key", "point"), ["doc_id", "key"]).dropDuplicates(["token", "doc_id", "key"])
-    tiles = tiled(inside, "token", POINTS, "n", "point")
+    inside = written(members.join(buckets, "token").select("token", "node", "n", label.alias("label"), "m", "hub"), "inside")
+    held = points.join(inside.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("point").alias("point"))
+    chunks = F.ceil(F.col("m") / POINTS).cast("int")
+    # The hub goes to every chunk, so that what is joined to it has one root throughout.
+    own = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))
+    dealt = inside.join(held, "node").select("token", F.explode(own).alias("c"), chunks.alias("k"), F.struct("node", "n", "label", "point").alias("member"))
+    chunked = dealt.groupBy("token", "c").agg(F.first("k").alias("k"), F.collect_list("member").alias("members"))  # about POINTS members
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, x, y, tile in rows_of(batches):
-            tile.sort(key=lambda m: (m["doc_id"], m["n"]))
-            found = admitted([m["point"] for m in tile], np.array([m["n"] for m in tile]), np.array([m["c"] for m in tile]), x != y, num, den)
-            if found:
-                yield pairs_of((tile[i]["doc_id"], tile[j]["doc_id"]) for i, j in found)
-
-    with batches_of(spark, 500):
-        out = written(tiles.mapInArrow(search, "a long, b long").where("a != b").dropDuplicates(), "candidates")
-    discard(shared, members, buckets)
+        new = Once()
+        for token, _, k, chunk in rows_of(batches):
+            chunk.sort(key=lambda m: m["node"])
+            names = [m["label"] for m in chunk]
+            place: dict[bytes, int] = {}
+            labels = np.array([place.setdefault(x, i) for i, x in enumerate(names)])
+            points, sizes = [m["point"] for m in chunk], np.array([m["n"] for m in chunk])
+            labels = admitted(points, sizes, labels, num, den)
+            rows = [(*e, None, None, None, None, None) for i, x in enumerate(labels.tolist()) if names[i] != names[x] and new(e := (names[i], names[x]))]
+            if k > 1:
+                for x in np.unique(labels).tolist():
+                    part = np.flatnonzero(labels == x)
+                    rows.append((None, None, token, names[x], *box_of([points[i] for i in part], sizes[part])))
+            if rows:
+                yield batch_of(rows, EDGE + CLUSTER)
+
+    found = written(chunked.mapInArrow(search, "a binary, b binary, token long, root binary, upper binary, low long, high long"), "forests")
+    clusters = found.where("token is not null").select("token", "root", "upper", "low", "high")
+    several = clusters.groupBy("token").agg(F.count("*").alias("m"), (F.min("root") != F.max("root")).alias("open")).where("open").select("token", "m")
+    chunks = F.ceil(F.col("m") / POINTS).cast("int")
+    dealt = clusters.join(several, "token").withColumn("c", F.pmod(F.xxhash64("root", "low", "high"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    tiles = dealt.groupBy("token", F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y")).agg(F.collect_list(F.struct("root", "upper", "low", "high", "c")).alias("boxes"))  # about 2 * POINTS boxes
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = Once()
+        for _, x, y, boxes in rows_of(batches):
+            boxes.sort(key=lambda m: (m["root"], m["c"]))
+            place: dict[bytes, int] = {}
+            labels = np.array([place.setdefault(m["root"], i) for i, m in enumerate(boxes)])
+            low, high, side = (np.array([m[c] for m in boxes]) for c in ("low", "high", "c"))
+            labels = boxes_admitted([m["upper"] for m in boxes], low, high, labels, side, x != y, num, den)
+            edges = [e for i, x in enumerate(labels.tolist()) if boxes[i]["root"] != boxes[x]["root"] and new(e := (boxes[i]["root"], boxes[x]["root"]))]
+            if edges:
+                yield batch_of(edges, EDGE)
+
+    edges = found.where("a is not null").select("a", "b").unionByName(tiles.mapInArrow(meet, "a binary, b binary"))
+    out = written(edges.dropDuplicates(), "candidates")
+    discard(buckets, inside, found)
+    return out
+
+
+def candidate_blocks(found: DataFrame, num: int, den: int) -> DataFrame:
+    """node, label: the blocks; all links between different sets lie inside one."""
+    once = found.where("n > 0 and first")
+    rows = once.select("node", "n", F.explode("tokens").alias("token"))
+    shared = written(rows.groupBy("token").count().where("count > 1").select("token"), "tokens")
+    members = written(rows.join(shared, "token").groupBy("token", "node").agg(F.first("n").alias("n")), "members")
+    is_first = F.pmod(F.xxhash64("token"), F.lit(FIRST_OF)) == 0
+    points = once.select("node", "point")
+    first_edges = bucket_edges(members.where(is_first).withColumn("label", F.col("node")), points, num, den)
+    first = components(first_edges)
+    rest = members.where(~is_first).join(first, "node", "left")
+    edges = bucket_edges(rest.select("token", "node", "n", "label"), points, num, den)
+    out = components(edges.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    discard(shared, members, first_edges, first, edges)
     return out
 
 
-def tiled(members: DataFrame, key: str, chunk: int, *columns: str) -> DataFrame:
-    """key, x, y, members: the members (doc_id, m: how many there are, and ``columns``) of a key by tiles of two chunks, or of one with itself."""
-    chunks = F.ceil(F.col("m") / chunk).cast("int")
-    dealt = members.withColumn("c", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    sides = (F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y"))
-    return dealt.groupBy(key, *sides).agg(F.collect_list(F.struct("doc_id", "c", *columns)).alias("members"))  # about 2 * chunk
+LINK = [*EDGE, ("tile", pa.int32()), ("joined", pa.bool_()), ("n", pa.int64()), ("more", pa.binary()), ("less", pa.binary())]
 
 
-def block_links(docs: DataFrame, blocks: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def block_links(docs: DataFrame, found: DataFrame, blocks: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that join what is linked inside each block of ``blocks`` (node, label)."""
-    spark = docs.sparkSession
-    sizes = written(blocks.groupBy("label").agg(F.count("*").alias("m")), "sizes")
-    table = written(blocks.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", "m"), "blocks")
-    texts = docs.join(F.broadcast(table) if table.count() <= FEW_IDS else table, "doc_id")
+    sizes = blocks.groupBy("label").agg(F.count("*").alias("m"))
+    texts_at = found.where("first").groupBy("node").agg(F.min(F.struct("row_hash", "doc_id")).alias("at"))
+    table = written(blocks.join(sizes, "label").join(texts_at, "node").select("node", "label", "m", F.col("at.row_hash").alias("at_hash"), F.col("at.doc_id").alias("at_id")), "blocks")
+    same = (F.col("row_hash") == F.col("at_hash")) & F.col("doc_id").eqNullSafe(F.col("at_id"))
+    texts = docs.join(F.broadcast(table) if table.count() <= FEW_NODES else table, same)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part in slices(batches):
-            found = [shingles(t, width).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("m"), pa.array(found, pa.binary())], names=["doc_id", "label", "m", "s"])
-
-    members = texts.select("doc_id", "label", "m", "text").mapInArrow(sets, "doc_id long, label long, m long, s binary")
+            rows = []
+            for node, label, m, text in zip(*(part.column(c).to_pylist() for c in ("node", "label", "m")), part.column("text").cast(pa.binary()).to_pylist()):
+                if node not in seen:
+                    s = shingles(text, width)
+                    if set_key(s) == node:  # else another text of that hash
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(node)
+                        rows.append((node, label, m, s.tobytes()))
+            if rows:
+                yield batch_of(rows, [("node", pa.binary()), ("label", pa.binary()), ("m", pa.int64()), ("s", pa.binary())])
+
+    members = texts.select("node", "label", "m", "text").mapInArrow(sets, "node binary, label binary, m long, s binary")
     chunks = F.ceil(F.col("m") / SETS).cast("int")
-    own = F.array(F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
-    every = F.sequence(F.lit(0), chunks - 1)
-    dealt = members.withColumn("c", F.explode(F.when(F.col("doc_id") == F.col("label"), every).otherwise(own)))
-    once = dealt.groupBy("label", "c").agg(F.first("m").alias("m"), F.collect_list(F.struct("doc_id", "s")).alias("members"))  # about SETS
+    own = F.array(F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    dealt = members.withColumn("c", F.explode(F.when(F.col("node") == F.col("label"), F.sequence(F.lit(0), chunks - 1)).otherwise(own)))
+    # About SETS members; repeated rows, which several tasks may have read, are one member of the set.
+    once = dealt.groupBy("label", "c").agg(F.first("m").alias("m"), F.collect_set(F.struct("node", "s")).alias("members"))
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for label, c, m, tile in rows_of(batches):
-            tile = distinct(tile)
-            held = [np.frombuffer(x["s"], dtype=np.uint64) for x in tile]
+        for label, c, m, chunk in rows_of(batches):
+            chunk.sort(key=lambda x: x["node"])
+            held = [np.frombuffer(x["s"], dtype=np.uint64) for x in chunk]
             if m <= SETS:
-                out = [(tile[i]["doc_id"], tile[j]["doc_id"], None, None, None) for i, j in linked(held, num, den)]
+                out = [(chunk[i]["node"], chunk[j]["node"], None, None, None, None, None) for i, j in linked(held, num, den)]
             else:
-                hub = next(s for x, s in zip(tile, held) if x["doc_id"] == label)
-                parts = -(-m // max(LEAST_TILE, min(TILE, TILE_SHINGLES // len(hub))))
-                out = [(label, label, parts, True, hub.tobytes())] if not c else []
-                for x, s in zip(tile, held):
-                    if x["doc_id"] != label:
+                hub = next(s for x, s in zip(chunk, held) if x["node"] == label)
+                tile = max(LEAST_TILE, min(TILE, TILE_SHINGLES // len(hub)))
+                out = [(label, label, tile, True, len(hub), b"", b"")] if not c else []
+                for x, s in zip(chunk, held):
+                    if x["node"] != label:
                         joined = is_link(s, hub, num, den)
-                        out.append((x["doc_id"], label, parts, joined, np.setxor1d(s, hub, assume_unique=True).tobytes()))
-                        out += [(x["doc_id"], label, None, None, None)] if joined else []
+                        out.append((x["node"], label, tile, joined, len(s), np.setdiff1d(s, hub, assume_unique=True).tobytes(), np.setdiff1d(hub, s, assume_unique=True).tobytes()))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["a", "b", "parts", "joined", "s"])
-
-    with batches_of(spark, 16):
-        found = written(once.mapInArrow(inside, "a long, b long, parts int, joined boolean, s binary"), "links")
-    discard(sizes, table)
-    large = found.where("parts is not null")
-    if large.isEmpty():
-        return found.select("a", "b")
-    # Members of large blocks by what sets them apart from the block's first document, which comes to every tile.
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    large = large.withColumn("c", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    pair = F.explode(F.transform(every, lambda o: F.struct(F.least("c", o).alias("x"), F.greatest("c", o).alias("y"))))
-    apart = large.where("a != b").select("a", "b", "c", "joined", "s", pair.alias("t"))
-    pairs = F.explode(F.flatten(F.transform(every, lambda x: F.transform(F.sequence(x, F.col("parts") - 1), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
-    hubs = large.where("a = b").select("a", "b", F.lit(-1).alias("c"), "joined", "s", pairs.alias("t"))
-    tiles = apart.unionByName(hubs).groupBy("b", "t").agg(F.collect_list(F.struct(F.col("a").alias("doc_id"), "c", "joined", "s")).alias("members"))  # about 2 * TILE
+                yield batch_of(out, LINK)
+
+    linked_in = written(once.mapInArrow(inside, "a binary, b binary, tile int, joined boolean, n long, more binary, less binary"), "links")
+    discard(table)
+    edges = linked_in.where("a != b and (tile is null or joined)").select("a", "b")
+    large = linked_in.where("tile is not null")
+    if large.where("not joined").isEmpty():
+        return edges
+    # Members that the hub is not linked to meet each other and the others.
+    stats = large.groupBy("b").agg(F.sum(F.when(F.col("joined"), 0).otherwise(1)).alias("u"), F.sum(F.when(F.col("joined"), 1).otherwise(0)).alias("j"), F.max("tile").alias("tile")).where("u > 0")
+    met = large.drop("tile").join(stats, "b")
+    parts = lambda c: F.ceil(F.col(c) / F.col("tile")).cast("int")
+    place = lambda c: F.pmod(F.xxhash64("a"), parts(c)).cast("int")
+    pair = lambda x, y, kind: F.struct(x.alias("x"), y.alias("y"), F.lit(kind).alias("kind"))
+    others, with_joined = F.sequence(F.lit(0), parts("u") - 1), F.sequence(F.lit(0), parts("j") - 1)
+    apart = F.concat(F.transform(others, lambda o: pair(F.least(place("u"), o), F.greatest(place("u"), o), "apart")), F.transform(with_joined, lambda y: pair(place("u"), y, "joined")))
+    tile = F.when(F.col("joined"), F.transform(others, lambda x: pair(x, place("j"), "joined"))).otherwise(apart)
+    dealt = met.select("b", F.explode(tile).alias("t"), F.struct("a", "joined", "n", "more", "less", F.when(F.col("joined"), -1).otherwise(place("u")).alias("c")).alias("member"))
+    tiles = dealt.groupBy("b", "t").agg(F.collect_list("member").alias("members"))  # about 2 * tile
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t, tile in rows_of(batches):
-            hub = next(np.frombuffer(x["s"], dtype=np.uint64) for x in tile if x["c"] < 0)
-            apart = [np.empty(0, dtype=np.uint64) if x["c"] < 0 else np.frombuffer(x["s"], dtype=np.uint64) for x in tile]
-            side, joined = np.array([x["c"] for x in tile]), np.array([x["joined"] for x in tile])
-            if found := linked_apart(hub, apart, side, t["x"] != t["y"], num, den, joined):
-                yield pairs_of((tile[i]["doc_id"], tile[j]["doc_id"]) for i, j in found)
-
-    with batches_of(spark, 16):
-        return found.where("parts is null").select("a", "b").unionByName(written(tiles.mapInArrow(between, "a long, b long"), "links"))
-
-
-def pairs_of(found) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-
+            tile.sort(key=lambda m: m["a"])
+            more, less = ([np.frombuffer(m[c], dtype=np.uint64) for m in tile] for c in ("more", "less"))
+            sizes, side, joined = (np.array([m[c] for m in tile]) for c in ("n", "c", "joined"))
+            cross = t["kind"] == "joined" or t["x"] != t["y"]
+            if out := linked_apart(more, less, sizes, side, cross, num, den, joined):
+                yield batch_of([(tile[i]["a"], tile[j]["a"]) for i, j in out], EDGE)
 
-def distinct(members: list[dict]) -> list[dict]:
-    """One member for each id: of rows that share it, that of the least set."""
-    return list({x["doc_id"]: x for x in sorted(members, key=lambda x: (x["doc_id"], x["s"]), reverse=True)}.values())
+    return edges.unionByName(written(tiles.mapInArrow(between, "a binary, b binary"), "between"))
 
 
 def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; texts link if den * |both| >= num * |either|.
 
     Null and blank texts have no shingles and are their own component, whatever
-    others there are. Rows with a null doc_id keep their shingle count and, as
-    nothing can name them, get the component of an equal set that has an id, else
-    null. Ids are taken to name one text: of rows that share an id but not the
-    text, one set is compared with near ones, and each row gets its own set's
-    component. Repeated rows stay; other columns are ignored.
+    others there are. A doc_id stands for all its rows: where several texts have
+    one id, what is linked to any of them is linked through it. Rows with a null
+    doc_id link as others do, but are not one document; their component is the
+    least id that they reach, null if there is none. Repeated rows stay, very
+    long texts are read whole, an empty table gives no rows, other columns are
+    ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_hash"))
     found = written(features(base, width, num, den, common_tokens(base, width, num, den)), "features")
-    blocks = components(candidate_edges(found, num, den))
-    links = block_links(base, blocks, width, num, den)
-    narrow = found.where("n > 0").select("doc_id", "key", "n")
-    first = narrow.groupBy("key", "n").agg(F.min("doc_id").alias("first"))
-    labels = components(links)
-    named = written(first.join(labels, F.col("first") == F.col("node"), "left").select("key", "n", F.coalesce("label", "first").alias("component_id")), "classes")
-    full = found.where("n > 0").select("doc_id", "key", "n").join(named, ["key", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    blocks = candidate_blocks(found, num, den)
+    links = block_links(base, found, blocks, width, num, den)
+    rows = found.where("n > 0").select("doc_id", "node", "n")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last").select("doc_id", "b")
+    by_id = rows.join(several, "doc_id").select(F.col("node").alias("a"), "b")
+    labels = components(links.unionByName(by_id))
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
+    least = written(least, "least")
+    classes = least.groupBy("label").agg(F.min("least").alias("component_id"))
+    full = rows.join(least.select("node", "label").join(classes, "label").select("node", "component_id"), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 

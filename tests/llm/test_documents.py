@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, fingerprints, html_text, jaccard, line_dedup, pseudonyms, quality, sentencepieces, sharding, token_files
+from tessella.llm import components, decontaminate, fingerprints, html_text, jaccard, line_dedup, pseudonyms, quality, sentencepieces, sharding, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,11 +81,72 @@ def test_jaccard_in_small_tiles(spark, texts, monkeypatch):
 def test_jaccard_of_nothing_and_null_ids(spark):
     assert jaccard.jaccard_components(table(spark, []), 3, 90, 100).count() == 0
     rows = [(None, "a b c d"), (3, "a b c d"), (None, "x y z"), (3, "a b c d")]
-    found = jaccard.jaccard_components(table(spark, rows), 3, 90, 100).collect()
+    found = jaccard.jaccard_components(table(spark, rows).withColumn("node", F.lit(0)).withColumn("n", F.lit("n")), 3, 90, 100).collect()
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in found if r["component_id"]) == [(-1, 2, 3), (3, 2, 3), (3, 2, 3)]
     assert [r["n_shingles"] for r in found if r["component_id"] is None] == [1]
 
 
+def test_jaccard_through_shared_and_null_ids(spark):
+    a, b = words(200, 31), words(200, 32)
+    near = lambda w, k: " ".join([*w[:k], "new", *w[k:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (1, near(a, 50)), (2, near(b, 50)), (None, near(a, 90)), (7, near(near(a, 90).split(), 120)), (5, ""), (8, "x y z"), (8, "x y z"), (8, None)]
+    found = jaccard.jaccard_components(table(spark, rows), 3, 90, 100).collect()
+    assert {(r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in found} == {(5, True, 1), (1, True, 1), (2, True, 1), (None, True, 1), (7, True, 1), (5, False, 5), (8, True, 8), (8, False, 8)}
+    assert len(found) == len(rows)
+
+
+def test_jaccard_of_a_repeated_row_and_long_texts(spark):
+    long = words(40_000, 41, 10**6)
+    rows = [(4, "one two three four five")] * 300 + [(2, " ".join(long)), (3, " ".join([*long[:9], "new", *long[9:]])), (9, "one two three four five")]
+    found = {tuple(r) for r in jaccard.jaccard_components(table(spark, rows), 3, 90, 100).collect()}
+    assert found == {(4, 3, 4), (9, 3, 4), *((i, n, 2) for i, n, _ in brute_components(rows[-3:-1], 3, 90, 100))}
+
+
+@pytest.mark.parametrize("m", [500, 1000, 2000])
+def test_edges_of_a_bucket_are_fewer_than_its_members(spark, m):
+    base = words(90, 51)
+    texts = [" ".join(base[:i % 90] + [f"edit{i}"] + base[i % 90 + 1 :]) for i in range(m)]
+    sets = [jaccard.shingles(t.encode(), 3) for t in texts]
+    rows = [(1, jaccard.set_key(s), len(s), None, jaccard.point_of(s)) for s in sets]
+    frame = spark.createDataFrame(rows, "token long, node binary, n long, label binary, point binary")
+    edges = jaccard.bucket_edges(frame.drop("point"), frame.select("node", "point"), 80, 100)
+    assert edges.count() <= m - 1
+    assert jaccard.components(edges).select("label").distinct().count() == 1
+
+
+def test_boxes_never_lose_a_pair():
+    r = np.random.RandomState(3)
+    base = np.unique(r.randint(0, 2**62, 400).astype(np.uint64))
+    sets = [np.unique(np.concatenate([r.choice(base, int(r.randint(150, 390)), replace=False), r.randint(0, 2**62, 9).astype(np.uint64)])) for _ in range(60)]
+    parts = [list(range(k, 60, 12)) for k in range(12)]
+    boxes = [jaccard.box_of([jaccard.point_of(sets[i]) for i in p], np.array([len(sets[i]) for i in p])) for p in parts]
+    low, high, side = np.array([b[1] for b in boxes]), np.array([b[2] for b in boxes]), np.zeros(12, dtype=int)
+    labels = jaccard.boxes_admitted([b[0] for b in boxes], low, high, np.arange(12), side, False, 80, 100)
+    for x in range(12):
+        for y in range(x):
+            if any(jaccard.is_link(sets[i], sets[j], 80, 100) for i in parts[x] for j in parts[y]):
+                assert labels[x] == labels[y]
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
+def test_components(spark, shape):
+    r = random.Random(5)
+    edges = {"path": [(i, i + 1) for i in range(300)], "star": [(900, i) for i in range(300)], "random": [(r.randrange(400), r.randrange(400)) for _ in range(250)], "none": [(1, 1)]}[shape]
+    found = {x["node"]: x["label"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[root(a)] = root(b)
+    nodes = {x for e in edges for x in e if e[0] != e[1]}
+    assert set(found) == set(nodes) and all(found[x] in nodes and root(found[x]) == root(x) for x in nodes)
+    assert len(set(found.values())) == len({root(x) for x in nodes})
+
+
 def test_bound_never_loses_a_link():
     r = np.random.RandomState(0)
     base = np.unique(r.randint(0, 2**62, 300).astype(np.uint64))
