@@ -1,14 +1,18 @@
 """Quality classifier by compression: a text is like the class whose dictionary compresses it better.
 
-Two zstandard dictionaries are built, one from texts labelled good and one from
-texts labelled bad. A text is cut into blocks (all of it, no prefix); each block
-is compressed on its own with either dictionary, so that a long text keeps
-leaning on the dictionaries instead of on its own beginning. The difference of
-the compressed sizes, normalised by the raw size, is turned into a probability by
-a logistic curve fitted on labelled texts.
-
-Fitting takes a bounded sample of the labelled rows (``per_class`` rows for each
-label, chosen by a hash of the id; of a long text a piece from a hashed place); scoring covers every row in one map without a shuffle.
+Two zstandard dictionaries are trained, one on whole texts labelled good and one
+on whole texts labelled bad. A text is cut into blocks (all of it, no prefix);
+each block is compressed on its own with either dictionary, so that a long text
+keeps leaning on the dictionaries instead of on its own beginning. The
+difference of the compressed sizes, less what the dictionaries differ by on text
+that speaks for neither class, is normalised by the raw size and turned into a
+probability by a logistic curve; the curve's slope and that bias a byte are
+fitted on labelled texts. The length alone says nothing: a text whose difference
+is the bias scores the prior, however long it is.
+
+Fitting takes a bounded sample of the labelled rows: in the order of a hash of
+the id, ``per_class`` rows of each label or as many as ``SAMPLE_BYTES`` hold,
+each with its whole text. Scoring covers every row in one map without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a block, of a dictionary, and the compression level.
-BLOCK, DICTIONARY, LEVEL = 128, 256 * 1024, 3
+BLOCK, DICTIONARY, LEVEL = 256, 256 * 1024, 3
+#: Bytes of a segment that training chooses, of what it compares, and of the pieces that texts are given to it in.
+SEGMENT, COMPARED, PIECE = 64, 8, 8192
 #: Bytes of neutral text that every text is taken to have besides its own, so that very short ones stay near the prior.
 NEUTRAL = 100
-#: Rows a label in the sample, and the longest piece of a text in it.
-PER_CLASS, SAMPLE_CHARS = 1500, 16_000
+#: Bounds of the sample: rows a label, and bytes a label of their whole texts (at least one row is taken).
+PER_CLASS, SAMPLE_BYTES = 1500, 64 << 20
 THRESHOLD = 0.3
 SLICE = 256
 
@@ -39,7 +45,7 @@ SLICE = 256
 class Model:
     good: bytes
     bad: bytes
-    #: The logistic curve's weights; both 0 means that a class had no sample and every text scores the prior.
+    #: The curve's slope, and minus the slope times the dictionaries' bias a byte; both 0 means that a class had no sample and every text scores the prior.
     weights: tuple[float, float]
     #: Log-odds of a good text among the labelled ones.
     prior: float
@@ -54,7 +60,7 @@ class Model:
 
 @lru_cache(maxsize=8)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d = zstandard.ZstdCompressionDict(dictionary)
     d.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
 
@@ -70,15 +76,11 @@ def features(text: bytes | None, good: bytes, bad: bytes) -> tuple[float, float]
 
 
 def dictionary_of(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    """``size`` bytes of the texts, an equal share of each, from places spread over the whole text."""
-    if not texts:
-        return b""
-    share = max(64, size // len(texts))
-    parts = []
-    for t in texts:
-        at = zlib.crc32(t) % max(1, len(t) - share + 1)
-        parts.append(t[at : at + share])
-    return b"\n".join(parts)[-size:]
+    """A dictionary of at most ``size`` bytes trained on the whole texts; of little text, the text itself."""
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+    if sum(map(len, pieces)) > 2 * size and len(pieces) > 8:
+        return zstandard.train_dictionary(size, pieces, k=SEGMENT, d=COMPARED, level=LEVEL).as_bytes()
+    return b"\n".join(pieces)
 
 
 def fit_curve(z: np.ndarray, y: np.ndarray, offset: float) -> tuple[float, float]:
@@ -116,11 +118,8 @@ def fit(rows: list[tuple[int, bytes]], counts: dict[int, int]) -> Model:
     return Model(dictionary_of(by[1]), dictionary_of(by[0]), weights, prior)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
-    """Up to ``per_class`` labelled texts of each label, chosen by a hash of the id, and all rows by label; none held out.
-
-    A text of over ``SAMPLE_CHARS`` characters gives as many from a hashed place.
-    """
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
+    """Labelled texts, whole, in the order of a hash of the id: ``per_class`` of each label, fewer where they exceed ``most_bytes``; and all rows by label. None is held out."""
     free = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & free & F.col("quality").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -128,10 +127,10 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     picked = [known.where(f"quality = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most 2 * per_class rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    over = F.length("text") - SAMPLE_CHARS
-    place = F.pmod(F.xxhash64("doc_id"), F.greatest(over, F.lit(0)) + 1).cast("int") + 1
-    texts = texts.withColumn("text", F.when(over > 0, F.substring("text", place, F.lit(SAMPLE_CHARS))).otherwise(F.col("text")))
-    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    sizes = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.max(F.octet_length("text")).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    within = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") + F.col("n") <= most_bytes) | (F.col("before") == 0)).select("doc_id", "quality")
+    rows = texts.join(F.broadcast(within), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return [(r["quality"], r["text"].encode()) for r in rows], counts
 
@@ -143,8 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of ``docs`` with ``score`` (0 to 1; higher: quality 1 likelier) and ``predicted``, other columns kept.
 
-    Null and empty texts score the prior. Repeated
-    rows stay; columns named score or predicted are replaced.
+    Null and empty texts score the prior; very long ones are read whole; repeated
+    rows stay and score alike; an empty table gives no rows; columns named score
+    or predicted are replaced.
     """
     out = docs.drop("score", "predicted").withColumn("score", F.lit(0.0))
     names = out.columns
