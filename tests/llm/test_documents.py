@@ -361,22 +361,48 @@ def test_pseudonyms_are_a_permutation(spark):
     assert days.select(pseudonyms.date(F.col("v"), "k").alias("d")).distinct().count() == 73000
 
 
+def brute_sketch(spark, texts):
+    """whole and hashes of each text, by plain Python over hashes that Spark gives one at a time."""
+    one, three = {}, {}
+    cut = lambda t: [w for w in re.split("[ \t-\r]+", t or "") if w]
+    every = sorted({w for t in texts for w in cut(t)})
+    one = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in every or ["x"]], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    runs = sorted({run for t in texts for run in zip(w := cut(t), w[1:], w[2:])})
+    frame = spark.createDataFrame([(*r, *(one[w] for w in r)) for r in runs] or [("", "", "", 0, 0, 0)], "a string, b string, c string, x long, y long, z long")
+    three = {(r["a"], r["b"], r["c"]): r["h"] for r in frame.select("a", "b", "c", F.xxhash64("x", "y", "z").alias("h")).collect()}
+    short = {t: [one[w] for w in cut(t)] for t in texts if 0 < len(cut(t))}
+    whole = {r["t"]: r["h"] for r in spark.createDataFrame(list(short.items()) or [("", [0])], "t string, v array<bigint>").select("t", F.xxhash64("v").alias("h")).collect()}
+    out = {}
+    for t in texts:
+        w = cut(t)
+        found = {three[tuple(w[k : k + 3])] for k in range(len(w) - 2)} if len(w) >= 3 else {whole[t]} if w else set()
+        out[t] = (whole[t] if w else 0, sorted(h for h in found if h < -(2**63) + 2**62))
+    return out
+
+
 def test_fingerprints(spark):
-    rows = [(i, " ".join(words(40 + 30 * i, i))) for i in range(12)] + [(20, None), (21, ""), (22, "tiny text"), (23, "tiny text"), (23, "tiny text"), (24, "é" * 9), (30, " ".join(words(20000, 9, 10**6)))]
-    df = fingerprints.with_next(table(spark, rows))
+    rows = [(i, " ".join(words(40 + 30 * i, i))) for i in range(12)] + [(20, None), (21, ""), (22, "tiny text"), (23, "tiny text"), (23, "tiny text"), (24, "é" * 9), (25, " \n"), (None, "has no id at all"), (30, " ".join(words(20000, 9, 10**6)))]
+    df = fingerprints.with_next(table(spark, rows).withColumn("row_hash", F.lit("x")).withColumn("next", F.lit(1)))
     df = fingerprints.with_sketch(fingerprints.with_sketch(df, "text", "own"), "edited", "changed")
-    found = df.select("doc_id", "n_chars", "edited", fingerprints.printed("own").alias("f"), fingerprints.likeness("own", "changed").alias("near"), fingerprints.likeness("own", "next").alias("next")).collect()
+    found = df.select("doc_id", "n_chars", "edited", "next_id", "own", "changed", fingerprints.printed("own").alias("f"), fingerprints.likeness("own", "changed").alias("near"), fingerprints.likeness("own", "next").alias("next")).collect()
     assert len(found) == len(rows)
-    order = list(dict.fromkeys((i, t or "") for i, t in rows))
-    after = {order[k]: order[(k + 1) % len(order)][1] for k in range(len(order))}
+    order = list(dict.fromkeys((i, t or "") for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0]))))
+    after = {order[k]: order[(k + 1) % len(order)] for k in range(len(order))}
     text = {i: t or "" for i, t in rows}
+    edited = {i: t[: len(t) - len(t) // 4] + after[i, t][1][: len(t) // 4] for i, t in text.items()}
+    sketches = brute_sketch(spark, [*text.values(), *edited.values()])
+
+    def like(a, b):
+        (x, a), (y, b) = sketches[a], sketches[b]
+        union = set(a) | set(b)
+        return len(set(a) & set(b)) / len(union) if union else float(x == y)
+
     for r in found:
-        own, follows = text[r["doc_id"]], after[r["doc_id"], text[r["doc_id"]]]
-        k = len(own) // 4
-        assert r["n_chars"] == len(own) and r["edited"] == own[: len(own) - k] + follows[:k] and 0 <= r["next"] <= 1
-        if r["doc_id"] < 12:
-            a, b = (set(zip(w, w[1:], w[2:])) for w in (own.split(), r["edited"].split()))
-            assert abs(r["near"] - len(a & b) / len(a | b)) < 0.25 and r["near"] > r["next"]
+        own, (next_id, follows) = text[r["doc_id"]], after[r["doc_id"], text[r["doc_id"]]]
+        assert r["n_chars"] == len(own) and r["edited"] == edited[r["doc_id"]] and r["next_id"] == next_id
+        assert (r["own"]["whole"], r["own"]["hashes"]) == sketches[own] and (r["changed"]["whole"], r["changed"]["hashes"]) == sketches[r["edited"]]
+        assert r["near"] == like(own, r["edited"]) and r["next"] == like(own, follows)
+        assert r["f"] == "".join(f"{h & (1 << 64) - 1:016x}" + ":" * (k == 0) for k, h in enumerate([sketches[own][0], *sketches[own][1]]))
     assert len({r["f"] for r in found if r["doc_id"] in (22, 23)}) == 1
     assert fingerprints.with_next(table(spark, [])).count() == 0
 
@@ -387,7 +413,7 @@ def test_sketches_merge_and_contain(spark):
     for c in "abc":
         df = fingerprints.with_sketch(df, c, f"s{c}")
     r = df.select(fingerprints.containment("sb", "sa").alias("in"), fingerprints.containment("sa", "sb").alias("of"), F.size(fingerprints.merged("sb", "sc")["hashes"]).alias("n")).first()
-    assert r["in"] > 0.99 and abs(r["of"] - 0.1) < 0.03 and abs(r["n"] - 4000 / 8) < 120
+    assert r["in"] > 0.99 and abs(r["of"] - 0.1) < 0.03 and abs(r["n"] - 4000 / fingerprints.FRACTION) < 120
 
 
 def test_token_counts(spark, tmp_path):
