@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures, with nulls, empty and very long texts, ties, repeats, clashing columns and empty tables."""
 
 import base64
+import datetime
 import hashlib
 import random
 import re
@@ -325,7 +326,7 @@ def test_slot_maps(spark, tmp_path):
 
 def test_pseudonyms(spark):
     rows = [(1, "mail a.b1@mail7.example.com, 97.51.17.173 4417744280351547 no 4417744280351548 +1 (017) 555-7713 2024-02-29 2023-02-30 123-45-6789 999.1.1.1###"), (2, None), (3, ""), (4, "clean 12 3.5 v1.2.3 and 1,000"), (5, 'again 97.51.17.173%%% key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (6, "x" * 100_000), (6, "x" * 100_000)]
-    found = pseudonyms.pseudonymised(table(spark, rows).withColumn("n_private", F.lit("old"))).collect()
+    found = pseudonyms.pseudonymised(table(spark, rows).withColumn("n_private", F.lit("old")), "k").collect()
     by = {r["doc_id"]: r for r in found}
     assert len(found) == len(rows) and by[4]["text"] == rows[3][1] and by[2]["text"] is None and by[3]["text"] == "" and by[6]["n_private"] == 0
     new = by[1]["text"]
@@ -336,13 +337,13 @@ def test_pseudonyms(spark):
     assert f"again {address}%%%" in by[5]["text"] and "04dbebab" not in by[5]["text"] and by[1]["n_private"] == 6
     number = re.search(r"\d{16}", new)[0]
     assert sum(d - 9 if d > 9 else d for d in (int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(number)))) % 10 == 0
-    assert pseudonyms.pseudonymised(table(spark, [])).count() == 0
+    assert pseudonyms.pseudonymised(table(spark, []), "k").count() == 0
 
 
 def test_pseudonyms_beside_other_digits(spark):
     secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [(1, "4417 7442 8035 1547 12/27"), (2, "4417744280351547 123"), (3, "4417-7442-8035-1547-123"), (4, "no 12 4417 7442 8035 1547."), (5, "378282246310005 4417 7442 8035 1547"), (6, "4417744280351547"), (7, "1234 123-45-6789 x"), (8, f'TOKEN = "{secret.upper()}"'), (9, f'token = "{secret}"'), (10, f'token = "{secret[:20].upper()}{secret[20:]}"'), (11, "4417744280351548 123")]
-    by = {r["doc_id"]: r for r in pseudonyms.pseudonymised(table(spark, rows)).collect()}
+    by = {r["doc_id"]: r for r in pseudonyms.pseudonymised(table(spark, rows), "k").collect()}
     new = by[6]["text"]
     assert new != rows[5][1] and by[2]["text"] == f"{new} 123"
     assert re.fullmatch(r"(\d{4} ){4}12/27", by[1]["text"]) and by[1]["text"][:19] != "4417 7442 8035 1547"
@@ -361,13 +362,68 @@ def test_pseudonyms_are_a_permutation(spark):
     assert days.select(pseudonyms.date(F.col("v"), "k").alias("d")).distinct().count() == 73000
 
 
+def plain_pair(key, kind, a, b, sizes):
+    """The permutation of a pair, in plain Python."""
+    move = lambda r, other: int(hashlib.sha256(f"{key}|{kind}|{r}|{other}".encode()).hexdigest()[:8], 16)
+    for r in range(1, 9):
+        if r % 2:
+            a = (a + move(r, b)) % sizes[0]
+        else:
+            b = (b + move(r, a)) % sizes[1]
+    return a, b
+
+
+def plain_digits(key, kind, d):
+    k = len(d) // 2
+    a, b = plain_pair(key, f"{kind}{len(d)}", int(d[:k]), int(d[k:]), (10**k, 10 ** (len(d) - k)))
+    return f"{a:0{k}}{b:0{len(d) - k}}"
+
+
+def luhn(d):
+    return sum(x - 9 if x > 9 else x for x in (int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(d)))) % 10
+
+
+def test_pseudonyms_link_equal_values_and_agree_with_plain_python(spark):
+    rows = ["4417 7442 8035 1547", "4417744280351547", "4417-7442-8035-1547", "(555) 123-4567", "555-123-4567", "555.123.4567", "123-45-6789", "97.51.17.173", "2024-02-29", "2024/02/29"]
+    got = [r["text"] for r in pseudonyms.pseudonymised(table(spark, list(enumerate(rows))), "k").orderBy("doc_id").collect()]
+    bare = [re.sub(r"\D", "", t) for t in got]
+    assert len(set(bare[:3])) == len(set(bare[3:6])) == 1 and [re.sub(r"\d", "0", t) for t in got] == [re.sub(r"\d", "0", t) if i != 7 else re.sub(r"\d", "0", got[7]) for i, t in enumerate(rows)]
+    body = plain_digits("k", "card", "441774428035154")
+    assert bare[0][:15] == body and luhn(bare[0]) == 0 and bare[3] == plain_digits("k", "phone", "5551234567")
+    a, b = plain_pair("k", "ssn", 122 * 99 + 44, 6788, (898 * 99, 9999))
+    area = a // 99 + (2 if a // 99 >= 665 else 1)
+    assert got[6] == f"{area:03}-{a % 99 + 1:02}-{b + 1:04}"
+    a, b = plain_pair("k", "ip", 97 * 256 + 51, 17 * 256 + 173, (65536, 65536))
+    assert got[7] == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    place = (datetime.date(2024, 2, 29) - datetime.date(1900, 1, 1)).days
+    a, b = plain_pair("k", "date", place // 365, place % 365, (200, 365))
+    assert got[8] == str(datetime.date(1900, 1, 1) + datetime.timedelta(days=a * 365 + b)) == got[9].replace("/", "-")
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymised(table(spark, []), "")
+
+
+def test_pseudonyms_stay_in_their_format(spark):
+    r = random.Random(8)
+    numbers = sorted({f"{r.choice([x for x in range(1, 900) if x != 666]):03}-{r.randrange(1, 100):02}-{r.randrange(1, 10000):04}" for _ in range(3000)} | {"001-01-0001", "899-99-9999", "665-99-9999", "667-01-0001"})
+    new = [r["v"] for r in spark.createDataFrame([(x,) for x in numbers], "v string").select(pseudonyms.ssn(F.col("v"), "k").alias("v")).collect()]
+    assert len(set(new)) == len(numbers) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", x) for x in new)
+
+
+def test_pseudonyms_of_texts_that_repeat_labels(spark):
+    rows = [(1, "a@b" + ".c" * 500_000 + ".com"), (2, "x" * 300 + "@" * 300_000), (3, "a@b" + ".1" * 300_000), (4, "Mail a.b@c-d.example.org. Or e@f.gh.9, not g@h.i"), (5, "k@x.m3.example.com")]
+    by = {r["doc_id"]: r for r in pseudonyms.pseudonymised(table(spark, rows), "k").collect()}
+    assert by[1]["n_private"] in (0, 1) and by[2]["n_private"] == by[3]["n_private"] == 0
+    assert re.fullmatch(r"Mail \w\.\w@\w-\w\.\w{7}\.org\. Or \w@\w\.gh\.9, not g@h\.i", by[4]["text"]) and "a.b@" not in by[4]["text"]
+    assert by[5]["n_private"] == 1 and by[5]["text"].endswith(".com")
+
+
 def brute_sketch(spark, texts):
     """whole and hashes of each text, by plain Python over hashes that Spark gives one at a time."""
     one, three = {}, {}
     cut = lambda t: [w for w in re.split("[ \t-\r]+", t or "") if w]
     every = sorted({w for t in texts for w in cut(t)})
     one = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in every or ["x"]], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    runs = sorted({run for t in texts for run in zip(w := cut(t), w[1:], w[2:])})
+    runs = sorted({run for w in map(cut, texts) for run in zip(w, w[1:], w[2:])})
     frame = spark.createDataFrame([(*r, *(one[w] for w in r)) for r in runs] or [("", "", "", 0, 0, 0)], "a string, b string, c string, x long, y long, z long")
     three = {(r["a"], r["b"], r["c"]): r["h"] for r in frame.select("a", "b", "c", F.xxhash64("x", "y", "z").alias("h")).collect()}
     short = {t: [one[w] for w in cut(t)] for t in texts if 0 < len(cut(t))}
