@@ -8,10 +8,17 @@ and the path with most votes of a host is its consensus. Pages are then
 extracted again from all elements on that path, with the heading before them; a
 page that has none, or none with text, falls back on its own best container.
 
-Inside the chosen elements, menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are left out. A class that only begins
-or ends with such a word marks what to leave out where it holds a minor part of
-the page's text; a page with nothing else has the largest of what was left out.
+Hosts also agree on what is not main text: a path outside articles whose texts
+are, for the most part, the same on several pages with different main texts
+(copies of one page say nothing) belongs to the site and not to its pages, and
+its texts are left out. What a page's own markup names as menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+is left out too. Where a class only begins or ends with such a word, and for
+forms, that holds if it has a minor part of the page's text; a page with nothing
+else has the largest of what was left out.
+
+A path is known by a hash that is chained from element to element, so deep pages
+take no more memory than flat ones.
 """
 
 from __future__ import annotations
@@ -21,10 +28,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.shared import written
+from tessella.functions.shared import discard, written
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -36,15 +44,16 @@ BLOCKS = frozenset("address article aside blockquote body br center dd details d
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl select body html article section div td th tbody thead blockquote main aside".split())
 #: Elements and words in class, id or role that mark what is not main text.
-SKIPPED = frozenset("nav header footer aside form script style noscript template iframe button select textarea input svg canvas object menu dialog head title".split())
+SKIPPED = frozenset("nav header footer aside script style noscript template iframe button select textarea input svg canvas object menu dialog head title".split())
 NOISE = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer sidebar side aside widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist discussion disqus replies reply respond "
-    "related recommended recommendation share sharing social toolbar pagination pager complementary contentinfo".split()
+    "related recommended recommendation share sharing social toolbar pagination pager complementary contentinfo trending "
+    "cmt cmts kommentar kommentare commentaire commentaires comentario comentarios seitenleiste kopfzeile werbung anzeige publicite publicidad barre".split()
 )
 QUALIFIERS = frozenset("has with no is without hide show".split())
 #: Words that make a known form with a noise word, like ``comment-list``.
-FORMS = frozenset("list area section box container wrapper wrap block thread item items inner holder slot unit link links".split())
+FORMS = frozenset("list area section box container wrapper wrap block thread item items inner holder slot unit link links user reader visitor site page top bottom left right main more stories post blog article entry news story".split())
 #: Share of the page's text outside links from which elements of one path are not noise by a class that only begins or ends with a noise word.
 MAJOR = 0.25
 CONTAINERS = frozenset("article main section div td body html blockquote center table".split())
@@ -52,27 +61,55 @@ CONTAINERS = frozenset("article main section div td body html blockquote center
 OWN, CHILD, ARTICLE = 1.0, 0.5, 1.25
 #: Share of a container's text that a part of it may leave out and still stand for it; of the body's text.
 REST, BODY_REST = 0.05, 0.1
+#: A text is a host's own if so many pages of different main texts have it on one path, and a path if so great a share of its texts are.
+HOST_PAGES, HOST_SHARE = 3, 0.8
+#: Texts that a task remembers, so as not to pass them on twice.
+REMEMBERED = 200_000
 SLICE = 64
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def chained(path: int, part: str) -> int:
+    """The path of an element from its parent's and its own tag and class: 64 bits, signed."""
+    return xxhash.xxh3_64_intdigest(part.encode(errors="replace"), seed=path & (1 << 64) - 1) - (1 << 63)
+
+
+def hash_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode(errors="replace")) - (1 << 63)
 
 
 class Page:
-    """Elements of a page in document order, and its texts."""
+    """Elements of a page in document order, and its texts, without those that stand on one of ``theirs``, the host's own paths."""
 
-    def __init__(self, source: str):
-        #: Of each element: tag, generalised path, parent, end (the number after its last descendant), left out.
-        self.tag, self.path, self.parent, self.end, self.out = ["#page"], [""], [-1], [0], [False]
+    def __init__(self, source: str, theirs: frozenset[int] = frozenset()):
+        #: Of each element: tag, generalised path, parent, end (the number after its last descendant), left out, nearest container, whether in an article.
+        self.tag, self.path, self.parent, self.end, self.out, self.box, self.inside = ["#page"], [0], [-1], [0], [False], [0], [False]
+        #: Tag and class of each element, as its path has them.
+        self.part: list[str] = [""]
         #: (element, block number, text, inside a link)
         self.texts: list[tuple[int, int, str, bool]] = []
         #: Elements that their class, id or role marks as noise: whether by a whole word or known form.
         self.noise: dict[int, bool] = {}
+        #: How many elements of a tag are open.
+        self.open: dict[str, int] = {}
         self._read(source)
+        if theirs:
+            self.texts = [x for x in self.texts if self.inside[x[0]] or self.path[x[0]] not in theirs]
         if self.noise:
             self._leave_out()
 
+    def named_path(self, element: int) -> str:
+        parts = []
+        while element > 0:
+            parts.append(self.part[element])
+            element = self.parent[element]
+        return "/".join(["", *reversed(parts)])
+
     def _close(self, stack: list[int], depth: int) -> None:
         while len(stack) > depth:
-            self.end[stack.pop()] = len(self.tag)
+            element = stack.pop()
+            self.end[element] = len(self.tag)
+            self.open[self.tag[element]] = self.open.get(self.tag[element], 1) - 1
 
     def _read(self, source: str) -> None:
         stack, block, at, links = [0], 0, 0, 0
@@ -94,7 +131,7 @@ class Page:
             if tag in BLOCKS:
                 block += 1
             if m[1] or m[4]:
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1, 0, -1) if self.open.get(tag) else ():
                     if self.tag[stack[depth]] == tag:
                         self._close(stack, depth)
                         break
@@ -117,6 +154,8 @@ class Page:
     def _imply(self, stack: list[int], tag: str) -> None:
         """Closes what a new block closes: an open paragraph, or an item of the same list or row."""
         closed = CLOSED_BY.get(tag, set()) | {"p"}
+        if not any(self.open.get(t) for t in closed):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             t = self.tag[stack[depth]]
             if t in closed:
@@ -128,19 +167,24 @@ class Page:
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
         cls, noise = "", 0
         for name, *values in CLASS.findall(attributes):
-            value = (values[0] or values[1] or values[2]).lower()
+            value = values[0] or values[1] or values[2]
             if name.lower() == "class":
-                cls = re.sub(r"\d+", "#", value.split()[0]) if value.split() else ""
-            noise = max([noise, *(self._noisy(WORDS.findall(token)) for token in value.split())])
+                cls = re.sub(r"\d+", "#", value.lower().split()[0]) if value.split() else ""
+            noise = max([noise, *(self._noisy([w.lower() for w in WORDS.findall(token)]) for token in value.split())])
         up = stack[-1]
-        stack.append(len(self.tag))
+        element = len(self.tag)
+        stack.append(element)
         self.tag.append(tag)
-        self.path.append(f"{self.path[up]}/{tag}{'.' * bool(cls)}{cls}")
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.part.append(f"{tag}{'.' * bool(cls)}{cls}")
+        self.path.append(chained(self.path[up], self.part[-1]))
         self.parent.append(up)
         self.end.append(0)
         self.out.append(self.out[up] or tag in SKIPPED)
-        if noise and not self.out[-1] and tag not in ("html", "body", "article", "main"):
-            self.noise[stack[-1]] = noise == 2
+        self.box.append(element if tag in CONTAINERS else self.box[up])
+        self.inside.append(self.inside[up] or tag in ("article", "main"))
+        if not self.out[-1] and (noise or tag == "form") and tag not in ("html", "body", "article", "main"):
+            self.noise[element] = noise == 2
 
     @staticmethod
     def _noisy(words: list[str]) -> int:
@@ -196,16 +240,12 @@ class Page:
         size: dict[int, float] = {}
         for element, _, text, link in self.texts:
             n = len(text.strip())
-            while self.tag[element] not in CONTAINERS and self.parent[element] >= 0:
-                element = self.parent[element]
-            size[element] = size.get(element, 0.0) + (-n if link else n)
+            size[self.box[element]] = size.get(self.box[element], 0.0) + (-n if link else n)
         out: dict[int, float] = {}
         for element, n in size.items():
             out[element] = out.get(element, 0.0) + OWN * n * (ARTICLE if self.tag[element] in ("article", "main") else 1)
-            up = self.parent[element]
-            while up >= 0 and self.tag[up] not in CONTAINERS:
-                up = self.parent[up]
-            if up >= 0:
+            if element:
+                up = self.box[self.parent[element]]
                 out[up] = out.get(up, 0.0) + CHILD * n
         return out
 
@@ -252,9 +292,19 @@ class Page:
             up = self.parent[up]
         return element
 
-    def on_path(self, path: str) -> list[int]:
+    def own_texts(self) -> Iterator[tuple[int, str]]:
+        """(path, text) of the elements outside articles that have text of their own."""
+        own: dict[int, list[str]] = {}
+        for element, _, text, _ in self.texts:
+            if not self.inside[element]:
+                own.setdefault(element, []).append(text)
+        for element, parts in own.items():
+            if text := " ".join("".join(parts).split()):
+                yield self.path[element], text
+
+    def on_path(self, path: int | None) -> list[int]:
         """The elements on a path that have text; only the best one where all are mostly links."""
-        filled = self._filled() if path else []
+        filled = self._filled() if path is not None else []
         found = [e for e in range(1, len(filled)) if not self.out[e] and self.path[e] == path and filled[e]]
         prose = self.prose() if len(found) > 1 else []
         if len(found) > 1 and not any(prose[e] for e in found):
@@ -262,9 +312,9 @@ class Page:
             return [min(found, key=lambda e: (-scores.get(e, 0.0), e))]
         return [e for e in found if prose[e]] if len(found) > 1 else found
 
-    def main(self, path: str | None) -> str:
+    def main(self, path: int | None) -> str:
         """The page's main text: of the elements on the path, or else of those on its best container's own path."""
-        elements = self.on_path(path or "")
+        elements = self.on_path(path)
         if not elements:
             top = self.best()
             elements = self.on_path(self.path[top]) or [top]
@@ -296,10 +346,19 @@ def host_of(url: str = "url"):
     return F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
 
+VOTE = [("host", pa.string()), ("kind", pa.int32()), ("path", pa.int64()), ("text", pa.int64()), ("main", pa.int64()), ("score", pa.float64()), ("named", pa.string())]
+
+
 def votes(pages: DataFrame) -> DataFrame:
-    """Each page's vote: host, path, score of the best container; pages without text do not vote."""
+    """What each page says of its host's paths.
+
+    kind 1: the path (and its name) of the best container, with its score; pages
+    without text do not vote. kind 2: hashes of the texts that elements outside
+    articles have of their own, and of the page's main text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
@@ -307,26 +366,42 @@ def votes(pages: DataFrame) -> DataFrame:
                 for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                     page = Page(source or "")
                     if top := page.best():
-                        out.append((host, page.path[top], page.scores()[top]))
+                        out.append((host, 1, page.path[top], None, None, page.scores()[top], page.named_path(top)))
+                        main = hash_of(page.text([top]))
+                        for path, text in page.own_texts():
+                            row = (host, 2, path, hash_of(text), main, None, None)
+                            if row not in seen:
+                                if len(seen) >= REMEMBERED:
+                                    seen.clear()
+                                seen.add(row)
+                                out.append(row)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["host", "path", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), VOTE)], names=[n for n, _ in VOTE])
 
-    return pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path string, score double")
+    schema = "host string, kind int, path long, text long, main long, score double, named string"
+    return pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, schema)
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """host, path: the path with most votes, then the greatest summed score, then the least path."""
-    tally = votes(pages).groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"))
-    best = F.max_by(F.col("path"), F.struct("n", "total", "path"))
-    return tally.groupBy("host").agg(best.alias("path"))
+    """host, path, named: the path with most votes, then the greatest summed score, then the least; theirs: the paths of the host's own texts."""
+    said = written(votes(pages), "votes")
+    tally = said.where("kind = 1").groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"), F.min("named").alias("named"))
+    best = tally.groupBy("host").agg(F.max_by(F.struct("path", "named"), F.struct("n", "total", -F.col("path"))).alias("best"))
+    texts = said.where("kind = 2").groupBy("host", "path", "text").agg(F.count_distinct("main").alias("mains"))
+    shares = texts.groupBy("host", "path").agg(F.sum("mains").alias("n"), F.sum(F.when(F.col("mains") >= HOST_PAGES, F.col("mains")).otherwise(0)).alias("same"))
+    theirs = shares.where(F.col("same") >= HOST_SHARE * F.col("n")).groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("theirs"))
+    out = written(best.join(theirs, "host", "left").select("host", "best.path", "best.named", "theirs"), "hosts")
+    discard(said)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row for each row of ``pages``: page_id, url, text (empty if none), path (of the host, null without votes).
 
-    Null and empty pages have empty texts; pages without a readable url share
-    one host; repeated rows stay; other columns are ignored. A bare text without
-    markup is its own main text.
+    Null and empty pages have empty texts; very long and deep ones are read
+    whole; pages without a readable url share one host; ties between paths are
+    decided by their hashes; repeated rows stay; an empty table gives no rows;
+    other columns are ignored. A bare text without markup is its own main text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,12 +409,12 @@ def extract(pages: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 texts = []
-                for source, path in zip(part.column("html").to_pylist(), part.column("path").to_pylist()):
-                    texts.append(Page(source or "").main(path))
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), part.column("path")], names=["page_id", "url", "text", "path"])
+                for source, path, theirs in zip(*(part.column(c).to_pylist() for c in ("html", "path", "theirs"))):
+                    texts.append(Page(source or "", frozenset(theirs or ())).main(path))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), part.column("named")], names=["page_id", "url", "text", "path"])
 
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    met = base.withColumn("host", host_of()).join(written(consensus(base), "hosts"), "host", "left").select("page_id", "url", "html", "path")
+    met = base.withColumn("host", host_of()).join(consensus(base), "host", "left").select("page_id", "url", "html", "path", "theirs", "named")
     return met.mapInArrow(run, "page_id long, url string, text string, path string")
 
 

@@ -295,6 +295,36 @@ def test_html_in_containers_named_like_noise():
     assert text('<body><div class="site-nav"><a href=x>Menu</a></div><p>Text.</p></body>') == "Text."
 
 
+def test_html_of_markup_that_names_noise_otherwise():
+    body = "A paragraph of the article that is long enough to be its main text. " * 5
+    talk = "<p>A reader says something here.</p>" * 4
+    text = lambda source: html_text.Page(source).main(None)
+    for name in ("userComments", "cmt-list", "more-stories related", "kommentare", "seitenleiste", "post-comments"):
+        assert text(f'<body><div class="text"><p>{body}</p><div class="{name}">{talk}</div></div></body>') == body.strip(), name
+    assert text(f"<body><form action=x><article><h1>Head</h1><p>{body}</p></article></form></body>") == f"Head {body.strip()}"
+    assert text(f'<article><h1>T</h1><div class="search-results-study notice-of-ruling"><p>{body}</p></div></article>') == f"T {body.strip()}"
+
+
+def test_html_of_what_a_host_repeats(spark):
+    say = lambda i: f"Story {i} tells of things that no other page has, at some length and in its own words. " * 3
+    page = lambda i, also="": f"<body><div class=zone><span class=k9>All rights are with the owners of this site and nobody else.</span></div><div class=body><p>{say(i)}</p>{also}</div><div class=zone><p class=q>Call us at any time of the day, we are here for you.</p></div></body>"
+    rows = [(i, "http://n.org/x", page(i)) for i in range(6)] + [(9, "http://n.org/9", page(9, "<p class=q>Call</p>"))]
+    copies = [(100 + i, "http://copies.org/x", f"<body><div class=body><p>{say(77)}</p></div></body>") for i in range(8)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows + copies, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == say(i).strip() for i in range(6)) and all(found[100 + i] == say(77).strip() for i in range(8))
+
+
+def test_html_of_deep_and_wide_pages_is_linear():
+    import resource
+    import time
+
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    assert html_text.Page("<div>" * 200_000 + "deep").main(None) == "deep"
+    assert html_text.Page("<span>x" * 100_000 + "</b>" * 100_000).main(None).count("x") == 100_000
+    assert html_text.Page("<table>" + "<tr><td>cell of text</td></tr>" * 20_000).main(None).count("cell") == 20_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000 and time.time() - began < 60
+
+
 def test_sharding(spark):
     rows = [(i, "t" * (i % 50)) for i in range(3000)] + [(None, None), (None, ""), (7, "again"), (7, "again")]
     found = sharding.assigned(table(spark, rows), 40).collect()
