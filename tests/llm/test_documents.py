@@ -325,16 +325,37 @@ def test_html_of_deep_and_wide_pages_is_linear():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000 and time.time() - began < 60
 
 
-def test_sharding(spark):
-    rows = [(i, "t" * (i % 50)) for i in range(3000)] + [(None, None), (None, ""), (7, "again"), (7, "again")]
-    found = sharding.assigned(table(spark, rows), 40).collect()
-    assert len(found) == len(rows)
-    assert sorted((r["doc_id"] is None, r["doc_id"], r["size"], r["text_crc32"]) for r in found if r["doc_id"] is not None) == sorted((False, i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows if i is not None)
-    for s in range(40):
+def plain_map(shards, slots):
+    """Shards of slots by the rule said plainly: each new shard takes its share, one by one from the shard with most slots (of equals the least), first those that a hash of slot and count puts first."""
+    owner = [0] * slots
+    for count in range(2, shards + 1):
+        moved = set()
+        for _ in range(slots // count):
+            sizes = {k: sum(o == k for s, o in enumerate(owner) if s not in moved) for k in range(count - 1)}
+            fullest = min(sizes, key=lambda k: (-sizes[k], k))
+            moved.add(min((s for s, o in enumerate(owner) if o == fullest and s not in moved), key=lambda s: int.from_bytes(hashlib.sha256(f"{s}:{count}".encode()).digest()[:8])))
+        owner = [count - 1 if s in moved else o for s, o in enumerate(owner)]
+    return owner
+
+
+@pytest.mark.parametrize("part_rows", [100_000, 7])
+def test_sharding(spark, monkeypatch, tmp_path, part_rows):
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    rows = [(i, "t" * (i % 50)) for i in range(600)] + [(None, None), (None, ""), *[(7, "again")] * 50, (8, "long " * 50_000)]
+    path = f"file://{tmp_path}/map"
+    docs = table(spark, rows).withColumn("shard", F.lit("s")).withColumn("row", F.lit("r"))
+    found = sharding.assigned(docs, 6, slots=64, path=path).collect()
+    place = {r["i"]: r["s"] for r in spark.createDataFrame([(i,) for i in {r[0] for r in rows}], "i long").select("i", sharding.slot_of(F.col("i"), 64).alias("s")).collect()}
+    owner, more = plain_map(6, 64), plain_map(7, 64)
+    want = [(str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), owner[place[i]], more[place[i]], place[i]) for i, t in rows]
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"], r["shard"], r["grown_shard"], r["virtual_slot"]) for r in found) == sorted(want)
+    for s in range(6):
         mine = sorted(r["slot"] for r in found if r["shard"] == s)
         assert mine == list(range(len(mine)))
-    assert all(r["grown_shard"] in (r["shard"], 40) for r in found) and any(r["grown_shard"] == 40 for r in found)
-    assert len({(r["doc_id"], r["shard"]) for r in found if r["doc_id"] == 7}) == 1
+    held = {v: sum(n for _, n, *_, slot in want if slot == v) for v in set(place.values())}
+    assert all(r["slot_bytes"] == held[r["virtual_slot"]] for r in found)
+    assert sharding.load_map(spark, path, 1) == owner and sharding.load_map(spark, path) == more
+    assert spark.read.parquet(path).where("version = 2").count() == 64 // 7
     assert sharding.assigned(table(spark, []), 40).count() == 0
 
 
@@ -348,48 +369,19 @@ def test_slot_maps(spark, tmp_path):
     load = lambda o: [sum(z for z, s in zip(sizes, o) if s == k) for k in range(40)]
     even = sharding.rebalanced(owner, sizes)
     assert max(load(even)) <= max(1.02 * sum(sizes) / 40, 0) + 1000 and max(load(even)) <= max(load(owner))
-    path = str(tmp_path / "map")
-    sharding.store_map(sharding.map_table(spark, {1: owner}), path)
-    sharding.store_map(sharding.map_table(spark, {2: more}), path)
-    assert sharding.load_map(spark, path, 1) == owner and sharding.load_map(spark, path) == more
-
-
-def test_pseudonyms(spark):
-    rows = [(1, "mail a.b1@mail7.example.com, 97.51.17.173 4417744280351547 no 4417744280351548 +1 (017) 555-7713 2024-02-29 2023-02-30 123-45-6789 999.1.1.1###"), (2, None), (3, ""), (4, "clean 12 3.5 v1.2.3 and 1,000"), (5, 'again 97.51.17.173%%% key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (6, "x" * 100_000), (6, "x" * 100_000)]
-    found = pseudonyms.pseudonymised(table(spark, rows).withColumn("n_private", F.lit("old")), "k").collect()
-    by = {r["doc_id"]: r for r in found}
-    assert len(found) == len(rows) and by[4]["text"] == rows[3][1] and by[2]["text"] is None and by[3]["text"] == "" and by[6]["n_private"] == 0
-    new = by[1]["text"]
-    assert re.fullmatch(r"mail [a-z]\.[a-z]\d@[a-z]{4}\d\.[a-z]{7}\.com, (\d+\.){3}\d+ \d{16} no 4417744280351548 \+\d \(\d{3}\) \d{3}-\d{4} \d{4}-\d\d-\d\d 2023-02-30 \d{3}-\d{2}-\d{4} 999\.1\.1\.1###", new)
-    for gone in ("a.b1@mail7", "97.51.17.173", "4417744280351547", "555-7713", "2024-02-29", "123-45-6789"):
-        assert gone not in new
-    address = re.search(r"(?:\d+\.){3}\d+", new)[0]
-    assert f"again {address}%%%" in by[5]["text"] and "04dbebab" not in by[5]["text"] and by[1]["n_private"] == 6
-    number = re.search(r"\d{16}", new)[0]
-    assert sum(d - 9 if d > 9 else d for d in (int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(number)))) % 10 == 0
-    assert pseudonyms.pseudonymised(table(spark, []), "k").count() == 0
-
-
-def test_pseudonyms_beside_other_digits(spark):
-    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
-    rows = [(1, "4417 7442 8035 1547 12/27"), (2, "4417744280351547 123"), (3, "4417-7442-8035-1547-123"), (4, "no 12 4417 7442 8035 1547."), (5, "378282246310005 4417 7442 8035 1547"), (6, "4417744280351547"), (7, "1234 123-45-6789 x"), (8, f'TOKEN = "{secret.upper()}"'), (9, f'token = "{secret}"'), (10, f'token = "{secret[:20].upper()}{secret[20:]}"'), (11, "4417744280351548 123")]
-    by = {r["doc_id"]: r for r in pseudonyms.pseudonymised(table(spark, rows), "k").collect()}
-    new = by[6]["text"]
-    assert new != rows[5][1] and by[2]["text"] == f"{new} 123"
-    assert re.fullmatch(r"(\d{4} ){4}12/27", by[1]["text"]) and by[1]["text"][:19] != "4417 7442 8035 1547"
-    assert re.fullmatch(r"(\d{4}-){4}123", by[3]["text"]) and "4417-7442" not in by[3]["text"] and by[3]["n_private"] == 1
-    assert re.fullmatch(r"no 12 (\d{4} ){3}\d{4}\.", by[4]["text"]) and "4417 7442" not in by[4]["text"]
-    assert by[5]["n_private"] == 2 and "378282246310005" not in by[5]["text"] and "8035 1547" not in by[5]["text"]
-    assert re.fullmatch(r"1234 \d{3}-\d{2}-\d{4} x", by[7]["text"]) and "123-45-6789" not in by[7]["text"]
-    assert by[8]["text"] == by[9]["text"].upper() != rows[7][1] and by[10]["n_private"] == 1
-    assert by[11]["text"] == rows[10][1] and by[11]["n_private"] == 0
-
-
-def test_pseudonyms_are_a_permutation(spark):
-    values = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
-    assert {r[0] for r in values.select(pseudonyms.permuted(F.col("v"), "k", "test")).collect()} == {f"{i:03d}" for i in range(1000)}
-    days = spark.range(73000).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v")).sample(1.0)
-    assert days.select(pseudonyms.date(F.col("v"), "k").alias("d")).distinct().count() == 73000
+    path = f"file://{tmp_path}/map"
+    with pytest.raises(Exception):
+        sharding.store_map(spark, path, 2, more)
+    sharding.store_map(spark, path, 1, owner)
+    sharding.store_map(spark, path, 2, more)
+    found = sharding.records(table(spark, [(i, "x" * (i % 300)) for i in range(2000)]))
+    totals = sharding.slot_bytes(sharding.slot_totals(found))
+    assert sum(totals) == sum(16 + i % 300 for i in range(2000))
+    third = sharding.rebalanced(more, totals)
+    sharding.store_map(spark, path, 3, third)
+    assert [sharding.load_map(spark, path, v) for v in (1, 2, 3)] == [owner, more, third] and sharding.load_map(spark, path) == third
+    with pytest.raises(ValueError):
+        sharding.store_map(spark, path, 3, owner)
 
 
 def plain_pair(key, kind, a, b, sizes):
