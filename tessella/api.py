@@ -19,9 +19,9 @@ class History:
     def __init__(self, tables: dict):
         self.tables = tables
 
-    def ask(self, plan: str) -> DataFrame:
-        """Any plan of the catalog."""
-        return registry.run(plan, self.tables)
+    def ask(self, plan: str, **params) -> DataFrame:
+        """Any plan of the catalog, with its arguments (``catalog.PARAMS`` has their defaults)."""
+        return registry.run(plan, self.tables, **params)
 
     def of_project(self, project: str) -> History:
         """The same history, of one project's sessions only."""
@@ -48,8 +48,9 @@ class History:
         rows = self.ask("file_history").where(F.col("target") == path).collect()
         return rows[0].asDict() if rows else None
 
-    def sessions(self) -> DataFrame:
-        return self.ask("list_sessions")
+    def sessions(self, min_messages: int = 5, sort: str = "recent") -> DataFrame:
+        """Sessions of more messages than so many, by ``recent``, ``messages`` or ``tokens``."""
+        return self.ask("list_sessions", min_messages=min_messages, sort=sort)
 
     def danger_zones(self) -> DataFrame:
         return self.ask("danger_zones")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,13 +59,19 @@ def is_boilerplate(text: Column) -> Column:
     return out
 
 
-def next_step_sentences(text: Column) -> Column:
-    """Sentences of 20 characters or more that look ahead, cut at 200."""
+def next_step_sentences(text: Column, words: tuple[str, ...] = NEXT_STEPS) -> Column:
+    """Sentences of 20 characters or more that have one of the words, cut at 200."""
     sentences = F.transform(F.split(F.regexp_replace(text, "\n", ". "), r"\. "), lambda s: F.trim(s))
-    ahead = F.filter(sentences, lambda s: (F.length(s) >= 20) & F.lower(s).rlike("|".join(NEXT_STEPS)))
+    ahead = F.filter(sentences, lambda s: (F.length(s) >= 20) & F.lower(s).rlike("|".join(words)))
     return F.transform(ahead, lambda s: F.substring(s, 1, 200))
 
 
+def concepts_in(text: Column, words: tuple[str, ...]) -> Column:
+    """Which of the words a text has as whole words, each once."""
+    either = "|".join(re.escape(w) for w in words)
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z0-9_])({either})(?![a-z0-9_])"), F.lit(1)))
+
+
 def length_category(turns: Column) -> Column:
     return F.when(turns < 10, "short").when(turns <= 30, "medium").otherwise("long")
 

@@ -94,13 +94,12 @@ def quantised(vector: Column) -> Column:
     return F.transform(double, lambda x: F.greatest(F.lit(-128.0), F.least(F.lit(127.0), scaled(x))).cast("tinyint"))
 
 
-def nearest(vectors: DataFrame, query: list[float], limit: int = 20) -> DataFrame:
-    """message_id, distance (cosine) of the nearest vectors."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    norm = sum(x * x for x in query) ** 0.5
-    dot = F.aggregate(F.zip_with("embedding", q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    own = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.select("message_id", (F.round(1 - dot / (own * norm), 6) + F.lit(0.0)).alias("distance")).orderBy("distance", "message_id").limit(limit)
+def nearest(vectors: DataFrame, query: DataFrame, limit: int = 20) -> DataFrame:
+    """message_id, distance (cosine) of the nearest vectors to ``query`` (one row: query); none where it has no row."""
+    inner = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = vectors.crossJoin(F.broadcast(query.limit(1)))
+    distance = 1 - inner("embedding", "query") / (F.sqrt(inner("embedding", "embedding")) * F.sqrt(inner("query", "query")))
+    return met.select("message_id", (F.round(distance, 6) + F.lit(0.0)).alias("distance")).orderBy("distance", "message_id").limit(limit)
 
 
 def fused(first: DataFrame, second: DataFrame, limit: int = 20) -> DataFrame:

@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.artifacts import extract_artifacts
+from tessella.plans.catalog import CONCEPTS
 
-TABLES = ("messages", "sessions", "artifacts", "calls", "worktrees", "cycles", "checkpoints", "vectors", "corpus")
+TABLES = ("messages", "sessions", "artifacts", "calls", "worktrees", "cycles", "checkpoints", "experiments", "vectors", "corpus")
+#: The test texts are invented words: these stand for the words that a deployment looks for.
+CONCEPT_WORDS = (*CONCEPTS, "that", "with", "tion")
+DECISION_WORDS = ("tion", "thon", "ther")
+STEP_WORDS = ("tion", "ther")
 
 
 def _iso(ts: Column) -> Column:
@@ -97,6 +102,15 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("worktree_id"), F.concat(F.lit("sha"), "l_suppkey").alias("git_sha"), F.concat(F.lit("/src/f"), F.col("l_partkey") % 20, F.lit(".py")).alias("file"), _seconds("l_shipdate").alias("created_s"))
 
 
+def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cycles of a worktree, one after the other, stand for the two arms of an experiment."""
+    a, b = cycles(spark, sf_dir), cycles(spark, sf_dir)
+    arm = lambda df, name, at: df.select("worktree_id", (F.col("cycle_number") - at).alias("n"), F.col("outcome").alias(f"{name}_status"), F.col("duration_seconds").alias(f"{name}_duration"))
+    met = arm(a, "enriched", 0).join(arm(b, "baseline", 1), ["worktree_id", "n"])
+    delta = F.when(F.col("baseline_duration") != 0, F.round((F.col("enriched_duration") - F.col("baseline_duration")) * 100.0 / F.col("baseline_duration"), 2))
+    return met.select(F.concat("worktree_id", F.lit("-"), "n").alias("experiment_id"), "enriched_status", "baseline_status", "enriched_duration", "baseline_duration", delta.alias("duration_delta_pct"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("message_id"), "embedding")
 
@@ -164,6 +178,11 @@ SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS worktree_id, CAST(l_l
   date_diff('second', TIMESTAMP '1970-01-01', l_shipdate) AS created_s FROM lineitem""",
     "checkpoints": """
 SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS worktree_id, 'sha' || l_suppkey AS git_sha, '/src/f' || (l_partkey % 20) || '.py' AS file, date_diff('second', TIMESTAMP '1970-01-01', l_shipdate) AS created_s FROM lineitem""",
+    "experiments": """
+SELECT a.l_orderkey || '-' || a.l_linenumber AS experiment_id, CASE a.l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'passed' ELSE 'escalated' END AS enriched_status,
+  CASE b.l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'passed' ELSE 'escalated' END AS baseline_status, CAST(floor(a.l_quantity) AS BIGINT) * 10 AS enriched_duration, CAST(floor(b.l_quantity) AS BIGINT) * 10 AS baseline_duration,
+  CASE WHEN floor(b.l_quantity) != 0 THEN round((floor(a.l_quantity) - floor(b.l_quantity)) * 100.0E0 / floor(b.l_quantity), 2) END AS duration_delta_pct
+FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""",
     "vectors": "SELECT vec_id AS message_id, embedding FROM embeddings",
     "corpus": "SELECT doc_id AS id, text AS content, lang AS role, source AS tool_name FROM documents",
 }

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import rewrite, text
 from tessella.operators import graph, search
-from tessella.plans import binding, registry
+from tessella.plans import binding, catalog, registry
 
 TERMS = ["tion", "ther"]
 QUESTION = "how did we fix tion and thon near ther"
@@ -40,8 +40,9 @@ def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_search(_tables(spark, sf_dir)["corpus"], found["topic"], *COLUMNS, limit=3, per_keyword=15)
 
 
-def _query_vector(vectors: DataFrame) -> list[float]:
-    return [float(x) for x in vectors.where("message_id = 0").select("embedding").first()[0]]
+def _query_vector(vectors: DataFrame) -> DataFrame:
+    """The vector that others are compared with here: one row, or none."""
+    return vectors.where("message_id = 0").select(F.col("embedding").alias("query")).limit(1)
 
 
 def quantize_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,24 +69,41 @@ def clean_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five distinct sentences of each session that look ahead (here: have words of the test texts)."""
     talk = _tables(spark, sf_dir)["messages"].where("role = 'assistant' and tool_name is null")
-    return talk.select("id", F.explode(text.next_step_sentences(F.col("content"))).alias("step")).distinct()
+    found = talk.select("session_id", "sequence", F.posexplode(text.next_step_sentences(F.col("content"), binding.STEP_WORDS)).alias("place", "step"))
+    once = found.groupBy("session_id", "step").agg(F.min(F.struct("sequence", "place")).alias("at"))
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("at"))
+    return once.withColumn("number", number).where("number <= 5").select("session_id", "number", "step")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct beginnings of the best messages for each decision word (here: frequent words of the test texts)."""
+    """Distinct beginnings of the best messages for each decision word (here: words of the test texts), by their best rank."""
     docs = _tables(spark, sf_dir)["corpus"]
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("term").orderBy("score", "id"))
-    best = search.bm25(docs, ["tion", "thon", "ther"], *COLUMNS).withColumn("rank", rank).where("rank <= 5")
+    best = search.bm25(docs, list(binding.DECISION_WORDS), *COLUMNS).withColumn("rank", rank).where("rank <= 5")
     met = best.join(docs, "id").where((F.length("content") >= 50) & ~text.is_boilerplate(F.col("content")))
     return met.groupBy(F.substring("content", 1, 200).alias("beginning")).agg(F.min("rank").alias("rank")).orderBy("rank", "beginning").limit(10)
 
 
+def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many messages and sessions each concept comes."""
+    talk = _tables(spark, sf_dir)["messages"].select("session_id", F.explode(text.concepts_in(F.col("content"), binding.CONCEPT_WORDS)).alias("concept"))
+    return talk.groupBy("concept").agg(F.count("*").alias("frequency"), F.count_distinct("session_id").alias("sessions"))
+
+
+def concept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that sessions of a concept touched (here: each message's role and tool stand for concepts, as test sessions with files have no prose)."""
+    t = _tables(spark, sf_dir)
+    named = F.explode(text.concepts_in(F.concat_ws(" ", "role", "tool_name"), ("assistant", "user", "bash", "edit", "read", "write")))
+    of_session = t["messages"].select("session_id", named.alias("concept")).distinct()
+    files = t["artifacts"].where("artifact_type like 'file%'").select("session_id", F.col("target").alias("path")).distinct()
+    return of_session.join(files, "session_id").groupBy("concept", "path").agg(F.count("*").alias("sessions"))
+
+
 def extract_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five keywords of each user message, in column functions (the driver's rule, for many texts at once)."""
-    talk = _tables(spark, sf_dir)["messages"].where("role = 'user' and session_id like 'c%'")
+    """Up to five keywords of each user message."""
+    talk = _tables(spark, sf_dir)["messages"].where("role = 'user'")
     words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z_][a-z0-9_.-]*"), F.lit(0))
     useful = F.array_distinct(F.filter(words, lambda w: ~w.isin(*sorted(rewrite.STOPWORDS))))
     return talk.select("id", F.array_join(F.slice(useful, 1, 5), " ").alias("keywords"))
@@ -106,10 +124,10 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = registry.run("tested_by", _tables(spark, sf_dir)).select(F.col("source").alias("src"), F.col("test_file").alias("dst"))
-    return graph.shortest_paths(edges, "/src/mod1/f1.py", "/src/mod2/f2.py")
+    return graph.shortest_paths(edges, *_ENDS)
 
 
-QUERIES = {f"q_{f.__name__}": f for f in (fts_search, postings, boolean_search, nl_search, recall, quantize_int8, knn, hybrid_rrf, clean_project, next_steps, decisions, extract_keywords, pagerank, communities, shortest_path)}
+QUERIES = {f"q_{f.__name__}": f for f in (fts_search, postings, boolean_search, nl_search, recall, quantize_int8, knn, hybrid_rrf, clean_project, next_steps, decisions, concepts, concept_files, extract_keywords, pagerank, communities, shortest_path)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(concat_ws(' ', content, role, tool_name)), '[^\p{L}\p{N}]+'), lambda x: x != '')"
 _DOCS = f"corpus AS ({binding.ORACLE['corpus']}), d AS (SELECT id, content, {_TOKENS} AS t FROM corpus), size AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean FROM d)"
@@ -149,4 +167,23 @@ ORACLES = {
     "q_clean_project": "SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 = 2 THEN '-home-user-tmp-app-' || conv_id ELSE 'app-' || conv_id END AS project FROM conversations",
 }
 # The first five distinct words in order: positions at which a word comes first.
-ORACLES["q_extract_keywords"] = f"SELECT conv_id * 1000 + turn AS id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' ') AS keywords FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_.-]*'), lambda x: x NOT IN ({_STOP})) AS w FROM conversations WHERE role = 'user')"
+ORACLES["q_extract_keywords"] = registry.with_views(f"SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' ') AS keywords FROM (SELECT id, list_filter(regexp_extract_all(lower(content), '[a-z_][a-z0-9_.-]*'), lambda x: x NOT IN ({_STOP})) AS w FROM {{messages}} WHERE role = 'user')")
+_AHEAD = " OR ".join(f"contains(lower(x), '{w}')" for w in binding.STEP_WORDS)
+ORACLES["q_next_steps"] = registry.with_views(
+    f"SELECT session_id, number, step FROM (SELECT session_id, step, row_number() OVER (PARTITION BY session_id ORDER BY sequence, place) AS number FROM (SELECT session_id, step, sequence, place FROM (SELECT session_id, sequence, generate_subscripts(v, 1) AS place, unnest(v) AS step FROM "
+    f"(SELECT session_id, sequence, list_transform(list_filter(list_transform(string_split(replace(content, chr(10), '. '), '. '), lambda x: trim(x)), lambda x: length(x) >= 20 AND ({_AHEAD})), lambda x: left(x, 200)) AS v FROM {{messages}} WHERE role = 'assistant' AND tool_name IS NULL)) "
+    "QUALIFY row_number() OVER (PARTITION BY session_id, step ORDER BY sequence, place) = 1)) WHERE number <= 5"
+)
+_PLAIN = " OR ".join(f"starts_with(lower(trim(content)), '{p.replace(chr(39), chr(39) * 2)}')" for p in (*text.BOILERPLATE, "{", "["))
+ORACLES["q_decisions"] = f"WITH {_DOCS}, {_bm25(list(binding.DECISION_WORDS))}, r AS (SELECT id, row_number() OVER (PARTITION BY term ORDER BY score, id) AS rank FROM b) SELECT left(content, 200) AS beginning, min(rank) AS rank FROM r JOIN corpus USING (id) WHERE rank <= 5 AND length(content) >= 50 AND NOT ({_PLAIN}) GROUP BY 1 ORDER BY rank, beginning LIMIT 10"
+ORACLES["q_concepts"] = registry.with_views("SELECT concept, count(*) AS frequency, count(DISTINCT session_id) AS sessions FROM {messages}, (VALUES " + ", ".join(f"('{w}')" for w in binding.CONCEPT_WORDS) + ") c(concept) WHERE list_contains(string_split(regexp_replace(lower(content), CASE WHEN contains(concept, '/') THEN '[^a-z0-9_/]+' ELSE '[^a-z0-9_]+' END, ' ', 'g'), ' '), concept) GROUP BY concept")
+ORACLES["q_concept_files"] = registry.with_views("SELECT concept, target AS path, count(DISTINCT session_id) AS sessions FROM (SELECT session_id, role AS concept FROM {messages} UNION ALL SELECT session_id, lower(tool_name) FROM {messages} WHERE tool_name IS NOT NULL) JOIN {artifacts} USING (session_id) WHERE starts_with(artifact_type, 'file') GROUP BY 1, 2")
+_ENDS = ("/src/mod1/f1.py", "/src/mod2/f2.py")
+#: Hops from either end by walks, then the paths that come one hop nearer at each step.
+ORACLES["q_shortest_path"] = registry.with_views(
+    f"WITH RECURSIVE t AS ({catalog.to_duckdb(catalog.PLANS['tested_by'])}), e AS (SELECT source AS src, test_file AS dst FROM t UNION SELECT test_file, source FROM t), "
+    f"f(node, d) AS (SELECT '{_ENDS[0]}', 0 UNION SELECT dst, d + 1 FROM f JOIN e ON src = node WHERE d < 6), b(node, d) AS (SELECT '{_ENDS[1]}', 0 UNION SELECT dst, d + 1 FROM b JOIN e ON src = node WHERE d < 6), "
+    f"near AS (SELECT node, min(d) AS d FROM b GROUP BY node), whole AS (SELECT min(d) AS d FROM f WHERE node = '{_ENDS[1]}'), "
+    f"p(node, path, hops) AS (SELECT '{_ENDS[0]}', '{_ENDS[0]}', 0 UNION ALL SELECT e.dst, path || ' > ' || e.dst, hops + 1 FROM p JOIN e ON e.src = p.node JOIN near n ON n.node = e.dst, whole WHERE n.d = whole.d - hops - 1) "
+    f"SELECT path, CAST(hops AS INT) AS hops FROM p, whole WHERE hops = whole.d AND node = '{_ENDS[1]}' ORDER BY path LIMIT 5"
+)

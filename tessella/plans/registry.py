@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.plans import binding, catalog
 
 
+NAMES = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
+
+
 def run(name: str, tables: dict, **params) -> DataFrame:
-    """The plan ``name`` over the given tables (a dict of DataFrames)."""
+    """The plan ``name`` over the given tables (a dict of DataFrames), with its arguments or their defaults."""
     plan = catalog.PLANS[name]
-    used = {t: tables[t] for t in set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", plan))}
+    names = set(NAMES.findall(plan))
+    if unknown := set(params) - names:
+        raise TypeError(f"plan {name} takes no {', '.join(sorted(unknown))}")
+    used = {t: tables[t] for t in names - set(catalog.PARAMS)}
     spark = next(iter(used.values())).sparkSession
-    return spark.sql(plan, **used, **params)
+    return spark.sql(plan, **used, **{p: params.get(p, catalog.PARAMS[p]) for p in names & set(catalog.PARAMS)})
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,8 +33,8 @@ NEEDS = {"messages": ["ev"], "sessions": ["messages"], "artifacts": ["messages"]
 
 
 def with_views(plan: str) -> str:
-    """A plan as one DuckDB statement, the views that it uses in front."""
-    plan = catalog.to_duckdb(plan)
+    """A plan as one DuckDB statement, its arguments put in and the views that it uses in front."""
+    plan = catalog.to_duckdb(NAMES.sub(lambda m: catalog.quoted(catalog.PARAMS[m[1]]) if m[1] in catalog.PARAMS else m[0], plan))
     used: list[str] = []
 
     def need(view: str) -> None:
@@ -41,7 +47,7 @@ def with_views(plan: str) -> str:
         need(view)
     body = re.sub(r"(?<!\{)\{(\w+)\}(?!\})", lambda m: m[1], plan).replace("{{", "{").replace("}}", "}")
     views = ", ".join(f"{v} AS ({binding.ORACLE[v]})" for v in used)
-    return f"WITH {views} SELECT * FROM ({body})" if "LIMIT" not in body[-12:] else f"WITH {views} {body}"
+    return f"WITH {views} SELECT * FROM ({body})" if "LIMIT" not in body[-12:] or body.startswith("WITH") else f"WITH {views} {body}"
 
 
 def queries() -> dict:
@@ -51,6 +57,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessella.plans import extra
+    from tessella.plans import extra, oracles
 
-    return {f"q_{name}": with_views(plan) for name, plan in catalog.PLANS.items()} | extra.ORACLES
+    same = {f"q_{name}": with_views(plan) for name, plan in catalog.PLANS.items() if name not in oracles.APART}
+    return same | {f"q_{name}": with_views(sql) for name, sql in oracles.APART.items()} | extra.ORACLES
