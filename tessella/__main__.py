@@ -1,4 +1,4 @@
-"""``python -m tessella TABLES PLAN``: prints a plan's result over stored tables; ``brief PROJECT``, ``search QUESTION``, ``insights``, ``plans``."""
+"""``python -m tessella TABLES PLAN``: prints a plan's result over stored tables; ``index TRANSCRIPTS`` (``--full``: all files again), ``clean-names``, ``brief PROJECT``, ``search QUESTION``, ``insights``, ``plans``."""
 
 from __future__ import annotations
 
@@ -9,14 +9,17 @@ from pyspark.sql import SparkSession
 
 from tessella.api import History
 from tessella.plans import binding, catalog
+from tessella.sources import store
 from tessella.sources.transcripts import exported
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="tessella", description=__doc__)
     parser.add_argument("tables", help="folder of the stored tables")
-    parser.add_argument("question", help="a plan's name, or: plans, insights, brief, search")
+    parser.add_argument("question", help="a plan's name, or: index, clean-names, plans, insights, brief, search")
     parser.add_argument("argument", nargs="?", default="")
+    parser.add_argument("--full", action="store_true", help="index files again whose size is as it was")
+    parser.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="an argument of the plan")
     parser.add_argument("--export", help="write the result to this folder instead")
     parser.add_argument("--format", choices=("json", "csv"), default="json")
     given = parser.parse_args()
@@ -24,13 +27,16 @@ def main() -> None:
         print("\n".join(catalog.PLANS))
         return
     spark = SparkSession.builder.appName("tessella").getOrCreate()
+    if given.question in ("index", "clean-names"):
+        print(store.index(spark, given.argument, given.tables, given.full) if given.question == "index" else store.rename_projects(spark, given.tables))
+        return
     history = History(binding.stored(spark, given.tables))
     if given.question == "brief":
         print(history.brief(given.argument))
     elif given.question == "insights":
         print(json.dumps(history.insights(), indent=1, default=str))
     else:
-        df = history.search(given.argument) if given.question == "search" else history.ask(given.question)
+        df = history.search(given.argument) if given.question == "search" else history.ask(given.question, **{k: int(v) if v.lstrip("-").isdigit() else v for k, v in (x.split("=", 1) for x in getattr(given, "set"))})
         exported(df, given.export, given.format) if given.export else df.show(100, truncate=120)
 
 

@@ -27,17 +27,26 @@ class History:
         """The same history, of one project's sessions only."""
         sessions = self.tables["sessions"].where(F.col("project") == project)
         mine = {t: self.tables[t].join(sessions.select("session_id"), "session_id", "left_semi") for t in ("messages", "artifacts")}
-        return History({**{t: self.tables[t] for t in self.tables}, **mine, "sessions": sessions})
+        whole = self.tables
+
+        class Own(dict):
+            def __missing__(self, name: str) -> DataFrame:
+                return whole[name]
+
+        return History(Own(mine | {"sessions": sessions}))
 
     def _corpus(self) -> DataFrame:
         return self.tables["messages"].select("id", "content", "role", "tool_name", "session_id", "sequence", "timestamp")
 
     def search(self, question: str, project: str | None = None, limit: int = 10) -> DataFrame:
-        """Messages that answer a question: by keywords found, then by time; a project narrows the hits."""
-        found = search.keyword_search(self._corpus(), question, "content", "role", "tool_name", limit=limit)
-        met = found.join(self._corpus(), "id").join(self.tables["sessions"].select("session_id", "project"), "session_id", "left")
-        met = met.where(F.col("project") == project) if project else met
-        return met.select("session_id", "sequence", "project", "role", "timestamp", "hits", search.snippet(F.col("content")).alias("snippet")).orderBy(F.desc("hits"), F.desc(F.coalesce("timestamp", F.lit(""))))
+        """Messages that answer a question: by keywords found, then by time; a project's own are searched alone, so its hits are not cut by those of others."""
+        docs = self._corpus()
+        if project:
+            docs = docs.join(self.tables["sessions"].where(F.col("project") == project).select("session_id"), "session_id", "left_semi")
+        found = search.keyword_search(docs, question, "content", "role", "tool_name", limit=limit)
+        met = found.join(docs, "id").join(self.tables["sessions"].select("session_id", "project"), "session_id", "left")
+        order = (F.desc("hits"), F.desc(F.coalesce("timestamp", F.lit(""))), F.desc("id"))
+        return met.orderBy(*order).select("session_id", "sequence", "project", "role", "timestamp", "hits", search.snippet(F.col("content")).alias("snippet"))
 
     def recall(self, message: str) -> DataFrame | None:
         """The three best messages on the past work that a message speaks of; None if it speaks of none."""

@@ -16,7 +16,11 @@ def tool_arguments(content: Column) -> Column:
     """Arguments of a tool message as a map of strings: ``tool_use:Name(k=v, ...)`` or a JSON object; null if neither."""
     inside = F.regexp_extract(content, r"^tool_use:\w+\(([^)]*)\)", 1)
     pairs = F.str_to_map(F.regexp_replace(inside, "…", ""), F.lit(", "), F.lit("="))
-    return F.when(content.startswith("tool_use:"), pairs).otherwise(F.from_json(content, "map<string,string>"))
+    # Literals of Python's dicts: quotes of either kind are read anyway, its constants are spelled as JSON's.
+    constant = lambda text, mine, other: F.regexp_replace(text, rf"([\[:,]\s*){mine}(?=\s*[\],}}])", f"$1{other}")
+    literal = constant(constant(constant(content, "True", "true"), "False", "false"), "None", "null")
+    read = lambda text: F.from_json(text, "map<string,string>", {"allowBackslashEscapingAnyCharacter": "true"})
+    return F.when(content.startswith("tool_use:"), pairs).otherwise(F.coalesce(read(content), read(literal)))
 
 
 def error_text(content: Column) -> Column:
@@ -28,11 +32,7 @@ def error_text(content: Column) -> Column:
 
 
 def extract_artifacts(messages: DataFrame) -> DataFrame:
-    """id, session_id, artifact_type, target, tool_name, sequence, context; one for each session, type, target and place.
-
-    A narrow map: nothing is shuffled. Messages of a session have distinct
-    sequence numbers, so the uniqueness of the four columns needs no aggregate.
-    """
+    """id, session_id, artifact_type, target, tool_name, sequence, context: a narrow map, nothing is shuffled."""
     api = F.col("tool_name").startswith("mcp_")
     lookup = lambda d: F.element_at(F.create_map(*(F.lit(x) for pair in d.items() for x in pair)), F.col("tool_name"))
     kind = F.when(api, "api_call").otherwise(lookup(ARTIFACT_OF_TOOL))
@@ -42,3 +42,10 @@ def extract_artifacts(messages: DataFrame) -> DataFrame:
     tools = messages.where("tool_name is not null").select("id", "session_id", kind.alias("artifact_type"), F.nullif(target, F.lit("")).alias("target"), "tool_name", "sequence", F.lit(None).cast("string").alias("context"))
     errors = messages.where("tool_name is null").select("id", "session_id", F.lit("error").alias("artifact_type"), error_text(F.col("content")).alias("target"), "tool_name", "sequence", F.col("content").alias("context"))
     return tools.unionByName(errors).where("artifact_type is not null and target is not null")
+
+
+def unique_artifacts(found: DataFrame) -> DataFrame:
+    """One artifact for each session, type, target and place: that of the least id."""
+    keys = ["session_id", "artifact_type", "target", "sequence"]
+    rest = [c for c in found.columns if c not in keys]
+    return found.groupBy(*keys).agg(F.min(F.struct("id", *(c for c in rest if c != "id"))).alias("a")).select(*(f"a.{c}" if c in rest else c for c in found.columns))

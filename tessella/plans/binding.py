@@ -132,8 +132,16 @@ def bound(spark: SparkSession, sf_dir: str) -> dict:
 
 
 def stored(spark: SparkSession, path: str) -> dict:
-    """The same tables as a deployment keeps them: Parquet folders under ``path``."""
-    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    """The same tables as a deployment keeps them (``sources.store``): Parquet folders under ``path``, opened when asked for."""
+
+    class Lazy(dict):
+        def __missing__(self, name: str) -> DataFrame:
+            if name not in TABLES:
+                raise KeyError(name)
+            self[name] = spark.read.parquet(f"{path}/{name}").drop("bucket")
+            return self[name]
+
+    return Lazy()
 
 
 #: The views for DuckDB.

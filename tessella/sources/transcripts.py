@@ -17,7 +17,7 @@ THINKING, OUTPUT = 500, 500
 TRAIL_TOOLS = ("Write", "Edit", "Read", "Bash", "Glob", "Grep")
 
 
-def lines(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """session_id (the file's name), project (its folder below ``projects``), place (order in the file), v (the parsed line)."""
     parse = F.parse_json if strict else F.try_parse_json
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
@@ -70,7 +70,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sequence", (F.row_number().over(order) - 1).cast("long"))
 
 
-def chat_messages(spark: SparkSession, path: str) -> DataFrame:
+def chat_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Messages of chat transcripts: user, assistant, summary and sub-agent events.
 
     An assistant's event gives a row for its text and one for each tool call
@@ -175,10 +175,10 @@ def sse_usage(streams: DataFrame) -> DataFrame:
     return streams.select("id").join(found, "id", "left")
 
 
-def discovered(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """Transcript files, the largest first: path, length, modified."""
+def discovered(spark: SparkSession, path: str, since: str | None = None, newest: bool = False) -> DataFrame:
+    """Transcript files, the largest (or newest) first: path, length, modified."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
-    return (files.where(F.col("modified") >= F.lit(since).cast("timestamp")) if since else files).orderBy(F.desc("length"), "path")
+    return (files.where(F.col("modified") >= F.lit(since).cast("timestamp")) if since else files).orderBy(F.desc("modified" if newest else "length"), "path")
 
 
 def merged_messages(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -188,11 +188,16 @@ def merged_messages(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_at", F.row_number().over(last)).where("_at = 1").drop("_new", "_at")
 
 
+def merged_by_key(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of either side, one a key, with each column's new value, or the stored one where that is null."""
+    columns = [c for c in stored.columns if c != key]
+    met = stored.alias("s").join(new.alias("n"), key, "full_outer")
+    return met.select(key, *(F.coalesce(f"n.{c}" if c in new.columns else F.lit(None), f"s.{c}").alias(c) for c in columns))
+
+
 def merged_sessions(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Session rows with each column's new value, or the stored one where that is null."""
-    columns = [c for c in stored.columns if c != "session_id"]
-    met = stored.alias("s").join(new.alias("n"), "session_id", "full_outer")
-    return met.select("session_id", *(F.coalesce(f"n.{c}" if c in new.columns else F.lit(None), f"s.{c}").alias(c) for c in columns))
+    return merged_by_key(stored, new, "session_id")
 
 
 def exported(df: DataFrame, path: str, form: str = "json") -> None:
