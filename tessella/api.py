@@ -50,8 +50,8 @@ class History:
 
     def recall(self, message: str) -> DataFrame | None:
         """The three best messages on the past work that a message speaks of; None if it speaks of none."""
-        found = rewrite.recall_intent(message)
-        return self.search(" ".join(found["keywords"]), limit=3) if found else None
+        topic = rewrite.answers(self.tables["messages"].sparkSession, message, rewrite.recall_topic)
+        return self.search(topic, limit=3) if topic else None
 
     def file_history(self, path: str) -> dict | None:
         rows = self.ask("file_history").where(F.col("target") == path).collect()

@@ -9,6 +9,7 @@ the driver.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,11 +19,22 @@ from tessella.functions import rewrite
 
 K1, B, RRF = 1.2, 0.75, 60
 SEPARATORS = r"[^\p{L}\p{N}]+"
+#: Small letters of the Latin blocks that are a letter with marks, and that letter, by the rule of Unicode's decompositions.
+MARKED = [(c, base) for c in map(chr, range(0xDF, 0x250)) if c == c.lower() and (base := unicodedata.normalize("NFD", c)[0]) != c]
+
+
+def folded(text: Column) -> Column:
+    """Lower-cased, without the marks of Latin letters."""
+    return F.translate(F.lower(text), "".join(c for c, _ in MARKED), "".join(base for _, base in MARKED))
+
+
+def plain(term: str) -> str:
+    """What ``folded`` makes of a text, for the few terms of a query."""
+    return term.lower().translate(str.maketrans(dict(MARKED)))
 
 
 def tokens(*columns: str) -> Column:
-    text = F.lower(F.concat_ws(" ", *columns))
-    return F.filter(F.split(text, SEPARATORS), lambda t: t != "")
+    return F.filter(F.split(folded(F.concat_ws(" ", *columns)), SEPARATORS), lambda t: t != "")
 
 
 def postings(docs: DataFrame, *columns: str) -> DataFrame:
@@ -38,7 +50,7 @@ def corpus_size(docs: DataFrame, *columns: str) -> DataFrame:
 
 def bm25(docs: DataFrame, terms: list[str], *columns: str) -> DataFrame:
     """term, id, score of each document that has a term; lower is better, as in the usual full-text index."""
-    wanted = [t.lower() for t in terms]
+    wanted = [plain(t) for t in terms]
     hits = docs.select("id", tokens(*columns).alias("t")).select("id", F.size("t").alias("length"), F.explode(F.array(*map(F.lit, dict.fromkeys(wanted)))).alias("term"), "t")
     hits = hits.select("id", "term", "length", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("tf")).where("tf > 0")
     n = hits.groupBy("term").agg(F.count("*").alias("n"))
@@ -50,7 +62,7 @@ def bm25(docs: DataFrame, terms: list[str], *columns: str) -> DataFrame:
 def search(docs: DataFrame, terms: list[str], *columns: str, limit: int = 20) -> DataFrame:
     """id, score of the best documents that have all terms."""
     scored = bm25(docs, terms, *columns).groupBy("id").agg(F.sum("score").alias("score"), F.count("*").alias("found"))
-    return scored.where(F.col("found") == len(dict.fromkeys(t.lower() for t in terms))).select("id", F.round("score", 6).alias("score")).orderBy("score", "id").limit(limit)
+    return scored.where(F.col("found") == len(dict.fromkeys(map(plain, terms)))).select("id", F.round("score", 6).alias("score")).orderBy("score", "id").limit(limit)
 
 
 def boolean_query(docs: DataFrame, query: str, *columns: str) -> DataFrame:
@@ -65,7 +77,7 @@ def boolean_query(docs: DataFrame, query: str, *columns: str) -> DataFrame:
                 continue
             if word == "AND":
                 continue
-            parts = [p for p in re.split(r"[\W_]+", (phrase or word).lower()) if p]
+            parts = [p for p in re.split(r"[\W_]+", plain(phrase or word)) if p]
             end = "" if word.endswith("*") else " "
             test = F.col("_t").contains(" " + " ".join(parts) + end) if parts else F.lit(True)
             tests.append(~test if negate else test)
@@ -76,7 +88,7 @@ def boolean_query(docs: DataFrame, query: str, *columns: str) -> DataFrame:
 
 def keyword_search(docs: DataFrame, question: str, *columns: str, limit: int = 10, per_keyword: int | None = None) -> DataFrame:
     """Documents by how many of the question's keywords find them among their best hits, then by id."""
-    found = rewrite.expanded(rewrite.keywords(question))
+    found = rewrite.search_terms(docs.sparkSession, question)
     rank = F.row_number().over(Window.partitionBy("term").orderBy("score", "id"))
     best = bm25(docs, found, *columns).withColumn("rank", rank).where(F.col("rank") <= (per_keyword or 3 * limit))
     return best.groupBy("id").agg(F.count("*").alias("hits"), F.min("rank").alias("best_rank")).orderBy(F.desc("hits"), "best_rank", "id").limit(limit)

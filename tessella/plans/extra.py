@@ -36,8 +36,8 @@ def nl_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rewrite.recall_intent(QUESTION)
-    return search.keyword_search(_tables(spark, sf_dir)["corpus"], found["topic"], *COLUMNS, limit=3, per_keyword=15)
+    topic = rewrite.answers(spark, QUESTION, rewrite.recall_topic)
+    return search.keyword_search(_tables(spark, sf_dir)["corpus"], topic, *COLUMNS, limit=3, per_keyword=15)
 
 
 def _query_vector(vectors: DataFrame) -> DataFrame:
@@ -104,9 +104,7 @@ def concept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five keywords of each user message."""
     talk = _tables(spark, sf_dir)["messages"].where("role = 'user'")
-    words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z_][a-z0-9_.-]*"), F.lit(0))
-    useful = F.array_distinct(F.filter(words, lambda w: ~w.isin(*sorted(rewrite.STOPWORDS))))
-    return talk.select("id", F.array_join(F.slice(useful, 1, 5), " ").alias("keywords"))
+    return talk.select("id", F.array_join(rewrite.keywords(F.col("content")), " ").alias("keywords"))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +127,7 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f"q_{f.__name__}": f for f in (fts_search, postings, boolean_search, nl_search, recall, quantize_int8, knn, hybrid_rrf, clean_project, next_steps, decisions, concepts, concept_files, extract_keywords, pagerank, communities, shortest_path)}
 
-_TOKENS = r"list_filter(regexp_split_to_array(lower(concat_ws(' ', content, role, tool_name)), '[^\p{L}\p{N}]+'), lambda x: x != '')"
+_TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(concat_ws(' ', content, role, tool_name))), '[^\p{L}\p{N}]+'), lambda x: x != '')"
 _DOCS = f"corpus AS ({binding.ORACLE['corpus']}), d AS (SELECT id, content, {_TOKENS} AS t FROM corpus), size AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean FROM d)"
 
 
@@ -145,8 +143,7 @@ def _search(limit: int) -> str:
     return f"SELECT id, round(score, 6) AS score FROM (SELECT id, sum(score) AS score, count(*) AS c FROM b GROUP BY id) WHERE c = {len(TERMS)} ORDER BY score, id LIMIT {limit}"
 
 
-def _keyword(question: str, limit: int, each: int) -> str:
-    terms = rewrite.expanded(rewrite.keywords(question))
+def _keyword(terms: list[str], limit: int, each: int) -> str:
     return f"WITH {_DOCS}, {_bm25(terms)} SELECT id, count(*) AS hits, min(rank) AS best_rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score, id) AS rank FROM b) WHERE rank <= {each} GROUP BY id ORDER BY hits DESC, best_rank, id LIMIT {limit}"
 
 
@@ -159,15 +156,18 @@ ORACLES = {
     "q_fts_search": f"WITH {_DOCS}, {_bm25(TERMS)} {_search(20)}",
     "q_postings": f"WITH {_DOCS} SELECT term, count(DISTINCT id) AS n_docs, count(*) AS n FROM (SELECT id, unnest(t) AS term FROM d) GROUP BY term",
     "q_boolean_search": f"WITH {_DOCS} SELECT id FROM (SELECT id, {_PADDED} AS p FROM d) WHERE (contains(p, ' tion ') AND contains(p, ' of the ') AND NOT contains(p, ' thon ')) OR contains(p, ' eau')",
-    "q_nl_search": _keyword(QUESTION, 10, 30),
-    "q_recall": _keyword((rewrite.recall_intent(QUESTION) or {})["topic"], 3, 15),
+    "q_nl_search": _keyword(["fix", "tion", "thon", "near", "ther"], 10, 30),
+    "q_recall": _keyword(["tion", "thon", "near", "ther"], 3, 15),
     "q_quantize_int8": "WITH v AS (SELECT vec_id AS message_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT message_id, array_to_string(list_transform(e, lambda x: CAST(CAST(greatest(-128.0, least(127.0, round_even(x / sqrt(list_inner_product(e, e)) * 127, 0))) AS INT) AS VARCHAR)), ',') AS vector FROM v",
     "q_knn": f"WITH {_V} {_NEAR.format(n=20)}",
     "q_hybrid_rrf": f"WITH {_DOCS}, {_bm25(TERMS)}, {_V}, f AS (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM ({_search(60)})), n2 AS (SELECT message_id AS id, row_number() OVER (ORDER BY distance, message_id) AS rank FROM ({_NEAR.format(n=60)})) SELECT id, round(coalesce(1.0E0 / (60 + f.rank), 0) + coalesce(1.0E0 / (60 + n2.rank), 0), 8) AS score FROM f FULL JOIN n2 USING (id) ORDER BY score DESC, id LIMIT 20",
     "q_clean_project": "SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 = 2 THEN '-home-user-tmp-app-' || conv_id ELSE 'app-' || conv_id END AS project FROM conversations",
 }
 # The first five distinct words in order: positions at which a word comes first.
-ORACLES["q_extract_keywords"] = registry.with_views(f"SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' ') AS keywords FROM (SELECT id, list_filter(regexp_extract_all(lower(content), '[a-z_][a-z0-9_.-]*'), lambda x: x NOT IN ({_STOP})) AS w FROM {{messages}} WHERE role = 'user')")
+ORACLES["q_extract_keywords"] = registry.with_views(
+    f"SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' ') AS keywords FROM (SELECT id, CASE WHEN len(w) > 0 THEN w ELSE list_transform(list_sort(list_transform(a, lambda x, i: struct_pack(n := -length(x), i := i, x := x)))[1:3], lambda y: y.x) END AS w "
+    f"FROM (SELECT id, a, list_filter(a, lambda x: x NOT IN ({_STOP})) AS w FROM (SELECT id, regexp_extract_all(lower(content), '[a-z_][a-z0-9_.-]*') AS a FROM {{messages}} WHERE role = 'user')))"
+)
 _AHEAD = " OR ".join(f"contains(lower(x), '{w}')" for w in binding.STEP_WORDS)
 ORACLES["q_next_steps"] = registry.with_views(
     f"SELECT session_id, number, step FROM (SELECT session_id, step, row_number() OVER (PARTITION BY session_id ORDER BY sequence, place) AS number FROM (SELECT session_id, step, sequence, place FROM (SELECT session_id, sequence, generate_subscripts(v, 1) AS place, unnest(v) AS step FROM "

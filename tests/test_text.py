@@ -24,13 +24,19 @@ def test_prompts_and_sentences(spark):
     assert one(spark, text.line_change(F.col("x"), F.col("y")), x="a\nb", y="c") == "+1/-2"
 
 
-def test_rewriting():
-    assert rewrite.keywords("how did we fix the webhook error?") == ["fix", "webhook", "error"]
-    assert rewrite.keywords("what is the") == ["what", "the", "is"]
-    assert rewrite.expanded(["auth"]) == ["auth", "authentication", "login", "JWT", "token", "session"]
-    assert rewrite.recall_intent("What was the command for deploying?")["topic"] == "deploying"
-    assert rewrite.recall_intent("please add a button") is None
-    assert rewrite.quoted_query('pre-commit "race condition"') == '"pre-commit" "race condition"'
+def test_rewriting(spark):
+    say = lambda question, f: rewrite.answers(spark, question, f)
+    assert say("Where do we log the deposit webhook failures?", rewrite.keywords) == ["log", "deposit", "webhook", "failures"]
+    assert say("who was that", rewrite.keywords) == ["that", "who", "was"]
+    assert rewrite.search_terms(spark, "a bug in Auth") == ["bug", "auth", "error", "fix", "broke", "broken", "fail", "authentication"]
+    assert say("Remember when we moved the tables?", rewrite.recall_topic) == "moved the tables"
+    assert say("So we did this before?", rewrite.recall_topic) == "before"
+    assert say("please add a button", rewrite.recall_topic) is None
+    assert say('dry-run "two words" ""', rewrite.quoted_query) == '"dry-run" "two words"'
+
+
+def test_marks_are_folded(spark):
+    assert one(spark, search.tokens("x"), x="Éclair NAÏVE straße Łódź") == ["eclair", "naive", "straße", "łodz"] and search.plain("Éclair") == "eclair"
 
 
 def test_scores_are_those_of_a_full_text_index(spark):
