@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.shared import written
+from tessella.functions.shared import discard, written
 from tessella.llm import decontaminate, jaccard, line_dedup, quality, sentencepieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -67,7 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = written(docs, f"stage{number}")
+            kept = written(kept, f"stage{number}")
+            discard(docs)  # nothing reads the stage before any more
+        docs = kept
     return docs

@@ -8,9 +8,14 @@ occurrences of that word start a comparison. The word's place in the window
 bounds where the window may begin, its length bounds where it may end, and what
 is left is compared word by word.
 
-The benchmark is taken in blocks of about ``block_words`` words, so what is sent
-to the executors is bounded whatever the benchmark's size. With more than one
-block, documents and their hits so far are written between blocks.
+The join has two physical forms, chosen by the benchmark's size, with one result.
+A benchmark of at most ``FEW_WORDS`` words is an index that every executor gets,
+and documents are read in place. A larger one stays a table: windows and the
+occurrences of prefix words in documents, with the words around them, are
+shuffled by the prefix word and compared where they meet. There, what is sent to
+executors is a Bloom filter of fixed size, over the benchmark's words and then
+over the prefix words, so that other words are not shuffled; where it fills up it
+lets more words pass, never fewer.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +34,10 @@ from tessella.functions.shared import written
 #: Words are runs of ASCII letters and digits and of all non-ASCII characters; A-Z are lower-cased first.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SLICE = 256
+#: Words of a benchmark up to which its index is broadcast (about 1 kB each in the driver, 0.1 kB sent).
+FEW_WORDS = 200_000
+#: Bits of the Bloom filter (8 MB) and how many a word sets.
+BLOOM_BITS, BLOOM_HASHES = 1 << 26, 3
 STATE = ["doc_id", "text", "n_words", "starts", "ends", "items"]
 STATE_SCHEMA = "doc_id long, text string, n_words long, starts array<int>, ends array<int>, items array<string>"
 
@@ -118,64 +128,171 @@ def word_frequencies(docs: DataFrame, words: list[bytes]) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in rows}
 
 
-def scan_block(state: DataFrame, items: list[tuple[str, bytes]], frequency: dict[bytes, int], window: int) -> DataFrame:
-    """``state`` (doc_id, text, n_words, starts, ends, items) with the spans and items of one block added."""
-    index = state.sparkSession.sparkContext.broadcast(WindowIndex(items, frequency, window))
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+def scan_block(docs: DataFrame, items: list[tuple[str, bytes]], frequency: dict[bytes, int], window: int) -> DataFrame:
+    """``contamination`` of a benchmark that every executor gets as an index."""
+    index = docs.sparkSession.sparkContext.broadcast(WindowIndex(items, frequency, window))
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                out = []
-                for words, *old in zip(map(words_of, texts_of(part, "text")), *(part.column(c).to_pylist() for c in ("starts", "ends", "items"))):
-                    starts, ends, found = index.value.hits(words)
-                    if old[0]:
-                        spans = merged(sorted([*zip(starts, ends), *zip(*old[:2])]))
-                        starts, ends, found = [a for a, _ in spans], [b for _, b in spans], sorted({*found, *old[2]})
-                    elif old[2]:
-                        found = sorted({*found, *old[2]})
-                    out.append((len(words), starts, ends, found))
+                out = [(len(words), *index.value.hits(words)) for words in map(words_of, texts_of(part, "text"))]
                 if out:
-                    new = [pa.array(c, t) for c, t in zip(zip(*out), kinds[2:])]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text").cast(pa.string()), *new], names=STATE)
-
-    return state.mapInArrow(scan, STATE_SCHEMA)
-
-
-def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items that have words, in blocks of about so many words; rows reach the driver one partition at a time."""
-    block: list[tuple[str, bytes]] = []
-    size = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item_id is not null and text is not null")
-    for row in rows.toLocalIterator():
-        text = row["text"].encode()
-        n = len(words_of(text))
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        if n:
-            block.append((row["item"], text))
-            size += n
-    yield block
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text").cast(pa.string()), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=STATE)
+
+    return docs.mapInArrow(scan, STATE_SCHEMA)
+
+
+def bloom_places(word: bytes) -> list[int]:
+    h = xxhash.xxh3_128_intdigest(word)
+    return [(h >> 32 * k) % BLOOM_BITS for k in range(BLOOM_HASHES)]
+
+
+def bloom_of(words: DataFrame) -> np.ndarray:
+    """Filter of the column ``word``: 64-bit parts, set in tasks and joined by Spark; at most BLOOM_BITS / 64 rows reach the driver."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks: dict[int, int] = {}
+            for word in texts_of(batch, "word"):
+                for at in bloom_places(word):
+                    masks[at >> 6] = masks.get(at >> 6, 0) | 1 << (at & 63)
+            yield pa.RecordBatch.from_arrays([pa.array(list(masks), pa.int64()), pa.array(np.array(list(masks.values()), dtype=np.uint64).view(np.int64))], names=["part", "mask"])
+
+    rows = words.mapInArrow(places, "part long, mask long").groupBy("part").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
+    out[rows["part"].to_numpy(dtype=np.int64)] = rows["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+class Passing:
+    """Which words pass a filter; remembers the words of a task."""
+
+    def __init__(self, bloom: np.ndarray):
+        self.bloom, self.known = bloom, {}
+
+    def __call__(self, word: bytes) -> bool:
+        out = self.known.get(word)
+        if out is None:
+            if len(self.known) >= 500_000:
+                self.known.clear()
+            out = self.known[word] = all(int(self.bloom[at >> 6]) >> (at & 63) & 1 for at in bloom_places(word))
+        return out
+
+
+def window_table(benchmark: DataFrame, window: int) -> DataFrame:
+    """window (its words, joined by spaces), items: each distinct window once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), texts_of(batch, "text")):
+                wins = [b" ".join(w).decode() for w in item_windows(text, window)]
+                if wins:
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(wins), pa.string()), pa.array(wins, pa.string())], names=["item", "window"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
+    return rows.mapInArrow(cut, "item string, window string").distinct()
+
+
+def occurrences(docs: DataFrame, bloom: np.ndarray, reach: int) -> DataFrame:
+    """word, doc_id, row_hash, at, off, around: each place of a word that passes the filter, with ``reach`` words on either side."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+    fields = [("word", pa.string()), ("doc_id", pa.int64()), ("row_hash", pa.int64()), ("at", pa.int32()), ("off", pa.int32()), ("around", pa.list_(pa.string()))]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = Passing(sent.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part, rows = batch.slice(k, SLICE), []
+                for doc, row, text in zip(part.column("doc_id").to_pylist(), part.column("row_hash").to_pylist(), texts_of(part, "text")):
+                    words = words_of(text)
+                    for at in (i for i, w in enumerate(words) if passes(w)):
+                        low = max(0, at - reach)
+                        rows.append((words[at].decode(), doc, row, at, at - low, [w.decode() for w in words[low : at + reach + 1]]))
+                        if len(rows) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+                            rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+    return docs.mapInArrow(scan, "word string, doc_id long, row_hash long, at int, off int, around array<string>")
+
+
+def document_counts(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
+    """word, n: in how many documents each word that passes the filter occurs, over all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes, own = Passing(sent.value), {}
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                for text in texts_of(batch.slice(k, SLICE), "text"):
+                    for w in set(filter(passes, words_of(text))):
+                        own[w] = own.get(w, 0) + 1
+                if len(own) > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in own]), pa.array(list(own.values()), pa.int64())], ["word", "n"])
+                    own = {}
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in own], pa.string()), pa.array(list(own.values()), pa.int64())], ["word", "n"])
+
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def shuffled_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """doc_id, row_hash, spans, items of the documents that hold a window: both sides meet by the prefix word."""
+    windows = written(window_table(benchmark, window), "windows")
+    words = windows.select("window").distinct().select("window", F.posexplode(F.split("window", " ")).alias("place", "word"))
+    counts = document_counts(docs, bloom_of(words.select("word").distinct()))
+    prefix = words.join(counts, "word", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("p"))
+    prefixes = written(prefix.where("p.n > 0").select("p.word", "window", "p.place", F.size(F.split("window", " ")).alias("length")), "prefixes")
+    found = occurrences(docs, bloom_of(prefixes.select("word").distinct()), window - 1)
+    start = F.col("off") - F.col("place")
+    same = F.array_join(F.slice("around", F.greatest(start, F.lit(0)) + 1, F.col("length")), " ") == F.col("window")
+    met = found.join(prefixes, "word").where((start >= 0) & same)
+    spans = met.select("doc_id", "row_hash", "window", (F.col("at") - F.col("place")).alias("start"), F.col("length").alias("n")).distinct()
+    named = spans.join(windows, "window").groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    return written(named, "contamination")
+
+
+def shuffled(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``contamination`` of a large benchmark."""
+    keyed = docs.withColumn("row_hash", F.xxhash64("text"))
+    hits = shuffled_hits(keyed, benchmark, window).withColumnsRenamed({"doc_id": "hit_id", "row_hash": "hit_hash"})
+    met = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_hash") == F.col("hit_hash")), "left")
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part, out = batch.slice(k, SLICE), []
+                for text, spans, items in zip(texts_of(part, "text"), part.column("spans").to_pylist(), part.column("items").to_pylist()):
+                    ordered = merged(sorted((x["start"], x["end"]) for x in spans or ()))
+                    out.append((len(words_of(text)), [a for a, _ in ordered], [b for _, b in ordered], items or []))
+                if out:
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text").cast(pa.string()), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=STATE)
+
+    return met.select("doc_id", "text", "spans", "items").mapInArrow(close, STATE_SCHEMA)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, few_words: int = FEW_WORDS) -> DataFrame:
     """One row per document row: doc_id, text, n_words, the merged hit spans (starts, ends) and the items found.
 
-    Null and empty texts have no words and no hits; items without an id, text or
-    words are skipped; an item id that comes twice is one item with the windows
-    of both rows; other columns of either table are ignored; an empty benchmark
-    hits nothing; repeated rows each get their own, equal, result.
+    Null and empty texts have no words and no hits; very long ones are read
+    whole; items without an id, text or words are skipped; an item id that comes
+    twice is one item with the windows of both rows; other columns of either
+    table are ignored; an empty benchmark hits nothing, an empty table gives no
+    rows; repeated rows each get their own, equal, result. ``few_words`` chooses
+    the physical form only.
     """
-    ints, strings = F.array().cast("array<int>"), F.array().cast("array<string>")
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), ints.alias("starts"), ints.alias("ends"), strings.alias("items"))
-    for number, items in enumerate(item_blocks(benchmark, block_words)):
-        if number:
-            state = written(state, "contamination")
-        vocabulary = list({w for _, text in items for w in words_of(text)})
-        state = scan_block(state, items, word_frequencies(docs, vocabulary) if vocabulary else {}, window)
-    return state
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # No item has more words than half its bytes and one.
+    size = benchmark.agg(F.coalesce(F.sum(F.floor(F.octet_length(F.col("text").cast("string")) / 2) + 1), F.lit(0)).alias("n")).first()["n"]
+    if size > few_words:
+        return shuffled(base, benchmark, window)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").collect()
+    items = [(r["item"], r["text"].encode()) for r in rows]
+    vocabulary = list({w for _, text in items for w in words_of(text)})
+    return scan_block(base, items, word_frequencies(base, vocabulary) if vocabulary else {}, window)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -201,9 +201,11 @@ def test_decontamination(spark):
                         items.add(i)
         return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
 
-    for block in (2_000_000, 5):
-        found = decontaminate.digest(decontaminate.contamination(docs, bench, block_words=block)).collect()
+    for few in (decontaminate.FEW_WORDS, 0):  # the index that is sent, and the shuffled join
+        found = decontaminate.digest(decontaminate.contamination(docs.withColumn("row_hash", F.lit("x")).withColumn("word", F.lit("y")), bench, few_words=few)).collect()
         assert sorted(tuple(r) for r in found) == sorted((i, *brute(t)) for i, t in rows)
+    none = decontaminate.digest(decontaminate.shuffled(docs.select("doc_id", "text"), bench.limit(0), 10)).collect()
+    assert len(none) == len(rows) and not any(r["contaminated"] for r in none)
     none = decontaminate.digest(decontaminate.contamination(docs, bench.limit(0))).collect()
     assert len(none) == len(rows) and not any(r["contaminated"] for r in none)
     assert decontaminate.contamination(table(spark, []), bench).count() == 0
