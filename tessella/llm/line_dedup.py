@@ -49,8 +49,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Null texts stay null and have no lines; an empty text is one line; documents
     of under three lines have no windows and stay whole; windows of three blank
     lines are never removed. Rows that share doc_id and text count as one place
-    and get the same result; null doc_ids come before all others. Columns named
-    row_hash, n_lines or n_removed are replaced.
+    and get the same result; null doc_ids come before all others; very long texts
+    are read whole; an empty table gives no rows. Columns named row_hash, n_lines
+    or n_removed are replaced.
     """
     base = docs.drop("row_hash", "n_lines", "n_removed").withColumn("row_hash", F.xxhash64("text"))
     places = windows(base.select("doc_id", "text", "row_hash"))

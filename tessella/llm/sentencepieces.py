@@ -273,7 +273,9 @@ def encode_texts(docs: DataFrame, model: bytes, decode: bool = True) -> DataFram
     executors need no tokenizer files. Null texts give null ids, 0 tokens and a
     true round trip; empty texts give no ids. The word-start mark itself
     (U+2581) in a text decodes to a space, so such texts do not round-trip, as in
-    the published library. Other columns are ignored; repeated rows stay.
+    the published library. Very long texts are read whole; ties between ways of
+    one score go to the one found first; repeated rows stay; an empty table gives
+    no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,7 +69,7 @@ def read_header(ids: np.ndarray) -> tuple[int, int | None]:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: bytes) -> None:
-    """Writes each row's tokens; null texts have none; repeated rows are written as often; other columns are ignored."""
+    """Writes each row's tokens; null and empty texts have none; repeated rows are written as often; very long texts are read whole; an empty table gives no documents; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding_of(vocabulary).encode_ordinary
@@ -104,7 +104,9 @@ def count_tokens(spark: SparkSession, path: str, end: int = END, block: int = BL
     """One row for each document in the files: file, ordinal (from 0 in its file), doc_id (null without a header), n_tokens, closed.
 
     Two separators in a row enclose a document of no tokens. Tokens after the
-    last separator are a document that is not ``closed``; an empty file has none.
+    last separator are a document that is not ``closed``; an empty file has none,
+    an empty folder gives no rows; documents may be as long as a file. A file is
+    one row of Spark's ``binaryFile`` source, so it must stay below 2 GB.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

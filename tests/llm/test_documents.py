@@ -506,6 +506,15 @@ def test_token_counts(spark, tmp_path):
         assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["closed"]) for r in found)) == sorted((i is None, i or 0, len(encode(t or "")), True) for i, t in rows)
 
 
+def test_token_counts_of_repeats_and_nothing(spark, tmp_path):
+    vocabulary = token_files.vocabulary_bytes()
+    docs = table(spark, [(1, "one two"), (1, "one two"), (1, None)]).withColumn("value", F.lit("v")).withColumn("file", F.lit("f"))
+    token_files.write_tokens(docs, f"file://{tmp_path}/a", vocabulary)
+    assert sorted(r["n_tokens"] for r in token_files.count_tokens(spark, f"file://{tmp_path}/a").collect()) == [0, 2, 2]
+    token_files.write_tokens(table(spark, []), f"file://{tmp_path}/b", vocabulary)
+    assert token_files.count_tokens(spark, f"file://{tmp_path}/b").count() == 0
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 64])
 def test_plain_token_files(spark, tmp_path, block):
     r = random.Random(block)
@@ -531,6 +540,12 @@ def test_sentencepieces_like_the_library(spark):
     assert sentencepieces.encode_texts(table(spark, []), model).count() == 0
 
 
+def test_sentencepieces_of_repeats_and_clashing_columns(spark):
+    docs = table(spark, [(1, "same text"), (1, "same text"), (None, "same text")]).withColumn("ids", F.lit("x")).withColumn("n_tokens", F.lit(9))
+    rows = sentencepieces.encode_texts(docs, sentencepieces.model_bytes()).collect()
+    assert len(rows) == 3 and len({tuple(r["ids"]) for r in rows}) == 1 and {r["n_tokens"] for r in rows} == {len(rows[0]["ids"])}
+
+
 def test_viterbi_of_a_unigram_model():
     r = random.Random(1)
     pieces = ["<unk>", *{"".join(r.choice("ab▁") for _ in range(r.randrange(1, 5))) for _ in range(40)}, "a", "b", "▁"]

@@ -31,3 +31,28 @@ def test_nulls(spark, data):
     for _, stage in p.STAGES:
         docs = written(stage(spark, docs, data), "stage")
     assert docs.count() == 3
+
+
+def through(spark, data, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("label", "node", "score", "row_hash", "starts", "n")})
+    out = []
+    for _, stage in p.STAGES:
+        docs = written(stage(spark, docs, data), "stage")
+        out.append(docs.collect())
+    return out
+
+
+def test_long_repeated_and_tied_documents(spark, data):
+    say = lambda seed, n: " ".join(f"word{(seed * 7919 + i * i) % 9973}" for i in range(n))
+    row = lambda i, t: (i, t, "en", "s", len(t))
+    long = say(1, 60_000)
+    near = " ".join(["new", *long.split()[1:]])
+    rows = [row(4, long), row(3, near), row(8, say(2, 60)), row(8, say(2, 60)), row(7, say(2, 60)), row(9, say(3, 60))]
+    quality, lines, kept, clean, tokens = through(spark, data, rows)
+    assert len(quality) == len(lines) == 6
+    assert sorted(r["doc_id"] for r in kept) == sorted(r["doc_id"] for r in tokens) == [3, 7, 9]
+    assert next(r for r in tokens if r["doc_id"] == 3)["n_tokens"] > 60_000
+
+
+def test_empty_table(spark, data):
+    assert through(spark, data, []) == [[]] * 5
