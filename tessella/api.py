@@ -43,7 +43,7 @@ class History:
         docs = self._corpus()
         if project:
             docs = docs.join(self.tables["sessions"].where(F.col("project") == project).select("session_id"), "session_id", "left_semi")
-        found = search.keyword_search(docs, question, "content", "role", "tool_name", limit=limit)
+        found = search.keyword_search(docs, question, "content", "role", "tool_name", limit=limit, stems=True)
         met = found.join(docs, "id").join(self.tables["sessions"].select("session_id", "project"), "session_id", "left")
         order = (F.desc("hits"), F.desc(F.coalesce("timestamp", F.lit(""))), F.desc("id"))
         return met.orderBy(*order).select("session_id", "sequence", "project", "role", "timestamp", "hits", search.snippet(F.col("content")).alias("snippet"))

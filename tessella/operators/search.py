@@ -1,9 +1,9 @@
 """Full-text and vector search: postings, BM25, keyword merging, nearest vectors and rank fusion.
 
-Postings (document, term, frequency, positions) and document lengths are plain
-tables, kept by term in a deployment; a query reads only its own terms' rows. A
-query is a handful of terms, so terms travel to the postings, never postings to
-the driver.
+``bm25`` reads the documents themselves: a query is a handful of terms, which
+travel to the texts, and nothing but hits and two sums is shuffled. ``postings``
+gives (document, term, frequency, positions) as a table for those who keep one.
+Words are folded as in the usual full-text index, and stemmed on request.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import rewrite
+from tessella.functions.stem import stem, stemmed
 
 K1, B, RRF = 1.2, 0.75, 60
 SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -33,8 +34,14 @@ def plain(term: str) -> str:
     return term.lower().translate(str.maketrans(dict(MARKED)))
 
 
-def tokens(*columns: str) -> Column:
-    return F.filter(F.split(folded(F.concat_ws(" ", *columns)), SEPARATORS), lambda t: t != "")
+def tokens(*columns: str, stems: bool = False) -> Column:
+    """The words of the columns' texts; with ``stems``, their stems."""
+    found = F.filter(F.split(folded(F.concat_ws(" ", *columns)), SEPARATORS), lambda t: t != "")
+    return stemmed(found) if stems else found
+
+
+def term_of(word: str, stems: bool) -> str:
+    return stem(plain(word)) if stems else plain(word)
 
 
 def postings(docs: DataFrame, *columns: str) -> DataFrame:
@@ -48,10 +55,10 @@ def corpus_size(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.size(tokens(*columns)).alias("l")).agg(F.count("*").alias("n_docs"), F.avg("l").alias("mean"))
 
 
-def bm25(docs: DataFrame, terms: list[str], *columns: str) -> DataFrame:
+def bm25(docs: DataFrame, terms: list[str], *columns: str, stems: bool = False) -> DataFrame:
     """term, id, score of each document that has a term; lower is better, as in the usual full-text index."""
-    wanted = [plain(t) for t in terms]
-    hits = docs.select("id", tokens(*columns).alias("t")).select("id", F.size("t").alias("length"), F.explode(F.array(*map(F.lit, dict.fromkeys(wanted)))).alias("term"), "t")
+    wanted = [term_of(t, stems) for t in terms]
+    hits = docs.select("id", tokens(*columns, stems=stems).alias("t")).select("id", F.size("t").alias("length"), F.explode(F.array(*map(F.lit, dict.fromkeys(wanted)))).alias("term"), "t")
     hits = hits.select("id", "term", "length", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("tf")).where("tf > 0")
     n = hits.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
@@ -59,10 +66,10 @@ def bm25(docs: DataFrame, terms: list[str], *columns: str) -> DataFrame:
     return hits.join(F.broadcast(n), "term").crossJoin(F.broadcast(corpus_size(docs, *columns))).select("term", "id", score.alias("score"))
 
 
-def search(docs: DataFrame, terms: list[str], *columns: str, limit: int = 20) -> DataFrame:
+def search(docs: DataFrame, terms: list[str], *columns: str, limit: int = 20, stems: bool = False) -> DataFrame:
     """id, score of the best documents that have all terms."""
-    scored = bm25(docs, terms, *columns).groupBy("id").agg(F.sum("score").alias("score"), F.count("*").alias("found"))
-    return scored.where(F.col("found") == len(dict.fromkeys(map(plain, terms)))).select("id", F.round("score", 6).alias("score")).orderBy("score", "id").limit(limit)
+    scored = bm25(docs, terms, *columns, stems=stems).groupBy("id").agg(F.sum("score").alias("score"), F.count("*").alias("found"))
+    return scored.where(F.col("found") == len(dict.fromkeys(term_of(t, stems) for t in terms))).select("id", F.round("score", 6).alias("score")).orderBy("score", "id").limit(limit)
 
 
 def boolean_query(docs: DataFrame, query: str, *columns: str) -> DataFrame:
@@ -86,11 +93,11 @@ def boolean_query(docs: DataFrame, query: str, *columns: str) -> DataFrame:
     return found.where(reduce(lambda a, b: a | b, any_of)).select("id")
 
 
-def keyword_search(docs: DataFrame, question: str, *columns: str, limit: int = 10, per_keyword: int | None = None) -> DataFrame:
+def keyword_search(docs: DataFrame, question: str, *columns: str, limit: int = 10, per_keyword: int | None = None, stems: bool = False) -> DataFrame:
     """Documents by how many of the question's keywords find them among their best hits, then by id."""
     found = rewrite.search_terms(docs.sparkSession, question)
     rank = F.row_number().over(Window.partitionBy("term").orderBy("score", "id"))
-    best = bm25(docs, found, *columns).withColumn("rank", rank).where(F.col("rank") <= (per_keyword or 3 * limit))
+    best = bm25(docs, found, *columns, stems=stems).withColumn("rank", rank).where(F.col("rank") <= (per_keyword or 3 * limit))
     return best.groupBy("id").agg(F.count("*").alias("hits"), F.min("rank").alias("best_rank")).orderBy(F.desc("hits"), "best_rank", "id").limit(limit)
 
 

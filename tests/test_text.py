@@ -55,6 +55,18 @@ def test_scores_are_those_of_a_full_text_index(spark):
         assert {r["id"] for r in search.boolean_query(docs, query, "content").collect()} == want
 
 
+def test_stems_are_those_of_a_full_text_index(spark):
+    texts = ["Relational databases were failing", "a failed relation of the database", "hopping ponies, generalizations", "the pony hopped generally", "naïve café owners owning"]
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(content, tokenize='porter unicode61')")
+    con.executemany("insert into t(rowid, content) values (?, ?)", list(enumerate(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    for terms in (["fails", "database"], ["hop"], ["general"], ["owner"], ["cafes"]):
+        want = dict(con.execute("select rowid, bm25(t) from t where t match ?", (" ".join(terms),)).fetchall())
+        mine = {r["id"]: r["score"] for r in search.search(docs, terms, "content", stems=True).collect()}
+        assert mine.keys() == want.keys() and all(abs(mine[i] - s) < 1e-5 for i, s in want.items())
+
+
 def test_fusion_and_snippets(spark):
     a = spark.createDataFrame([(1, 1)], "id long, rank int")
     b = spark.createDataFrame([(2, 1), (1, 2)], "id long, rank int")
