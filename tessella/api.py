@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +41,11 @@ class History:
     def _corpus(self) -> DataFrame:
         return self.tables["messages"].select("id", "content", "role", "tool_name", "session_id", "sequence", "timestamp")
 
-    def search(self, question: str, project: str | None = None, limit: int = 10) -> DataFrame:
-        """Messages that answer a question: by keywords found, then by time; a project's own are searched alone, so its hits are not cut by those of others."""
+    def search(self, question: str, project: str | None = None, limit: int = 10, role: str | None = None, session_id: str | None = None) -> DataFrame:
+        """Messages that answer a question: by keywords found, then by time; of one role or session, if named; a project's own are searched alone, so its hits are not cut by those of others."""
         docs = self._corpus()
+        for column, value in (("role", role), ("session_id", session_id)):
+            docs = docs.where(F.col(column) == value) if value else docs
         if project:
             docs = docs.join(self.tables["sessions"].where(F.col("project") == project).select("session_id"), "session_id", "left_semi")
         found = search.keyword_search(docs, question, "content", "role", "tool_name", limit=limit, stems=True)
@@ -48,6 +53,25 @@ class History:
         order = (F.desc("hits"), F.desc(F.coalesce("timestamp", F.lit(""))), F.desc("id"))
         return met.orderBy(*order).select("session_id", "sequence", "project", "role", "timestamp", "hits", search.snippet(F.col("content")).alias("snippet"))
 
+    def hybrid(self, terms: list[str], vector: list[float] | None, limit: int = 20) -> DataFrame:
+        """Messages by words and by a vector, their ranks fused; by words alone where there is no vector or none is stored."""
+        docs = self._corpus()
+        words = search.ranked(search.search(docs, terms, "content", "role", "tool_name", limit=3 * limit, stems=True), "score", "id")
+        vectors = None
+        if vector is not None:
+            try:
+                vectors = self.tables["vectors"]
+            except AnalysisException:
+                vectors = None
+        if vectors is None or vectors.isEmpty():
+            best = words.select("id", F.round(1 / (search.RRF + F.col("rank")), 8).alias("score")).limit(limit)
+        else:
+            query = docs.sparkSession.createDataFrame([([float(x) for x in vector],)], "query array<double>")
+            as_double = vectors.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
+            near = search.ranked(search.nearest(as_double, query, 3 * limit), "distance", "message_id").withColumnRenamed("message_id", "id")
+            best = search.fused(words, near, limit)
+        return best.join(docs, "id").select("id", "session_id", "sequence", "role", "timestamp", "score", search.snippet(F.col("content")).alias("snippet")).orderBy(F.desc("score"), "id")
+
     def recall(self, message: str) -> DataFrame | None:
         """The three best messages on the past work that a message speaks of; None if it speaks of none."""
         topic = rewrite.answers(self.tables["messages"].sparkSession, message, rewrite.recall_topic)
@@ -69,26 +93,52 @@ class History:
         parts = ("tool_usage", "role_breakdown", "projects", "cache_efficiency", "hourly_activity", "error_sessions", "expensive_per_message", "topics")
         return {p: [r.asDict() for r in self.ask(p).collect()] for p in parts}
 
-    def brief(self, project: str) -> str:
-        """A project's brief in Markdown."""
+    #: A brief's sections: title, plan, and how a row is shown; the first ``SLIM`` of them make a slim brief.
+    SECTIONS = (
+        ("Key files", "key_files_read", lambda r: f"{r['path']} ({r['n']} reads in {r['sessions']} sessions)"),
+        ("Most changed", "key_files_modified", lambda r: f"{r['path']} ({r['n']} changes)"),
+        ("Dangerous files", "danger_zones", lambda r: f"{r['path']} (errors to writes {r['ratio']})"),
+        ("Changed together", "co_change", lambda r: f"{r['file_a']} and {r['file_b']} ({r['co_sessions']} sessions)"),
+        ("Known errors", "known_errors", lambda r: f"{r['error_text']} ({r['occurrences']} times)"),
+        ("Common errors", "common_errors", lambda r: f"{r['error_text']} ({r['occurrences']} times)"),
+        ("Recent intents", "session_intents", lambda r: (r["intent"] or "").splitlines()[0] if r["intent"] else ""),
+        ("Last session", "last_session_summary", lambda r: f"{r['session_id']}: {r['edited'] or 0} files ({r['files'] or '-'}), first command {r['first_command'] or '-'}"),
+        ("Cost profile", "cost_profile", lambda r: f"{r['exploration_pct']} % looking, {r['mutation_pct']} % changing, {r['execution_pct']} % running"),
+    )
+    SLIM = 5
+
+    def brief_parts(self, project: str, slim: bool = False) -> dict[str, list[dict]]:
+        """A project's brief as data: the overview and each section's rows, all of them short lists."""
         own = self.of_project(project)
-        overview = own.ask("project_overview").collect()
+        parts = {"Overview": [r.asDict() for r in own.ask("project_overview").collect()]}
+        for title, plan, _ in self.SECTIONS[: self.SLIM if slim else None]:
+            parts[title] = [r.asDict() for r in own.ask(plan).collect()]
+        return parts
+
+    def brief(self, project: str, form: str = "markdown", slim: bool = False) -> str:
+        """A project's brief in Markdown or JSON."""
+        parts = self.brief_parts(project, slim)
+        if form == "json":
+            return json.dumps({"project": project, **parts}, indent=1, default=str)
         lines = [f"# {project}", ""]
-        for r in overview:
+        for r in parts["Overview"]:
             lines += [f"{r['sessions']} sessions, {r['messages']} messages, ${r['cost_estimate']:.2f}, {r['first_session']} to {r['last_session']}", ""]
-        sections = {
-            "Key files": ("key_files_read", lambda r: f"{r['path']} ({r['n']} reads in {r['sessions']} sessions)"),
-            "Most changed": ("key_files_modified", lambda r: f"{r['path']} ({r['n']} changes)"),
-            "Dangerous files": ("danger_zones", lambda r: f"{r['path']} (errors to writes {r['ratio']})"),
-            "Changed together": ("co_change", lambda r: f"{r['file_a']} and {r['file_b']} ({r['co_sessions']} sessions)"),
-            "Common errors": ("common_errors", lambda r: f"{r['error_text']} ({r['occurrences']} times)"),
-            "Recent intents": ("session_intents", lambda r: (r["intent"] or "").splitlines()[0] if r["intent"] else ""),
-        }
-        for title, (plan, show) in sections.items():
-            if rows := own.ask(plan).collect():
+        for title, _, show in self.SECTIONS:
+            if rows := parts.get(title):
                 lines += [f"## {title}", *(f"- {show(r)}" for r in rows), ""]
         return "\n".join(lines)
 
+    def brief_variant(self, project: str, variant: str) -> str | None:
+        """What an arm of an experiment is told: nothing (``baseline``), a slim brief or the whole one (``full``)."""
+        if variant == "baseline":
+            return None
+        return self.brief(project, slim=variant != "full")
+
+    def precision(self, question: str, sessions: set[str], k: int = 5) -> float:
+        """Which share of a question's first k hits is in the sessions that should be found."""
+        found = [r["session_id"] for r in self.search(question, limit=k).collect()]
+        return sum(s in sessions for s in found) / len(found) if found else 0.0
+
     def enrichment(self, project: str) -> str | None:
         """The brief as a block for a prompt; None if there is too little to say."""
         text = self.brief(project)

@@ -3,7 +3,8 @@
 The built-in file source does not look again at a file it has read, so
 ``TranscriptTail`` is a source of its own: its offset is the number of bytes
 read of each file, only whole lines are taken (a partial last line waits), and a
-file that became shorter is read again from its beginning.
+file that became shorter, or is another file of that name, is read again from its
+beginning. It reads folders that the driver and all executors see as files.
 """
 
 from __future__ import annotations
@@ -11,10 +12,15 @@ from __future__ import annotations
 import glob
 import json
 import os
+import time
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 class Piece(InputPartition):
@@ -39,24 +45,26 @@ class TranscriptTail(DataSource):
 class _Reader(DataSourceStreamReader):
     def __init__(self, options):
         self.pattern = options["path"]
+        self.active = int(options.get("activeseconds", options.get("activeSeconds", 0)))
         self.from_end = options.get("startingposition", options.get("startingPosition", "beginning")) == "end"
 
-    def _ends(self) -> dict[str, int]:
-        """Where the last whole line of each file ends."""
+    def _ends(self) -> dict[str, list[int]]:
+        """Where the last whole line of each file ends, and which file it is."""
         out = {}
         for path in sorted(glob.glob(self.pattern)):
-            size = os.path.getsize(path)
+            found = os.stat(path)
+            size = found.st_size
             with open(path, "rb") as f:
                 at = size
                 while at > 0:
                     step = min(at, 1 << 16)
                     f.seek(at - step)
-                    found = f.read(step).rfind(b"\n")
-                    if found >= 0:
-                        at = at - step + found + 1
+                    line_end = f.read(step).rfind(b"\n")
+                    if line_end >= 0:
+                        at = at - step + line_end + 1
                         break
                     at -= step
-            out[path] = at
+            out[path] = [at, found.st_ino]
         return out
 
     def initialOffset(self) -> dict:  # noqa: N802
@@ -68,9 +76,11 @@ class _Reader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
         pieces = []
-        for path, stop in after.items():
-            begin = before.get(path, 0)
-            if stop < begin:  # the file was cut: read it anew
+        for path, (stop, node) in after.items():
+            begin, was = before.get(path, (0, node))
+            if path not in before and self.active and time.time() - os.path.getmtime(path) > self.active:
+                continue  # at rest when first seen: only what is added from now on
+            if stop < begin or node != was:  # cut or replaced: read it anew
                 begin = 0
             if stop > begin:
                 pieces.append(Piece(path, begin, stop))
@@ -81,10 +91,10 @@ class _Reader(DataSourceStreamReader):
         with open(piece.path, "rb") as f:
             f.seek(piece.start)
             at = piece.start
-            for line in f.read(piece.end - piece.start).split(b"\n"):
+            while at < piece.end and (line := f.readline()):
                 if line.strip():
-                    yield name, at, line.decode(errors="replace")
-                at += len(line) + 1
+                    yield name, at, line.rstrip(b"\n").decode(errors="replace")
+                at += len(line)
 
     def commit(self, end: dict) -> None:
         return None
@@ -100,6 +110,48 @@ def sessions_of_calls(calls: DataFrame, gap_seconds: int = 600, late: str = "30
     return calls.withWatermark("at", late).groupBy(window.alias("w"), "project").agg(F.count("*").alias("turns"), F.round(F.sum("cost_estimate_usd"), 6).alias("cost"), F.min("at").alias("started_at"), F.max("at").alias("ended_at")).drop("w")
 
 
+def online_sessions(calls: DataFrame, gap_seconds: int = 600) -> DataFrame:
+    """Each call of a stream (project, id, at: timestamp, input_tokens) with its session_id (of the session's first call), turn_number and cumulative_input_tokens so far.
+
+    Kept per project, one short row: the session, when it was last seen, its turns
+    and tokens. A gap of ``gap_seconds`` or more begins a new one. Calls of a batch
+    are taken in the order of their times.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        session, seen, turn, tokens = state.get if state.exists else ("", 0.0, 0, 0)
+        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        out = []
+        for r in rows.itertuples():
+            now = r.at.timestamp()
+            if not session or now - seen >= gap_seconds:
+                session, turn, tokens = r.id, 0, 0
+            seen, turn, tokens = max(seen, now), turn + 1, tokens + (0 if pd.isna(r.input_tokens) else int(r.input_tokens))
+            out.append((key[0], r.id, r.at, session, turn, tokens))
+        state.update((session, seen, turn, tokens))
+        yield pd.DataFrame(out, columns=["project", "id", "at", "session_id", "turn_number", "cumulative_input_tokens"])
+
+    out = "project string, id string, at timestamp, session_id string, turn_number long, cumulative_input_tokens long"
+    return calls.select("project", "id", "at", "input_tokens").groupBy("project").applyInPandasWithState(step, out, "session string, seen double, turn long, tokens long", "append", GroupStateTimeout.NoTimeout)
+
+
+def follow(spark: SparkSession, folder: str, store: str, checkpoint: str, every: str = "10 seconds", active_seconds: int = 7200) -> StreamingQuery:
+    """Keeps the stored tables up to date with the transcripts below ``folder``: looks every so often, and indexes what has grown.
+
+    Files at rest for ``active_seconds`` when first seen wait until they grow.
+    """
+    from tessella.sources.store import index
+
+    spark.dataSource.register(TranscriptTail)
+    lines = spark.readStream.format("transcript_tail").option("path", f"{folder}/*/*.jsonl").option("activeSeconds", str(active_seconds)).load()
+
+    def take(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            index(spark, folder, store)
+
+    return lines.writeStream.foreachBatch(take).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()
+
+
 def distinct_calls(calls: DataFrame, late: str = "30 minutes") -> DataFrame:
     """Each call once, by id, among those that come within the watermark."""
     return calls.withWatermark("at", late).dropDuplicatesWithinWatermark(["id"])

@@ -13,6 +13,24 @@ def test_history(spark, data):
     assert set(history.insights()) >= {"tool_usage", "topics"}
 
 
+def test_briefs_and_filters(spark, data):
+    import json
+
+    history = api.History(binding.bound(spark, data))
+    project = "-Users-dev-code-app1"
+    parts = json.loads(history.brief(project, form="json"))
+    assert parts["project"] == project and len(parts["Key files"]) == 10 and parts["Last session"] and parts["Overview"][0]["sessions"] > 0
+    assert "## Common errors" not in history.brief(project, slim=True) and history.brief_variant(project, "baseline") is None
+    found = history.search("the step failed with code", role="user", limit=5).collect()
+    assert found and {r["role"] for r in found} == {"user"}
+    one = history.search("the step failed with code", session_id=found[0]["session_id"], limit=5).collect()
+    assert {r["session_id"] for r in one} == {found[0]["session_id"]}
+    assert history.precision("the step failed with code", {r["session_id"] for r in found}, k=5) <= 1.0 and history.precision("zzz qqq", set()) == 0.0
+    assert history.hybrid(["step", "failed"], None, limit=4).count() == 4
+    vector = [float(x) for x in history.tables["vectors"].first()["embedding"]]
+    assert history.hybrid(["step"], vector, limit=4).count() >= 1
+
+
 def test_renderers():
     assert api.bar(0.5, 4) == "██░░" and api.short_number(1234) == "1.2K" and api.sparkline([0, 7]) == "▁█" and api.sparkline([]) == ""
 

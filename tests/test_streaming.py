@@ -34,3 +34,41 @@ def test_sessions_and_distinct_calls(spark, tmp_path):
         q.stop()
     assert sorted(r["turns"] for r in spark.sql("select * from t_sessions").collect()) == [1, 3]
     assert spark.sql("select * from t_calls").count() == 4
+
+
+def test_online_sessions(spark, tmp_path):
+    schema = "id string, project string, s long, input_tokens long"
+    parts = [[("a", "p", 1000, 5), ("b", "p", 1599, 7)], [("c", "p", 2198, 1), ("d", "p", 2798, 2), ("e", "q", 2000, None)]]
+    calls = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("at", F.timestamp_seconds("s")) if (tmp_path / "in").mkdir() is None else None
+    query = tail.online_sessions(calls).writeStream.outputMode("append").format("memory").queryName("t_online").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for rows in parts:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    found = {r["id"]: (r["session_id"], r["turn_number"], r["cumulative_input_tokens"]) for r in spark.sql("select * from t_online").collect()}
+    assert found == {"a": ("a", 1, 5), "b": ("a", 2, 12), "c": ("a", 3, 13), "d": ("d", 1, 2), "e": ("e", 1, 0)}
+
+
+def test_follow_keeps_tables_up_to_date(spark, tmp_path):
+    import json
+    import os
+
+    from tessella.plans import binding
+
+    folder = tmp_path / "projects" / "-home-p"
+    folder.mkdir(parents=True)
+    say = lambda n: json.dumps({"type": "user", "timestamp": f"2026-05-01T00:00:0{n}Z", "message": {"content": f"line {n}"}}) + "\n"
+    (folder / "s.jsonl").write_text(say(1))
+    (folder / "old.jsonl").write_text(say(2))
+    os.utime(folder / "old.jsonl", (0, 0))
+    query = tail.follow(spark, str(tmp_path / "projects"), f"file://{tmp_path}/store", str(tmp_path / "cp"), every="0 seconds")
+    try:
+        query.processAllAvailable()
+        (folder / "s.jsonl").write_text(say(1) + say(3))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    counts = {r["session_id"]: r["message_count"] for r in binding.stored(spark, f"file://{tmp_path}/store")["sessions"].collect()}
+    assert counts["s"] == 2
