@@ -1,9 +1,20 @@
+import pytest
+
 from tessella import api
 from tessella.plans import binding
 
 
-def test_history(spark, data):
-    history = api.History(binding.bound(spark, data))
+@pytest.fixture(scope="module")
+def history(spark, data):
+    """The test data's tables, kept in memory while these tests ask many questions of them."""
+    bound = binding.bound(spark, data)
+    tables = {name: bound[name].cache() for name in binding.TABLES}
+    yield api.History(tables)
+    for df in tables.values():
+        df.unpersist()
+
+
+def test_history(history):
     text = history.brief("-Users-dev-code-app1")
     assert "## Key files" in text and "## Dangerous files" in text
     assert history.enrichment("-Users-dev-code-app1").startswith("<project-history>")
@@ -13,10 +24,9 @@ def test_history(spark, data):
     assert set(history.insights()) >= {"tool_usage", "topics"}
 
 
-def test_briefs_and_filters(spark, data):
+def test_briefs_and_filters(history):
     import json
 
-    history = api.History(binding.bound(spark, data))
     project = "-Users-dev-code-app1"
     parts = json.loads(history.brief(project, form="json"))
     assert parts["project"] == project and len(parts["Key files"]) == 10 and parts["Last session"] and parts["Overview"][0]["sessions"] > 0
@@ -35,10 +45,9 @@ def test_renderers():
     assert api.bar(0.5, 4) == "██░░" and api.short_number(1234) == "1.2K" and api.sparkline([0, 7]) == "▁█" and api.sparkline([]) == ""
 
 
-def test_reports(spark, data):
+def test_reports(history):
     from tessella import reports
 
-    history = api.History(binding.bound(spark, data))
     found = reports.similar_history(history, "repair the order webhook")
     assert len(found["worktrees"]) == 5 and reports.similar_history(history, "a b")["errors"] == []
     one = history.tables["cycles"].first()["worktree_id"]
