@@ -598,7 +598,7 @@ LEFT JOIN (SELECT worktree_id, array_join(transform(array_sort(collect_list(name
   x -> x.n || ':' || x.outcome), ',') AS cycles
 FROM {cycles}
 GROUP BY worktree_id) c ON c.worktree_id = w.id
-LEFT JOIN (SELECT worktree_id, max(id) AS checkpoint_id, max_by(git_sha, id) AS git_sha
+LEFT JOIN (SELECT worktree_id, max(id) AS checkpoint_id, max_by(git_sha, named_struct('id', id, 'sha', git_sha)) AS git_sha
 FROM {checkpoints}
 GROUP BY worktree_id) k ON k.worktree_id = w.id""",
     "experiments": f"SELECT experiment_id, enriched_status, baseline_status, duration_delta_pct, {OUTCOME} AS outcome FROM {{experiments}}",
