@@ -16,8 +16,8 @@ documents share bring no one together.
 What is joined are sets, named by 128 bits; equal sets are one node.
 
 1. Common tokens are counted (any set of them gives right results).
-2. Prefix tokens that two sets share make buckets; buckets of the same members
-   are one. Trees over the members' points find pairs that the bound admits. A
+2. Prefix tokens that two sets of like sizes share make buckets; buckets of the
+   same members are one. Trees over the members' points find pairs that the bound admits. A
    bucket adds no more edges than it has members less one: each chunk of a large
    bucket joins its own members first, and only the boxes of what it joined meet
    those of other chunks. Few of the tokens are taken first; buckets all of whose
@@ -32,6 +32,7 @@ What is joined are sets, named by 128 bits; equal sets are one node.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -373,20 +374,32 @@ class Once:
         return True
 
 
+def sized(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``members`` (token, node, n, label) with ``bucket``: a token and a class of sizes with the next one.
+
+    Sizes of linked sets are in one class or in two that follow each other (a
+    class is a little wider than the ratio that links allow), so each member is
+    in two buckets, and sets of too different sizes meet in none.
+    """
+    place = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-6)))
+    return members.select(F.explode(F.array(F.xxhash64("token", place), F.xxhash64("token", place - 1))).alias("bucket"), "node", "n", F.coalesce("label", "node").alias("label"))
+
+
 def bucket_edges(members: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) between labels whose components hold all links inside the buckets of ``members`` (token, node, n, label).
 
-    ``points``: node, point. Of buckets that have the same members one is taken, and none whose members have one label.
+    ``points``: node, point. Of buckets that have the same members one is taken
+    (told by their number and two hashes), and none whose members have one label.
     """
-    label = F.coalesce("label", "node")
-    sums = (F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("all"), F.min("node").alias("hub"), (F.min(label) != F.max(label)).alias("open"))
-    buckets = members.groupBy("token").agg(*sums).where("m > 1 and open")
-    buckets = written(buckets.groupBy("m", "all", "hub").agg(F.min("token").alias("token")).select("token", "m", "hub"), "buckets")
-    inside = written(members.join(buckets, "token").select("token", "node", "n", label.alias("label"), "m", "hub"), "inside")
+    rows, named, labelled = sized(members, num, den), F.xxhash64("node"), F.xxhash64("label")
+    sums = (F.count("*").alias("m"), F.bit_xor(named).alias("all"), F.min(named).alias("hub"), F.min(labelled).alias("low"), F.max(labelled).alias("high"))
+    buckets = rows.groupBy("bucket").agg(*sums).where("m > 1 and low != high")
+    buckets = written(buckets.groupBy("m", "all", "hub").agg(F.min("bucket").alias("bucket")).select("bucket", "m", "hub"), "buckets")
+    inside = written(rows.join(buckets, "bucket").select(F.col("bucket").alias("token"), "node", "n", "label", "m", (named == F.col("hub")).alias("is_hub")), "inside")
     held = points.join(inside.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("point").alias("point"))
     chunks = F.ceil(F.col("m") / POINTS).cast("int")
     # The hub goes to every chunk, so that what is joined to it has one root throughout.
-    own = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))
+    own = F.when(F.col("is_hub"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))
     dealt = inside.join(held, "node").select("token", F.explode(own).alias("c"), chunks.alias("k"), F.struct("node", "n", "label", "point").alias("member"))
     chunked = dealt.groupBy("token", "c").agg(F.first("k").alias("k"), F.collect_list("member").alias("members"))  # about POINTS members
 

@@ -104,17 +104,30 @@ def test_jaccard_of_a_repeated_row_and_long_texts(spark):
 
 
 @pytest.mark.parametrize("m", [500, 1000, 2000])
-def test_edges_of_a_bucket_are_fewer_than_its_members(spark, m):
-    base = words(90, 51)
-    texts = [" ".join(base[:i % 90] + [f"edit{i}"] + base[i % 90 + 1 :]) for i in range(m)]
+@pytest.mark.parametrize("sizes", ["one", "several"])
+def test_edges_of_a_bucket_are_fewer_than_its_members(spark, m, sizes):
+    base = [f"w{i}" for i in range(90)]
+    texts = [" ".join(base[: i % 90] + [f"edit{i}"] + base[i % 90 + 1 :] + ["more"] * (sizes == "several" and i % 3)) for i in range(m)]
     sets = [jaccard.shingles(t.encode(), 3) for t in texts]
     rows = [(1, jaccard.set_key(s), len(s), None, jaccard.point_of(s)) for s in sets]
     frame = spark.createDataFrame(rows, "token long, node binary, n long, label binary, point binary")
     edges = jaccard.bucket_edges(frame.drop("point"), frame.select("node", "point"), 80, 100)
-    assert edges.count() <= m - 1
+    # Sets of one size are one bucket; of several sizes, each set is in at most two.
+    assert edges.count() <= (m - 1 if sizes == "one" else 2 * (m - 1))
     assert jaccard.components(edges).select("label").distinct().count() == 1
 
 
+@pytest.mark.parametrize("num, den", [(80, 100), (90, 100)])
+def test_linked_sizes_share_a_bucket(spark, num, den):
+    members = spark.createDataFrame([(1, bytes([0, n // 256, n % 256]), n, None) for n in range(1, 1500)], "token long, node binary, n long, label binary")
+    found = {}
+    for r in jaccard.sized(members, num, den).collect():
+        found.setdefault(r["n"], set()).add(r["bucket"])
+    for n in range(1, 1500):
+        for other in range(n, min(1499, n * den // num) + 1):
+            assert found[n] & found[other], (n, other)
+
+
 def test_boxes_never_lose_a_pair():
     r = np.random.RandomState(3)
     base = np.unique(r.randint(0, 2**62, 400).astype(np.uint64))
