@@ -33,6 +33,7 @@ What is joined are sets, named by 128 bits; equal sets are one node.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,6 +171,11 @@ def point_of(s: np.ndarray) -> bytes:
     return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b""
 
 
+def packed(point: bytes) -> bytes:
+    """A point as it travels: small counts take few bits each."""
+    return zlib.compress(point, 1)
+
+
 def admitted(points: list[bytes], sizes: np.ndarray, labels: np.ndarray, num: int, den: int) -> np.ndarray:
     """``labels`` (members' places, equal where they are joined already) after joining all pairs that the bound admits: the least of each part."""
     bound = [i for i, p in enumerate(points) if p]
@@ -343,7 +349,7 @@ def features(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray
             tokens = [prefix(s, num, den, shared.value) if f else none for s, f in zip(sets, first)]
             offsets = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
             flat = np.concatenate(tokens).view(np.int64)
-            points = [point_of(s) if f else None for s, f in zip(sets, first)]
+            points = [packed(point_of(s)) if f else None for s, f in zip(sets, first)]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             columns = [part.column("doc_id"), part.column("row_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), lists, pa.array(points, pa.binary()), pa.array(first)]
             yield pa.RecordBatch.from_arrays(columns, names=fields)
@@ -382,7 +388,7 @@ def sized(members: DataFrame, num: int, den: int) -> DataFrame:
     in two buckets, and sets of too different sizes meet in none.
     """
     place = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-6)))
-    return members.select(F.explode(F.array(F.xxhash64("token", place), F.xxhash64("token", place - 1))).alias("bucket"), "node", "n", F.coalesce("label", "node").alias("label"))
+    return members.select(F.explode(F.array(F.xxhash64("token", place), F.xxhash64("token", place - 1))).alias("bucket"), "node", "n", F.when(F.col("label") != F.col("node"), F.col("label")).alias("label"))
 
 
 def bucket_edges(members: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -391,7 +397,8 @@ def bucket_edges(members: DataFrame, points: DataFrame, num: int, den: int) -> D
     ``points``: node, point. Of buckets that have the same members one is taken
     (told by their number and two hashes), and none whose members have one label.
     """
-    rows, named, labelled = sized(members, num, den), F.xxhash64("node"), F.xxhash64("label")
+    # A label that is the node itself is null on the way.
+    rows, named, labelled = sized(members, num, den), F.xxhash64("node"), F.xxhash64(F.coalesce("label", "node"))
     sums = (F.count("*").alias("m"), F.bit_xor(named).alias("all"), F.min(named).alias("hub"), F.min(labelled).alias("low"), F.max(labelled).alias("high"))
     buckets = rows.groupBy("bucket").agg(*sums).where("m > 1 and low != high")
     buckets = written(buckets.groupBy("m", "all", "hub").agg(F.min("bucket").alias("bucket")).select("bucket", "m", "hub"), "buckets")
@@ -407,10 +414,10 @@ def bucket_edges(members: DataFrame, points: DataFrame, num: int, den: int) -> D
         new = Once()
         for token, _, k, chunk in rows_of(batches):
             chunk.sort(key=lambda m: m["node"])
-            names = [m["label"] for m in chunk]
+            names = [m["label"] or m["node"] for m in chunk]
             place: dict[bytes, int] = {}
             labels = np.array([place.setdefault(x, i) for i, x in enumerate(names)])
-            points, sizes = [m["point"] for m in chunk], np.array([m["n"] for m in chunk])
+            points, sizes = [zlib.decompress(m["point"]) for m in chunk], np.array([m["n"] for m in chunk])
             labels = admitted(points, sizes, labels, num, den)
             rows = [(*e, None, None, None, None, None) for i, x in enumerate(labels.tolist()) if names[i] != names[x] and new(e := (names[i], names[x]))]
             if k > 1:
@@ -453,7 +460,7 @@ def candidate_blocks(found: DataFrame, num: int, den: int) -> DataFrame:
     members = written(rows.join(shared, "token").groupBy("token", "node").agg(F.first("n").alias("n")), "members")
     is_first = F.pmod(F.xxhash64("token"), F.lit(FIRST_OF)) == 0
     points = once.select("node", "point")
-    first_edges = bucket_edges(members.where(is_first).withColumn("label", F.col("node")), points, num, den)
+    first_edges = bucket_edges(members.where(is_first).withColumn("label", F.lit(None).cast("binary")), points, num, den)
     first = components(first_edges)
     rest = members.where(~is_first).join(first, "node", "left")
     edges = bucket_edges(rest.select("token", "node", "n", "label"), points, num, den)

@@ -109,7 +109,7 @@ def test_edges_of_a_bucket_are_fewer_than_its_members(spark, m, sizes):
     base = [f"w{i}" for i in range(90)]
     texts = [" ".join(base[: i % 90] + [f"edit{i}"] + base[i % 90 + 1 :] + ["more"] * (sizes == "several" and i % 3)) for i in range(m)]
     sets = [jaccard.shingles(t.encode(), 3) for t in texts]
-    rows = [(1, jaccard.set_key(s), len(s), None, jaccard.point_of(s)) for s in sets]
+    rows = [(1, jaccard.set_key(s), len(s), None, jaccard.packed(jaccard.point_of(s))) for s in sets]
     frame = spark.createDataFrame(rows, "token long, node binary, n long, label binary, point binary")
     edges = jaccard.bucket_edges(frame.drop("point"), frame.select("node", "point"), 80, 100)
     # Sets of one size are one bucket; of several sizes, each set is in at most two.
