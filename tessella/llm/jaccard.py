@@ -405,15 +405,15 @@ def bucket_edges(members: DataFrame, points: DataFrame, num: int, den: int) -> D
     inside = written(rows.join(buckets, "bucket").select(F.col("bucket").alias("token"), "node", "n", "label", "m", (named == F.col("hub")).alias("is_hub")), "inside")
     held = points.join(inside.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("point").alias("point"))
     chunks = F.ceil(F.col("m") / POINTS).cast("int")
-    # The hub goes to every chunk, so that what is joined to it has one root throughout.
+    # The hub goes to every chunk and is first there, so that what is joined to it has one root throughout.
     own = F.when(F.col("is_hub"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))
-    dealt = inside.join(held, "node").select("token", F.explode(own).alias("c"), chunks.alias("k"), F.struct("node", "n", "label", "point").alias("member"))
+    dealt = inside.join(held, "node").select("token", F.explode(own).alias("c"), chunks.alias("k"), F.struct("node", "n", "label", "point", "is_hub").alias("member"))
     chunked = dealt.groupBy("token", "c").agg(F.first("k").alias("k"), F.collect_list("member").alias("members"))  # about POINTS members
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = Once()
         for token, _, k, chunk in rows_of(batches):
-            chunk.sort(key=lambda m: m["node"])
+            chunk.sort(key=lambda m: (not m["is_hub"], m["node"]))
             names = [m["label"] or m["node"] for m in chunk]
             place: dict[bytes, int] = {}
             labels = np.array([place.setdefault(x, i) for i, x in enumerate(names)])
