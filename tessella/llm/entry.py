@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, fingerprints, html_text, jaccard, line_dedup, pseudonyms, quality, sentencepieces, sharding, token_files
+from tessella.llm import decontaminate, fingerprints, html_text, jaccard, lexical, line_dedup, mixing, periodic_runs, pseudonyms, quality, sentencepieces, sharding, token_files
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_token_counts": token_files.op8_token_counts,
         "op9_sentencepieces": sentencepieces.op9_sentencepieces,
         "op10_decontamination": decontaminate.op10_decontamination,
+        "op11_lexical_search": lexical.op11_lexical_search,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_mixing": mixing.op13_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op10_decontamination": decontaminate.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op10_decontamination": decontaminate.SQL, "op11_lexical_search": lexical.SQL, "op13_mixing": mixing.SQL}
