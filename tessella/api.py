@@ -8,12 +8,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import rewrite
-from tessella.operators import search
+from tessella.functions import rewrite, text
+from tessella.functions.shared import new_path
+from tessella.operators import query_text, search, snippets, words
+from tessella.operators.inverted import Inverted
 from tessella.plans import registry
 
 #: Least length of a brief worth adding to a prompt (fixed value).
 SHORTEST_BRIEF = 80
+#: Places of a session's messages within its block of ids.
+PLACES = 1 << 24
 
 
 class History:
@@ -21,6 +25,17 @@ class History:
 
     def __init__(self, tables: dict):
         self.tables = tables
+        self._index: Inverted | None = None
+
+    @property
+    def index(self) -> Inverted:
+        """The messages' search index: the stored one, or one that is built when first asked for."""
+        if self._index is None:
+            spark, at = self.tables["messages"].sparkSession, getattr(self.tables, "search_at", None)
+            self._index = Inverted(spark, at or new_path(spark, "search"), span=PLACES if at else None)
+            if not self._index.segments():
+                self._index.add(self._corpus())
+        return self._index
 
     def ask(self, plan: str, **params) -> DataFrame:
         """Any plan of the catalog, with its arguments (``catalog.PARAMS`` has their defaults)."""
@@ -41,22 +56,53 @@ class History:
     def _corpus(self) -> DataFrame:
         return self.tables["messages"].select("id", "content", "role", "tool_name", "session_id", "sequence", "timestamp")
 
-    def search(self, question: str, project: str | None = None, limit: int = 10, role: str | None = None, session_id: str | None = None) -> DataFrame:
-        """Messages that answer a question: by keywords found, then by time; of one role or session, if named; a project's own are searched alone, so its hits are not cut by those of others."""
-        docs = self._corpus()
+    def _among(self, project: str | None, role: str | None, session_id: str | None) -> DataFrame | None:
+        """ids of the messages of a project, role or session; None if none is named."""
+        docs = self.tables["messages"]
         for column, value in (("role", role), ("session_id", session_id)):
             docs = docs.where(F.col(column) == value) if value else docs
         if project:
             docs = docs.join(self.tables["sessions"].where(F.col("project") == project).select("session_id"), "session_id", "left_semi")
-        found = search.keyword_search(docs, question, "content", "role", "tool_name", limit=limit, stems=True)
-        met = found.join(docs, "id").join(self.tables["sessions"].select("session_id", "project"), "session_id", "left")
+        return docs.select("id") if project or role or session_id else None
+
+    def _shown(self, found: DataFrame, phrases: list[tuple[list[str], bool]]) -> DataFrame:
+        """Hits (few rows with id) with their messages, projects and the part of the text around what was found."""
+        met = self._corpus().join(F.broadcast(found), "id").join(self.tables["sessions"].select("session_id", "project"), "session_id", "left")
+        return met.withColumn("snippet", snippets.snippet(F.col("content"), phrases, self.index.stems))
+
+    def find(self, expression: str, limit: int = 20, project: str | None = None, role: str | None = None, session_id: str | None = None) -> DataFrame:
+        """Messages that match an expression of words, "phrases", beginnings*, AND, OR, NOT and brackets, best first."""
+        found, among = self.index.matching(expression), self._among(project, role, session_id)
+        found = found if among is None else found.join(among, "id", "left_semi")
+        tree = query_text.parsed(expression, self.index.stems)
+        shown = self._shown(found.orderBy("score", "id").limit(limit), [(w, begins) for _, w, begins in query_text.phrases(tree)])
+        return shown.orderBy("score", "id").select(F.col("id").alias("message_id"), "session_id", "sequence", "project", "role", "tool_name", "timestamp", "score", "snippet", "content")
+
+    def search(self, question: str, project: str | None = None, limit: int = 10, role: str | None = None, session_id: str | None = None) -> DataFrame:
+        """Messages that answer a question: by keywords found, then the latest first; of one role or session, if named; a project's own are searched alone, so its hits are not cut by those of others."""
+        terms = rewrite.search_terms(self.tables["messages"].sparkSession, question)
+        recency = self.tables["messages"].select("id", F.coalesce("timestamp", F.lit("")).alias("at"))
+        found = self.index.by_keywords(terms, limit, recency=recency, among=self._among(project, role, session_id))
+        phrases = [([words.term_of(w, self.index.stems) for w in words.split(t)], False) for t in terms]
         order = (F.desc("hits"), F.desc(F.coalesce("timestamp", F.lit(""))), F.desc("id"))
-        return met.orderBy(*order).select("session_id", "sequence", "project", "role", "timestamp", "hits", search.snippet(F.col("content")).alias("snippet"))
+        return self._shown(found, phrases).orderBy(*order).select("session_id", "sequence", "project", "role", "timestamp", "hits", "snippet")
+
+    def decisions(self, project: str | None = None, limit: int = 10) -> DataFrame:
+        """beginning, rank: distinct beginnings of the best answers for each word of decisions that are long enough and say something."""
+        docs = self.tables["messages"].where("role = 'assistant' and tool_name is null")
+        among = self._among(project, "assistant", None)
+        best = [self.index.matching(f'"{w}"').join(among, "id", "left_semi").orderBy("score", "id").limit(5) for w in text.DECISIONS]
+        ranks = [search.ranked(b, "score", "id").select("id", "rank") for b in best]  # five rows each
+        every = ranks[0]
+        for more in ranks[1:]:
+            every = every.unionByName(more)
+        met = docs.join(F.broadcast(every), "id").where((F.length("content") >= 50) & ~text.is_boilerplate(F.col("content")))
+        return met.groupBy(F.substring("content", 1, 200).alias("beginning")).agg(F.min("rank").alias("rank")).orderBy("rank", "beginning").limit(limit)
 
     def hybrid(self, terms: list[str], vector: list[float] | None, limit: int = 20) -> DataFrame:
         """Messages by words and by a vector, their ranks fused; by words alone where there is no vector or none is stored."""
         docs = self._corpus()
-        words = search.ranked(search.search(docs, terms, "content", "role", "tool_name", limit=3 * limit, stems=True), "score", "id")
+        found = search.ranked(self.index.best(terms, 3 * limit), "score", "id")
         vectors = None
         if vector is not None:
             try:
@@ -64,13 +110,13 @@ class History:
             except AnalysisException:
                 vectors = None
         if vectors is None or vectors.isEmpty():
-            best = words.select("id", F.round(1 / (search.RRF + F.col("rank")), 8).alias("score")).limit(limit)
+            best = found.select("id", F.round(1 / (search.RRF + F.col("rank")), 8).alias("score")).limit(limit)
         else:
             query = docs.sparkSession.createDataFrame([([float(x) for x in vector],)], "query array<double>")
             as_double = vectors.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
             near = search.ranked(search.nearest(as_double, query, 3 * limit), "distance", "message_id").withColumnRenamed("message_id", "id")
-            best = search.fused(words, near, limit)
-        return best.join(docs, "id").select("id", "session_id", "sequence", "role", "timestamp", "score", search.snippet(F.col("content")).alias("snippet")).orderBy(F.desc("score"), "id")
+            best = search.fused(found, near, limit)
+        return docs.join(F.broadcast(best), "id").select("id", "session_id", "sequence", "role", "timestamp", "score", search.snippet(F.col("content")).alias("snippet")).orderBy(F.desc("score"), "id")
 
     def recall(self, message: str) -> DataFrame | None:
         """The three best messages on the past work that a message speaks of; None if it speaks of none."""

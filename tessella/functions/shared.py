@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,6 +45,41 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any store that Spark reads; None if it is not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(place):
+        return None
+    stream = store.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> bool:
+    """Writes a small file, whole or not at all: under another name first, then renamed; False where it is there and must not be overwritten."""
+    jvm = spark._jvm
+    place, hidden = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf)
+    stream = place.getFileSystem(conf).create(hidden)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE if overwrite else rename.NONE
+    try:
+        context.rename(hidden, place, how)
+    except Py4JJavaError as e:
+        if overwrite or "FileAlreadyExists" not in str(e.java_exception):
+            raise
+        remove(spark, hidden.toString())
+        return False
+    return True
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` gave, once nothing reads them any more."""
     for df in tables:

@@ -1,55 +1,19 @@
-"""Full-text and vector search: postings, BM25, keyword merging, nearest vectors and rank fusion.
+"""Full-text and vector search without an index: BM25, nearest vectors and rank fusion.
 
-``bm25`` reads the documents themselves: a query is a handful of terms, which
-travel to the texts, and nothing but hits and two sums is shuffled. ``postings``
-gives (document, term, frequency, positions) as a table for those who keep one.
-Words are folded as in the usual full-text index, and stemmed on request.
+``bm25`` reads the documents themselves, for tables that are searched once (a
+task's worktrees and errors); messages and corpora have a stored index
+(``inverted``). A query is a handful of terms, which travel to the texts, and
+nothing but hits and two sums is shuffled.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import rewrite
-from tessella.functions.stem import stem, stemmed
+from tessella.operators.words import term_of, tokens
 
 K1, B, RRF = 1.2, 0.75, 60
-SEPARATORS = r"[^\p{L}\p{N}]+"
-#: Small letters of the Latin blocks that are a letter with marks, and that letter, by the rule of Unicode's decompositions.
-MARKED = [(c, base) for c in map(chr, range(0xDF, 0x250)) if c == c.lower() and (base := unicodedata.normalize("NFD", c)[0]) != c]
-
-
-def folded(text: Column) -> Column:
-    """Lower-cased, without the marks of Latin letters."""
-    return F.translate(F.lower(text), "".join(c for c, _ in MARKED), "".join(base for _, base in MARKED))
-
-
-def plain(term: str) -> str:
-    """What ``folded`` makes of a text, for the few terms of a query."""
-    return term.lower().translate(str.maketrans(dict(MARKED)))
-
-
-def tokens(*columns: str, stems: bool = False) -> Column:
-    """The words of the columns' texts; with ``stems``, their stems."""
-    found = F.filter(F.split(folded(F.concat_ws(" ", *columns)), SEPARATORS), lambda t: t != "")
-    return stemmed(found) if stems else found
-
-
-def term_of(word: str, stems: bool) -> str:
-    return stem(plain(word)) if stems else plain(word)
-
-
-def postings(docs: DataFrame, *columns: str) -> DataFrame:
-    """id, term, tf, positions, length (tokens of all columns) for each document and term."""
-    found = docs.select("id", tokens(*columns).alias("t")).select("id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "term"))
-    return found.groupBy("id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"))
-
-
 def corpus_size(docs: DataFrame, *columns: str) -> DataFrame:
     """One row: n documents and their mean length."""
     return docs.select(F.size(tokens(*columns)).alias("l")).agg(F.count("*").alias("n_docs"), F.avg("l").alias("mean"))
@@ -72,35 +36,6 @@ def search(docs: DataFrame, terms: list[str], *columns: str, limit: int = 20, st
     return scored.where(F.col("found") == len(dict.fromkeys(term_of(t, stems) for t in terms))).select("id", F.round("score", 6).alias("score")).orderBy("score", "id").limit(limit)
 
 
-def boolean_query(docs: DataFrame, query: str, *columns: str) -> DataFrame:
-    """ids of documents that match words, "phrases", prefix*, OR and NOT (words are joined by AND)."""
-    found = docs.withColumn("_t", F.concat(F.lit(" "), F.array_join(tokens(*columns), " "), F.lit(" ")))
-    any_of: list[Column] = []
-    for clause in re.split(r"\s+OR\s+", query.strip()):
-        tests, negate = [], False
-        for phrase, word in re.findall(r'"([^"]*)"|(\S+)', clause):
-            if word == "NOT":
-                negate = True
-                continue
-            if word == "AND":
-                continue
-            parts = [p for p in re.split(r"[\W_]+", plain(phrase or word)) if p]
-            end = "" if word.endswith("*") else " "
-            test = F.col("_t").contains(" " + " ".join(parts) + end) if parts else F.lit(True)
-            tests.append(~test if negate else test)
-            negate = False
-        any_of.append(reduce(lambda a, b: a & b, tests, F.lit(True)))
-    return found.where(reduce(lambda a, b: a | b, any_of)).select("id")
-
-
-def keyword_search(docs: DataFrame, question: str, *columns: str, limit: int = 10, per_keyword: int | None = None, stems: bool = False) -> DataFrame:
-    """Documents by how many of the question's keywords find them among their best hits, then by id."""
-    found = rewrite.search_terms(docs.sparkSession, question)
-    rank = F.row_number().over(Window.partitionBy("term").orderBy("score", "id"))
-    best = bm25(docs, found, *columns, stems=stems).withColumn("rank", rank).where(F.col("rank") <= (per_keyword or 3 * limit))
-    return best.groupBy("id").agg(F.count("*").alias("hits"), F.min("rank").alias("best_rank")).orderBy(F.desc("hits"), "best_rank", "id").limit(limit)
-
-
 def snippet(text: Column) -> Column:
     return F.when(F.length(text) <= 220, text).otherwise(F.concat(F.substring(text, 1, 217), F.lit("...")))
 

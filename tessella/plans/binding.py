@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.shared import new_path
 from tessella.operators.artifacts import extract_artifacts
+from tessella.operators.inverted import Inverted
 from tessella.plans.catalog import CONCEPTS
 
 TABLES = ("messages", "sessions", "artifacts", "calls", "worktrees", "cycles", "checkpoints", "experiments", "vectors", "corpus")
@@ -119,6 +121,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("role"), F.col("source").alias("tool_name"))
 
 
+#: Indexes of corpora that this process has built: path by application, folder and whether words are stemmed.
+_BUILT: dict[tuple, str] = {}
+
+
+def corpus_index(spark: SparkSession, sf_dir: str, stems: bool = False) -> Inverted:
+    """The stored index of the corpus, built when first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, stems)
+    found = Inverted(spark, _BUILT.get(key) or new_path(spark, "search"), stems=stems)
+    if key not in _BUILT or not found.segments():
+        found.add(corpus(spark, sf_dir))
+        _BUILT[key] = found.path
+    return found
+
+
 def bound(spark: SparkSession, sf_dir: str) -> dict:
     """Table name -> DataFrame, made when asked for."""
     makers = {name: globals()[name] for name in TABLES}
@@ -135,6 +151,9 @@ def stored(spark: SparkSession, path: str) -> dict:
     """The same tables as a deployment keeps them (``sources.store``): Parquet folders under ``path``, opened when asked for."""
 
     class Lazy(dict):
+        #: Where the messages' search index is kept.
+        search_at = f"{path}/search"
+
         def __missing__(self, name: str) -> DataFrame:
             if name not in TABLES:
                 raise KeyError(name)

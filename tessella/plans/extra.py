@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import rewrite, text
+from tessella.functions.shared import new_path
 from tessella.operators import graph, search
+from tessella.operators.inverted import Inverted
 from tessella.plans import binding, catalog, registry
 
 TERMS = ["tion", "ther"]
 QUESTION = "how did we fix tion and thon near ther"
-COLUMNS = ("content", "role", "tool_name")
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict:
@@ -19,30 +20,37 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict:
 
 
 def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_tables(spark, sf_dir)["corpus"], TERMS, *COLUMNS)
+    return binding.corpus_index(spark, sf_dir).best(TERMS)
 
 
 def fts_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by stems, which SQL cannot make (tested against a full-text index with stems)."""
-    return search.search(_tables(spark, sf_dir)["corpus"], TERMS, *COLUMNS, stems=True)
+    return binding.corpus_index(spark, sf_dir, stems=True).best(TERMS)
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.postings(_tables(spark, sf_dir)["corpus"], *COLUMNS)
-    return found.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
+    """Documents and occurrences of every word, of an index that is built anew."""
+    index = Inverted(spark, new_path(spark, "search"), stems=False)
+    index.add(_tables(spark, sf_dir)["corpus"])
+    return index.counts()
 
 
 def boolean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.boolean_query(_tables(spark, sf_dir)["corpus"], 'tion "of the" NOT thon OR eau*', *COLUMNS)
+    return binding.corpus_index(spark, sf_dir).matching('tion "of the" NOT thon OR eau*').select("id")
+
+
+def ranked_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expression with brackets and a phrase, ranked by how often and in how many documents its phrases come."""
+    return binding.corpus_index(spark, sf_dir).matching('("of the" OR tion) AND ther NOT thon').orderBy("score", "id").limit(20)
 
 
 def nl_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.keyword_search(_tables(spark, sf_dir)["corpus"], QUESTION, *COLUMNS)
+    return binding.corpus_index(spark, sf_dir).by_keywords(rewrite.search_terms(spark, QUESTION))
 
 
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = rewrite.answers(spark, QUESTION, rewrite.recall_topic)
-    return search.keyword_search(_tables(spark, sf_dir)["corpus"], topic, *COLUMNS, limit=3, per_keyword=15)
+    return binding.corpus_index(spark, sf_dir).by_keywords(rewrite.search_terms(spark, topic), limit=3, per_keyword=15)
 
 
 def _query_vector(vectors: DataFrame) -> DataFrame:
@@ -64,7 +72,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     vectors = t["vectors"].withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
     near = search.ranked(search.nearest(vectors, _query_vector(vectors), 60), "distance", "message_id").withColumnRenamed("message_id", "id")
-    found = search.ranked(search.search(t["corpus"], TERMS, *COLUMNS, limit=60), "score", "id")
+    found = search.ranked(binding.corpus_index(spark, sf_dir).best(TERMS, 60), "score", "id")
     return search.fused(found, near)
 
 
@@ -86,7 +94,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct beginnings of the best messages for each decision word (here: words of the test texts), by their best rank."""
     docs = _tables(spark, sf_dir)["corpus"]
     rank = F.row_number().over(Window.partitionBy("term").orderBy("score", "id"))
-    best = search.bm25(docs, list(binding.DECISION_WORDS), *COLUMNS).withColumn("rank", rank).where("rank <= 5")
+    best = binding.corpus_index(spark, sf_dir).scored(list(binding.DECISION_WORDS)).withColumn("rank", rank).where("rank <= 5")
     met = best.join(docs, "id").where((F.length("content") >= 50) & ~text.is_boilerplate(F.col("content")))
     return met.groupBy(F.substring("content", 1, 200).alias("beginning")).agg(F.min("rank").alias("rank")).orderBy("rank", "beginning").limit(10)
 
@@ -130,7 +138,7 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(edges, *_ENDS)
 
 
-QUERIES = {f"q_{f.__name__}": f for f in (fts_search, fts_stems, postings, boolean_search, nl_search, recall, quantize_int8, knn, hybrid_rrf, clean_project, next_steps, decisions, concepts, concept_files, extract_keywords, pagerank, communities, shortest_path)}
+QUERIES = {f"q_{f.__name__}": f for f in (fts_search, fts_stems, postings, boolean_search, ranked_expression, nl_search, recall, quantize_int8, knn, hybrid_rrf, clean_project, next_steps, decisions, concepts, concept_files, extract_keywords, pagerank, communities, shortest_path)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(concat_ws(' ', content, role, tool_name))), '[^\p{L}\p{N}]+'), lambda x: x != '')"
 _DOCS = f"corpus AS ({binding.ORACLE['corpus']}), d AS (SELECT id, content, {_TOKENS} AS t FROM corpus), size AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean FROM d)"
@@ -168,6 +176,15 @@ ORACLES = {
     "q_hybrid_rrf": f"WITH {_DOCS}, {_bm25(TERMS)}, {_V}, f AS (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM ({_search(60)})), n2 AS (SELECT message_id AS id, row_number() OVER (ORDER BY distance, message_id) AS rank FROM ({_NEAR.format(n=60)})) SELECT id, round(coalesce(1.0E0 / (60 + f.rank), 0) + coalesce(1.0E0 / (60 + n2.rank), 0), 8) AS score FROM f FULL JOIN n2 USING (id) ORDER BY score DESC, id LIMIT 20",
     "q_clean_project": "SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 = 2 THEN '-home-user-tmp-app-' || conv_id ELSE 'app-' || conv_id END AS project FROM conversations",
 }
+# Occurrences of each phrase: words by place, and pairs of neighbours in one column.
+_TIMES = "len(list_filter(t, lambda x: x = '{w}'))"
+_PAIRS = "len(list_filter(list_zip(t, t[2:]), lambda x: x[1] = 'of' AND x[2] = 'the'))"
+_GAIN = "-greatest(ln((n_docs - n{i} + 0.5E0) / (n{i} + 0.5E0)), 1e-6) * t{i} * 2.2E0 / (t{i} + 1.2E0 * (0.25E0 + 0.75E0 * l / mean))"
+ORACLES["q_ranked_expression"] = (
+    f"WITH {_DOCS}, c AS (SELECT id, len(t) AS l, {_PAIRS} AS t0, {_TIMES.format(w='tion')} AS t1, {_TIMES.format(w='ther')} AS t2, {_TIMES.format(w='thon')} AS t3 FROM d), "
+    "n AS (SELECT count(*) FILTER (t0 > 0) AS n0, count(*) FILTER (t1 > 0) AS n1, count(*) FILTER (t2 > 0) AS n2, count(*) FILTER (t3 > 0) AS n3 FROM c) "
+    f"SELECT id, round({' + '.join('(' + _GAIN.format(i=i) + ')' for i in range(4))}, 6) AS score FROM c, n, size WHERE (t0 > 0 OR t1 > 0) AND t2 > 0 AND NOT t3 > 0 ORDER BY score, id LIMIT 20"
+)
 # The first five distinct words in order: positions at which a word comes first.
 ORACLES["q_extract_keywords"] = registry.with_views(
     f"SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' ') AS keywords FROM (SELECT id, CASE WHEN len(w) > 0 THEN w ELSE list_transform(list_sort(list_transform(a, lambda x, i: struct_pack(n := -length(x), i := i, x := x)))[1:3], lambda y: y.x) END AS w "

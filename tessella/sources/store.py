@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from tessella.functions.shared import discard, written
 from tessella.functions.text import clean_project_name
 from tessella.operators.artifacts import extract_artifacts, unique_artifacts
+from tessella.operators.inverted import Inverted
 from tessella.sources import transcripts
 
 BUCKETS = 64
-#: Places of a session's messages within its block of ids.
+#: Places of a session's messages within its block of ids, which is one owner of the search index.
 PLACES = 1 << 24
 
 
@@ -84,9 +85,17 @@ def _put_messages(spark: SparkSession, store: str, rows: DataFrame, about: DataF
     replace_by_key(spark, store, "messages", ided, "session_id")
     replace_by_key(spark, store, "artifacts", unique_artifacts(extract_artifacts(ided)), "session_id")
     update_by_key(spark, store, "sessions", sessions, "session_id")
+    search = search_index(spark, store)
+    search.add(ided)
+    search.merge()
     discard(sessions, ided)
 
 
+def search_index(spark: SparkSession, store: str) -> Inverted:
+    """The search index of the stored messages."""
+    return Inverted(spark, f"{store}/search", span=PLACES)
+
+
 def index(spark: SparkSession, path: str, store: str, full: bool = False) -> int:
     """Indexes chat transcripts below ``path`` into the tables below ``store``; returns how many files were read.
 
