@@ -16,8 +16,6 @@ from tessella.plans import registry
 
 #: Least length of a brief worth adding to a prompt (fixed value).
 SHORTEST_BRIEF = 80
-#: Places of a session's messages within its block of ids.
-PLACES = 1 << 24
 
 
 class History:
@@ -31,9 +29,11 @@ class History:
     def index(self) -> Inverted:
         """The messages' search index: the stored one, or one that is built when first asked for."""
         if self._index is None:
-            spark, at = self.tables["messages"].sparkSession, getattr(self.tables, "search_at", None)
-            self._index = Inverted(spark, at or new_path(spark, "search"), span=PLACES if at else None)
-            if not self._index.segments():
+            if stored := getattr(self.tables, "search_index", None):
+                self._index = stored()
+            else:
+                spark = self.tables["messages"].sparkSession
+                self._index = Inverted(spark, new_path(spark, "search"))
                 self._index.add(self._corpus())
         return self._index
 
@@ -107,7 +107,7 @@ class History:
         if vector is not None:
             try:
                 vectors = self.tables["vectors"]
-            except AnalysisException:
+            except (AnalysisException, KeyError):
                 vectors = None
         if vectors is None or vectors.isEmpty():
             best = found.select("id", F.round(1 / (search.RRF + F.col("rank")), 8).alias("score")).limit(limit)

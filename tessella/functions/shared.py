@@ -58,13 +58,22 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder of any store that Spark reads; none if it is not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+
+
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> bool:
     """Writes a small file, whole or not at all: under another name first, then renamed; False where it is there and must not be overwritten."""
     jvm = spark._jvm
     place, hidden = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf)
-    stream = place.getFileSystem(conf).create(hidden)
+    store = place.getFileSystem(conf)
+    store.mkdirs(place.getParent())
+    stream = store.create(hidden)
     stream.write(bytearray(text.encode()))
     stream.close()
     rename = jvm.org.apache.hadoop.fs.Options.Rename

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.shared import discard, read_text, remove, write_text, written
+from tessella.functions.shared import discard, names_in, read_text, remove, write_text, written
 from tessella.operators import query_text, words
 
 K1, B = 1.2, 0.75
@@ -107,13 +107,15 @@ def blocks(docs: DataFrame, columns: tuple[str, ...], stems: bool) -> DataFrame:
 class Inverted:
     """An index at ``path``; ``stems``: of words' stems; ``span``: ids of an owner."""
 
-    def __init__(self, spark: SparkSession, path: str, columns: tuple[str, ...] = ("content", "role", "tool_name"), stems: bool = True, span: int | None = None):
-        self.spark, self.path, self.columns, self.stems, self.span = spark, path.rstrip("/"), columns, stems, span
+    def __init__(self, spark: SparkSession, path: str, columns: tuple[str, ...] = ("content", "role", "tool_name"), stems: bool = True, span: int | None = None, segments: list[int] | None = None):
+        self.spark, self.path, self.columns, self.stems, self.span, self.given = spark, path.rstrip("/"), columns, stems, span, segments
 
     # What is stored.
 
     def segments(self) -> list[int]:
-        """The segments that count; none before the first ``add``."""
+        """The segments that count: those given, or those of the last ``add``."""
+        if self.given is not None:
+            return self.given
         found = read_text(self.spark, f"{self.path}/segments.json")
         return json.loads(found)["segments"] if found else []
 
@@ -129,21 +131,40 @@ class Inverted:
     def add(self, docs: DataFrame) -> None:
         """Indexes ``docs``; owners that are indexed already are replaced. What is asked meanwhile sees the index as it was: the list of segments is written last."""
         held = self.segments()
-        number = max(held, default=0) + 1
+        number = self.write(docs)
+        write_text(self.spark, f"{self.path}/segments.json", json.dumps({"segments": [*held, number] if self.span else [number]}))
+
+    def write(self, docs: DataFrame) -> int:
+        """Writes ``docs`` as a segment that does not count yet, and returns its number."""
+        number = 1 + max((int(n.removeprefix("segment=")) for n in names_in(self.spark, f"{self.path}/sizes") if n.startswith("segment=")), default=0)
         found = docs.select("id", *(F.size(words.tokens(c)).alias(c) for c in self.columns))
         length = reduce(lambda a, b: a + b, (F.col(c) for c in self.columns))
         sizes = written(found.select(self._owner().alias("owner"), length.cast("long").alias("n")).groupBy("owner").agg(F.count("*").alias("n_docs"), F.sum("n").alias("words")), "sizes")
         n_docs = sizes.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
         self._write(number, blocks(docs, self.columns, self.stems), sizes, n_docs)
         discard(sizes)
-        write_text(self.spark, f"{self.path}/segments.json", json.dumps({"segments": [*held, number] if self.span else [number]}))
+        return number
 
     def merge(self, most: int = 8) -> bool:
-        """Where there are more than ``most`` segments, writes what is seen of them as one; the old ones are deleted at the next merge."""
+        """``merged`` of the index's own list of segments; the old ones are deleted at the next merge."""
         held = self.segments()
-        if len(held) <= most:
+        now = self.merged(held, most)
+        if now == held:
             return False
-        number = max(held) + 1
+        write_text(self.spark, f"{self.path}/segments.json", json.dumps({"segments": now}))
+        for old in range(1, min(held)):
+            for part in ("postings", "sizes"):
+                remove(self.spark, f"{self.path}/{part}/segment={old}")
+        return True
+
+    def merged(self, segments: list[int], most: int) -> list[int]:
+        """``segments``, or where there are more than ``most``, the number of one that is written with what is seen of them."""
+        if len(segments) <= most:
+            return segments
+        return [Inverted(self.spark, self.path, self.columns, self.stems, self.span, segments)._merge()]
+
+    def _merge(self) -> int:
+        number = max(self.segments()) + 1
         rows = self._seen(self._rows(F.lit(True)))
         block = F.struct("term", "segment", "block")
         one = rows.groupBy(block.alias("b")).agg(F.count("*").cast("int").alias("m"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.array_sort(F.collect_list(F.struct("id", "tf", "length", "places"))).alias("p"))
@@ -151,11 +172,7 @@ class Inverted:
         sizes = written(self._live_sizes().select("owner", "n_docs", "words"), "sizes")
         self._write(number, flat, sizes, sizes.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0])
         discard(sizes)
-        write_text(self.spark, f"{self.path}/segments.json", json.dumps({"segments": [number]}))
-        for old in range(1, min(held)):
-            for part in ("postings", "sizes"):
-                remove(self.spark, f"{self.path}/{part}/segment={old}")
-        return True
+        return number
 
     def _read(self, part: str) -> DataFrame:
         held = self.segments()

@@ -14,6 +14,7 @@ from tessella.functions.shared import new_path
 from tessella.operators.artifacts import extract_artifacts
 from tessella.operators.inverted import Inverted
 from tessella.plans.catalog import CONCEPTS
+from tessella.sources import store, versions
 
 TABLES = ("messages", "sessions", "artifacts", "calls", "worktrees", "cycles", "checkpoints", "experiments", "vectors", "corpus")
 #: The test texts are invented words: these stand for the words that a deployment looks for.
@@ -147,18 +148,21 @@ def bound(spark: SparkSession, sf_dir: str) -> dict:
     return Lazy()
 
 
-def stored(spark: SparkSession, path: str) -> dict:
-    """The same tables as a deployment keeps them (``sources.store``): Parquet folders under ``path``, opened when asked for."""
+def stored(spark: SparkSession, path: str, number: int | None = None) -> dict:
+    """The same tables as a deployment keeps them (``sources.store``), all of one version, opened when asked for."""
+    at, held = versions.version(spark, path, number)
 
     class Lazy(dict):
-        #: Where the messages' search index is kept.
-        search_at = f"{path}/search"
+        def search_index(self) -> Inverted:
+            """The messages' search index."""
+            return store.search_index(spark, path, held.get("notes", {}))
 
         def __missing__(self, name: str) -> DataFrame:
-            if name not in TABLES:
+            found = versions.table(spark, path, name, at) if name in TABLES and at else None
+            if found is None:
                 raise KeyError(name)
-            self[name] = spark.read.parquet(f"{path}/{name}").drop("bucket")
-            return self[name]
+            self[name] = found
+            return found
 
     return Lazy()
 

@@ -1,66 +1,46 @@
 """The stored tables of a deployment: indexing of transcripts, upserts by key, and bulk corrections.
 
-A table is a Parquet folder, partitioned into ``BUCKETS`` parts by a hash of its
-key (a session's id for messages and artifacts). A change reads and rewrites only
-the parts that its keys are in, by a dynamic partition overwrite of a table that
-was written to the shared folder first; so a job that fails leaves the stored
-table as it was or with whole parts of the new one.
+Every function is one change of the store (``versions``): the messages,
+artifacts and sessions of what was indexed, and their part of the search index,
+are seen together or not at all.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.ranges import running
 from tessella.functions.shared import discard, written
 from tessella.functions.text import clean_project_name
 from tessella.operators.artifacts import extract_artifacts, unique_artifacts
 from tessella.operators.inverted import Inverted
 from tessella.sources import transcripts
+from tessella.sources.versions import Change, changed, table, version
 
-BUCKETS = 64
+__all__ = ["Change", "changed", "index", "insert_by_key", "rename_projects", "replace_by_key", "search_index", "session_file", "table", "update_by_key", "upsert_messages"]
 #: Places of a session's messages within its block of ids, which is one owner of the search index.
 PLACES = 1 << 24
+#: Segments of the search index up to which it is not merged.
+SEGMENTS = 8
 
 
-def table(spark: SparkSession, store: str, name: str) -> DataFrame | None:
-    """A stored table; None if it is not there."""
-    try:
-        return spark.read.parquet(f"{store}/{name}").drop("bucket")
-    except AnalysisException:
-        return None
+def replace_by_key(spark: SparkSession, store: str, name: str, rows: DataFrame, key: str) -> None:
+    changed(spark, store, lambda change: change.replace(name, rows, key))
 
 
-def _bucket(key: str):
-    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+def update_by_key(spark: SparkSession, store: str, name: str, changes: DataFrame, key: str) -> None:
+    changed(spark, store, lambda change: change.update(name, changes, key))
 
 
-def replace_by_key(spark: SparkSession, store: str, name: str, rows: DataFrame, key: str) -> None:
-    """Puts ``rows`` in place of all stored rows of their keys; columns that either side lacks are null."""
-    rows = written(rows, name)
-    out = rows
-    try:
-        kept = spark.read.parquet(f"{store}/{name}")
-    except AnalysisException:
-        kept = None
-    if kept is not None:
-        keys = rows.select(key).distinct()
-        kept = kept.join(F.broadcast(keys.select(_bucket(key).alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")  # at most BUCKETS rows
-        out = written(kept.join(keys, key, "left_anti").unionByName(rows, allowMissingColumns=True), name)
-    out.withColumn("bucket", _bucket(key)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{store}/{name}")
-    discard(rows, *([out] if out is not rows else []))
+def insert_by_key(spark: SparkSession, store: str, name: str, rows: DataFrame, key: str, order: str | None = None) -> None:
+    changed(spark, store, lambda change: change.insert(name, rows, key, order))
 
 
-def update_by_key(spark: SparkSession, store: str, name: str, changes: DataFrame, key: str) -> None:
-    """Inserts or updates one row a key: a change's columns where they are not null, else the stored ones."""
-    held = table(spark, store, name)
-    if held is not None:
-        held = held.join(changes.select(key), key, "left_semi")
-        for column in set(changes.columns) - set(held.columns):
-            held = held.withColumn(column, F.lit(None).cast(changes.schema[column].dataType))
-        changes = transcripts.merged_by_key(held, changes, key)
-    replace_by_key(spark, store, name, changes, key)
+def search_index(spark: SparkSession, store: str, notes: dict | None = None) -> Inverted:
+    """The search index of the stored messages, as of the latest version or the one that ``notes`` are of."""
+    notes = version(spark, store)[1].get("notes", {}) if notes is None else notes
+    return Inverted(spark, f"{store}/search", span=PLACES, segments=notes.get("segments", []))
 
 
 def _numbered_sessions(new: DataFrame, held: DataFrame | None) -> DataFrame:
@@ -68,82 +48,121 @@ def _numbered_sessions(new: DataFrame, held: DataFrame | None) -> DataFrame:
     if held is None:
         held = new.sparkSession.createDataFrame([], "session_id string, number long")
     top = held.agg(F.coalesce(F.max("number"), F.lit(0)).alias("top"))
-    met = new.join(held.select("session_id", "number"), "session_id", "left").crossJoin(F.broadcast(top))
-    # One row for each transcript, a few hundred bytes: the order of all is found in one place.
-    next_number = F.row_number().over(Window.partitionBy(F.col("number").isNull()).orderBy("created_at", "session_id"))
-    return met.withColumn("number", F.coalesce("number", F.col("top") + next_number).cast("long")).drop("top")
+    met = written(new.join(held.select("session_id", "number"), "session_id", "left"), "sessions")
+    fresh = running(met.where("number is null"), [F.col("created_at"), F.col("session_id")], {"before": F.lit(1)}).crossJoin(F.broadcast(top))
+    numbered = fresh.withColumn("number", (F.col("top") + F.col("before") + 1).cast("long")).drop("top", "before")
+    return met.where("number is not null").unionByName(numbered)
 
 
-def _put_messages(spark: SparkSession, store: str, rows: DataFrame, about: DataFrame | None) -> None:
-    """Replaces the sessions of ``rows`` in the three tables; ``about``: filepath and file_size_bytes by session_id, where known."""
+def _put_messages(change: Change, rows: DataFrame, about: DataFrame | None) -> None:
+    """Replaces the sessions of ``rows`` in the three tables and the search index; ``about``: filepath and file_size_bytes by session_id, where known."""
+    spark, store = change.spark, change.store
     facts = rows.groupBy("session_id").agg(F.max("project").alias("project"), F.count("*").alias("message_count"), F.min("timestamp").alias("created_at"), F.max("timestamp").alias("updated_at"))
     if about is not None:
         facts = facts.join(about, "session_id", "left")
-    sessions = written(_numbered_sessions(facts, table(spark, store, "sessions")), "sessions")
+    sessions = written(_numbered_sessions(facts, change.table("sessions")), "sessions")
     numbers = sessions.select("session_id", "number")
     ided = written(rows.drop("id", "project").join(numbers, "session_id").withColumn("id", F.col("number") * PLACES + F.col("sequence")).drop("number"), "messages")
-    replace_by_key(spark, store, "messages", ided, "session_id")
-    replace_by_key(spark, store, "artifacts", unique_artifacts(extract_artifacts(ided)), "session_id")
-    update_by_key(spark, store, "sessions", sessions, "session_id")
-    search = search_index(spark, store)
-    search.add(ided)
-    search.merge()
+    change.replace("messages", ided, "session_id")
+    # A session without artifacts loses those it had.
+    found = unique_artifacts(extract_artifacts(ided))
+    none = sessions.select("session_id").join(found.select("session_id").distinct(), "session_id", "left_anti")
+    change.replace("artifacts", found.unionByName(none, allowMissingColumns=True), "session_id")
+    change.update("sessions", sessions, "session_id")
+    search = search_index(spark, store, change.content.get("notes", {}))
+    change.content["notes"] = change.content.get("notes", {}) | {"segments": search.merged([*search.segments(), search.write(ided)], SEGMENTS)}
     discard(sessions, ided)
 
 
-def search_index(spark: SparkSession, store: str) -> Inverted:
-    """The search index of the stored messages."""
-    return Inverted(spark, f"{store}/search", span=PLACES)
+#: Readers of the agents' transcripts by the name of their kind.
+READERS = {"chat": transcripts.chat_messages, "calls": transcripts.call_messages, "editor": transcripts.editor_messages}
 
 
-def index(spark: SparkSession, path: str, store: str, full: bool = False) -> int:
-    """Indexes chat transcripts below ``path`` into the tables below ``store``; returns how many files were read.
+def index(spark: SparkSession, path: str, store: str, full: bool = False, kind: str = "chat") -> int:
+    """Indexes transcripts of a kind (``READERS``) below ``path`` into the tables below ``store``; returns how many files were read.
 
     A file whose stored size is still its size is passed over, unless ``full``.
-    A session that is read again replaces all its rows.
+    A session that is read again replaces all its rows. A function-call
+    transcript may name its session itself; it is known by its path.
     """
-    name = F.regexp_extract("path", r"([^/]+?)\.jsonl$", 1)
-    files = transcripts.discovered(spark, path).select("path", "length", name.alias("session_id"))
-    held = table(spark, store, "sessions")
-    if held is not None and not full:
-        same = held.select("session_id", F.col("file_size_bytes").alias("length"))
-        files = files.join(same, ["session_id", "length"], "left_anti")
-    found = files.collect()  # names of files, as Spark's own listing holds them
-    if not found:
-        return 0
-    about = spark.createDataFrame([(r["session_id"], r["path"], r["length"]) for r in found], "session_id string, filepath string, file_size_bytes long").dropDuplicates(["session_id"])
-    rows = written(transcripts.chat_messages(spark, [r["path"] for r in found]), "indexed")
-    _put_messages(spark, store, rows, about)
-    discard(rows)
-    return len(found)
-
-
-def upsert_messages(spark: SparkSession, store: str, new: DataFrame) -> None:
-    """Adds messages, the new one where both have a session's sequence number, and counts their sessions again; fit for ``foreachBatch``."""
-    held, sessions = table(spark, store, "messages"), table(spark, store, "sessions")
-    touched = written(new, "touched")
-    rows = touched
-    if held is not None:
-        old = held.join(touched.select("session_id").distinct(), "session_id", "left_semi")
-        if sessions is not None:
-            old = old.join(sessions.select("session_id", "project"), "session_id", "left")
-        rows = transcripts.merged_messages(old, touched)
-    if "project" not in rows.columns:
-        rows = rows.withColumn("project", F.lit(None).cast("string"))
-    _put_messages(spark, store, rows, None)
-    discard(touched)
+    files = transcripts.discovered(spark, path).select("path", "file", "length")
+
+    def do(change: Change) -> int:
+        held, new = change.table("sessions"), files
+        if held is not None and not full:
+            new = files.join(held.select(F.col("filepath").alias("file"), F.col("file_size_bytes").alias("length")), ["file", "length"], "left_anti")
+        found = [r["path"] for r in new.select("path").collect()]  # names of files, as Spark's own listing holds them
+        if not found:
+            return 0
+        read = READERS[kind](spark, found)
+        read = read if "project" in read.columns else read.withColumn("project", F.lit(None).cast("string"))
+        rows = written(read, "indexed")
+        about = written(new, "files")
+        files_of = rows.groupBy("session_id").agg(F.min("file").alias("filepath")).join(about.select(F.col("file").alias("filepath"), F.col("length").alias("file_size_bytes")), "filepath")
+        _put_messages(change, rows.drop("file"), files_of)
+        discard(rows, about)
+        return len(found)
+
+    return changed(spark, store, do)
+
+
+def upsert_messages(spark: SparkSession, store: str, new: DataFrame, stream: str | None = None, batch: int | None = None) -> bool:
+    """Adds messages, the new one where both have a session's sequence number, and counts their sessions again.
+
+    Fit for ``foreachBatch``: with the stream's name and the batch's number, a
+    batch that was taken in already is not taken again (False). Rows without a
+    sequence number (then with ``place``, their order) continue their session.
+    """
+
+    def do(change: Change) -> bool:
+        if stream is not None and change.content["streams"].get(stream, -1) >= batch:
+            return False
+        held, sessions = change.table("messages"), change.table("sessions")
+        touched = written(new, "touched")
+        rows = touched
+        if held is not None:
+            old = held.join(F.broadcast(touched.select("session_id").distinct()), "session_id", "left_semi")
+            if sessions is not None:
+                old = old.join(sessions.select("session_id", "project"), "session_id", "left")
+            if "place" in touched.columns:
+                ends = old.groupBy("session_id").agg((F.max("sequence") + 1).alias("next"))
+                rows = _continued(touched, ends)
+            rows = transcripts.merged_messages(old, rows)
+        elif "place" in touched.columns:
+            rows = _continued(touched, None)
+        if "project" not in rows.columns:
+            rows = rows.withColumn("project", F.lit(None).cast("string"))
+        _put_messages(change, rows, None)
+        if stream is not None:
+            change.content["streams"][stream] = batch
+        discard(touched)
+        return True
+
+    return changed(spark, store, do)
+
+
+def _continued(rows: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """``rows`` with sequence numbers that follow what their session has, in the order of ``place``."""
+    from pyspark.sql import Window
+
+    own = F.row_number().over(Window.partitionBy("session_id").orderBy("place")) - 1
+    met = rows.withColumn("next", F.lit(0).cast("long")) if ends is None else rows.join(ends, "session_id", "left")
+    return met.withColumn("sequence", (F.coalesce("next", F.lit(0)) + own).cast("long")).drop("next", "place")
 
 
 def rename_projects(spark: SparkSession, store: str) -> int:
     """Cleans the names of all stored projects; returns how many sessions changed."""
-    sessions = table(spark, store, "sessions")
-    changed = sessions.withColumn("clean", clean_project_name(F.col("project"))).where("project is not null and clean != project")
-    changed = written(changed.withColumn("project", F.col("clean")).drop("clean"), "renamed")
-    n = changed.count()
-    if n:
-        replace_by_key(spark, store, "sessions", changed, "session_id")
-    discard(changed)
-    return n
+
+    def do(change: Change) -> int:
+        clean = change.table("sessions").withColumn("clean", clean_project_name(F.col("project"))).where("project is not null and clean != project")
+        rows = written(clean.withColumn("project", F.col("clean")).drop("clean"), "renamed")
+        n = rows.count()
+        if n:
+            change.replace("sessions", rows, "session_id")
+        discard(rows)
+        return n
+
+    return changed(spark, store, do)
 
 
 def session_file(spark: SparkSession, path: str, session_id: str) -> str | None:

@@ -76,10 +76,14 @@ def chat_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     An assistant's event gives a row for its text and one for each tool call
     (its JSON input as content); the event's token counts stand in its first row.
     """
-    found = lines(spark, path)
+    return chat_rows(lines(spark, path)).drop("place")
+
+
+def chat_rows(found: DataFrame) -> DataFrame:
+    """``chat_messages`` of lines (session_id, project, file, place, v)."""
     agent = (get(F.col("v"), "$.type") == "progress") & (get(F.col("v"), "$.data.type") == "agent_progress")
-    event = found.select("session_id", "project", "place", "v", F.when(agent, get(F.col("v"), "$.data.message", "variant")).otherwise(F.col("v")).alias("e"), F.when(agent, get(F.col("v"), "$.data.agentId")).alias("agent_id"), get(F.col("v"), "$.timestamp").alias("outer"))
-    event = event.select("session_id", "project", "place", "v", "agent_id", get(F.col("e"), "$.type").alias("kind"), F.coalesce(get(F.col("e"), "$.timestamp"), "outer").alias("timestamp"), get(F.col("e"), "$.message", "variant").alias("m"))
+    event = found.select("session_id", "project", "file", "place", "v", F.when(agent, get(F.col("v"), "$.data.message", "variant")).otherwise(F.col("v")).alias("e"), F.when(agent, get(F.col("v"), "$.data.agentId")).alias("agent_id"), get(F.col("v"), "$.timestamp").alias("outer"))
+    event = event.select("session_id", "project", "file", "place", "v", "agent_id", get(F.col("e"), "$.type").alias("kind"), F.coalesce(get(F.col("e"), "$.timestamp"), "outer").alias("timestamp"), get(F.col("e"), "$.message", "variant").alias("m"))
     event = event.where("kind in ('user', 'assistant', 'summary')")
     m, v = F.col("m"), F.col("v")
     summary = F.coalesce(*(F.nullif(x, F.lit("")) for x in (get(v, "$.summary"), get(m, "$.summary"), _collected(m))))
@@ -87,20 +91,20 @@ def chat_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     calls = F.when(F.col("kind") == "assistant", _calls(m)).otherwise(F.array().cast("array<struct<name:string,input:string>>"))
     usage = {"token_usage_in": "input_tokens", "token_usage_out": "output_tokens", "cache_read_tokens": "cache_read_input_tokens", "cache_create_tokens": "cache_creation_input_tokens"}
     tokens = [F.when(F.col("kind") == "user", 0).otherwise(F.coalesce(get(m, f"$.usage.{k}", "long"), F.lit(0))).cast("long").alias(n) for n, k in usage.items()]
-    said = event.select("session_id", "project", "place", "agent_id", "timestamp", F.col("kind").alias("role"), F.coalesce(text, F.lit("")).alias("text"), calls.alias("calls"), *tokens)
+    said = event.select("session_id", "project", "file", "place", "agent_id", "timestamp", F.col("kind").alias("role"), F.coalesce(text, F.lit("")).alias("text"), calls.alias("calls"), *tokens)
     part = "struct<content:string,tool_name:string>"
     own = F.when((F.col("text") != "") | (F.col("role") == "user"), F.array(F.struct(F.col("text").alias("content"), F.lit(None).cast("string").alias("tool_name")))).otherwise(F.array().cast(f"array<{part}>"))
     tools = F.transform("calls", lambda c: F.struct(c["input"].alias("content"), c["name"].alias("tool_name")))
     rows = said.select("*", F.posexplode(F.concat(own, tools)).alias("part", "x"))
     first = [F.when(F.col("part") == 0, F.col(n)).otherwise(0).cast("long").alias(n) for n in usage]
-    return _numbered(rows).select("session_id", "project", "sequence", "role", "x.content", "timestamp", "x.tool_name", *first, "agent_id")
+    return _numbered(rows).select("session_id", "project", "sequence", "role", "x.content", "timestamp", "x.tool_name", *first, "agent_id", "file", F.struct("place", "part").alias("place"))
 
 
 def call_messages(spark: SparkSession, path: str) -> DataFrame:
     """Messages of function-call transcripts; tokens counted since the last message go to the next one, outputs to their calls."""
     found = lines(spark, path)
     p = get(F.col("v"), "$.payload", "variant")
-    event = found.select("session_id", "place", get(F.col("v"), "$.type").alias("type"), get(F.col("v"), "$.timestamp").alias("timestamp"), p.alias("p"), get(p, "$.type").alias("kind"))
+    event = found.select("session_id", "file", "place", get(F.col("v"), "$.type").alias("type"), get(F.col("v"), "$.timestamp").alias("timestamp"), p.alias("p"), get(p, "$.type").alias("kind"))
     meta = event.where("type = 'session_meta'").groupBy("session_id").agg(F.min_by(get(F.col("p"), "$.id"), "place").alias("id"), F.min_by(get(F.col("p"), "$.cwd"), "place").alias("cwd"))
     message = (F.col("type") == "response_item") & (F.col("kind") == "message")
     text = F.when(message, _joined(F.transform(get(F.col("p"), "$.content", "array<variant>"), lambda b: F.nullif(F.coalesce(get(b, "$.text"), get(b, "$")), F.lit("")))))
@@ -116,11 +120,11 @@ def call_messages(spark: SparkSession, path: str) -> DataFrame:
     name = get(F.col("p"), "$.name")
     tool = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in TOOL_NAMES.items() for x in pair)), name), name, F.lit("unknown"))
     arguments = get(F.col("p"), "$.arguments")
-    tools = calls.join(outputs, ["session_id", "call_id"], "left").select("session_id", "place", "timestamp", F.lit("assistant").alias("role"), F.coalesce(arguments, F.lit("{}")).alias("content"), tool.alias("tool_name"), F.lit(0).cast("long").alias("token_usage_in"), F.lit(0).cast("long").alias("token_usage_out"), F.nullif("output", F.lit("")).alias("output"))
+    tools = calls.join(outputs, ["session_id", "call_id"], "left").select("session_id", "file", "place", "timestamp", F.lit("assistant").alias("role"), F.coalesce(arguments, F.lit("{}")).alias("content"), tool.alias("tool_name"), F.lit(0).cast("long").alias("token_usage_in"), F.lit(0).cast("long").alias("token_usage_out"), F.nullif("output", F.lit("")).alias("output"))
     role = F.when(F.col("is_message"), F.coalesce(get(F.col("p"), "$.role"), F.lit("assistant"))).otherwise("assistant")
-    texts = event.where("text is not null").select("session_id", "place", "timestamp", role.alias("role"), F.col("text").alias("content"), F.lit(None).cast("string").alias("tool_name"), F.coalesce("tokens.i", F.lit(0)).cast("long").alias("token_usage_in"), F.coalesce("tokens.o", F.lit(0)).cast("long").alias("token_usage_out"), F.lit(None).cast("string").alias("output"))
+    texts = event.where("text is not null").select("session_id", "file", "place", "timestamp", role.alias("role"), F.col("text").alias("content"), F.lit(None).cast("string").alias("tool_name"), F.coalesce("tokens.i", F.lit(0)).cast("long").alias("token_usage_in"), F.coalesce("tokens.o", F.lit(0)).cast("long").alias("token_usage_out"), F.lit(None).cast("string").alias("output"))
     rows = _numbered(tools.unionByName(texts).withColumn("part", F.lit(0))).join(meta, "session_id", "left")
-    return rows.select(F.coalesce("id", "session_id").alias("session_id"), F.element_at(F.split("cwd", "/"), -1).alias("project"), "sequence", "role", "content", "timestamp", "tool_name", "token_usage_in", "token_usage_out", "output")
+    return rows.select(F.coalesce("id", "session_id").alias("session_id"), F.element_at(F.split("cwd", "/"), -1).alias("project"), "sequence", "role", "content", "timestamp", "tool_name", "token_usage_in", "token_usage_out", "output", "file")
 
 
 def editor_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -136,8 +140,8 @@ def editor_messages(spark: SparkSession, path: str) -> DataFrame:
     edit = F.concat(part(F.concat(F.lit("Edited "), file), None, "assistant", none), part(F.to_json(F.struct(file.alias("file_path"))), "Edit", "assistant", cut("$.diff")))
     shell = F.concat(part(F.concat(F.lit("Ran: "), command), None, "assistant", none), part(F.to_json(F.struct(command.alias("command"))), "Bash", "assistant", cut("$.output")))
     parts = F.when(kind == "stop", stop).when(kind == "afterFileEdit", edit).when(kind == "afterShellExecution", shell)
-    rows = found.select("session_id", "place", get(v, "$.timestamp").alias("timestamp"), F.posexplode(parts).alias("part", "x"))
-    return _numbered(rows).select("session_id", "sequence", "x.role", "x.content", "timestamp", "x.tool_name", "x.output")
+    rows = found.select("session_id", "file", "place", get(v, "$.timestamp").alias("timestamp"), F.posexplode(parts).alias("part", "x"))
+    return _numbered(rows).select("session_id", "sequence", "x.role", "x.content", "timestamp", "x.tool_name", "x.output", "file")
 
 
 def trail(spark: SparkSession, path: str) -> DataFrame:
@@ -176,8 +180,8 @@ def sse_usage(streams: DataFrame) -> DataFrame:
 
 
 def discovered(spark: SparkSession, path: str, since: str | None = None, newest: bool = False) -> DataFrame:
-    """Transcript files, the largest (or newest) first: path, length, modified."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    """Transcript files, the largest (or newest) first: path, file (as ``lines`` names it), length, modified."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path).select("path", F.col("_metadata.file_path").alias("file"), "length", F.col("modificationTime").alias("modified"))
     return (files.where(F.col("modified") >= F.lit(since).cast("timestamp")) if since else files).orderBy(F.desc("modified" if newest else "length"), "path")
 
 
