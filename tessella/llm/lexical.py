@@ -31,7 +31,7 @@ from tessella.functions.shared import discard, written
 from tessella.llm.decontaminate import words_of
 
 #: Postings of a block, about.
-BLOCK = 400_000
+BLOCK = 1_500_000
 #: Whole numbers of the score: a term's contribution is below its weight times SATURATED.
 SATURATED = 1_000_000
 #: Postings of an item's rarest terms that are scored for the limit, and the part of it that common terms may reach.
