@@ -109,6 +109,8 @@ class Inverted:
 
     def __init__(self, spark: SparkSession, path: str, columns: tuple[str, ...] = ("content", "role", "tool_name"), stems: bool = True, span: int | None = None, segments: list[int] | None = None):
         self.spark, self.path, self.columns, self.stems, self.span, self.given = spark, path.rstrip("/"), columns, stems, span, segments
+        self._known: tuple = (None, None)
+        self._frames: dict[tuple, DataFrame] = {}
 
     # What is stored.
 
@@ -179,6 +181,12 @@ class Inverted:
         if not held:
             kind = f"{ROW}, segment int, bucket int" if part == "postings" else "owner long, n_docs long, words long, segment int"
             return self.spark.createDataFrame([], kind)
+        # The files of a list of segments never change: they are listed once.
+        if (part, tuple(held)) not in self._frames:
+            self._frames = {k: v for k, v in self._frames.items() if k[1] == tuple(held)} | {(part, tuple(held)): self._opened(part, held)}
+        return self._frames[part, tuple(held)]
+
+    def _opened(self, part: str, held: list[int]) -> DataFrame:
         try:
             return self.spark.read.option("basePath", f"{self.path}/{part}").parquet(*(f"{self.path}/{part}/segment={s}" for s in held))
         except AnalysisException as e:  # segments without a word
@@ -218,13 +226,32 @@ class Inverted:
         test = (F.col("term") >= beginning) & (F.col("term") < beginning + chr(0x10FFFF))
         return test if len(beginning) < LETTERS else test & (F.col("bucket") == self.spark.range(1).select(bucket_of(F.lit(beginning))).first()[0])
 
-    @staticmethod
-    def _gain(tf: str, length: str) -> Column:
-        return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / F.col("mean")))
-
-    @staticmethod
-    def _idf(n: Column) -> Column:
-        return F.greatest(F.log((F.col("n_docs") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+    def _of_corpus(self) -> tuple[int, float]:
+        """n_docs and mean, asked for once a list of segments."""
+        key = tuple(self.segments())
+        if self._known[0] != key:
+            self._known = key, self.size().first()
+        return self._known[1]["n_docs"], self._known[1]["mean"] or 1.0
+
+    def _gain(self, tf: str, length: str) -> Column:
+        mean = F.lit(self._of_corpus()[1])
+        return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / mean))
+
+    def _idf(self, n: Column) -> Column:
+        n_docs = F.lit(self._of_corpus()[0])
+        return F.greatest(F.log((n_docs - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+
+    def _n_of(self, terms: list[str]) -> dict[str, int]:
+        """In how many documents each of some words is: from the rows' counts, or where later segments replace others, by documents."""
+        test = self._of(*terms)
+        one = self._read("postings").where(test).groupBy("term").agg(F.sum("m").alias("n"))
+        if len(self.segments()) > 1:
+            one = self._seen(self._rows(test).select("term", "segment", "id")).groupBy("term").agg(F.count("*").alias("n"))
+        return {r["term"]: r["n"] for r in one.collect()}
+
+    def _weight(self, n: dict[str, int]) -> Column:
+        """A term's weight, of words whose documents are counted."""
+        return self._idf(F.element_at(F.create_map(*(F.lit(x) for pair in n.items() for x in pair)), F.col("term")))
 
     def counts(self) -> DataFrame:
         """term, n_docs, n of every word."""
@@ -234,9 +261,10 @@ class Inverted:
     def scored(self, terms: list[str]) -> DataFrame:
         """term, id, score of each document that has a term; lower is better, as in the usual full-text index."""
         wanted = list(dict.fromkeys(words.term_of(t, self.stems) for t in terms))
-        hits = self._seen(self._rows(self._of(*wanted)).drop("places"))
-        n = hits.groupBy("term").agg(F.count("*").alias("n"))
-        return hits.join(F.broadcast(n), "term").crossJoin(F.broadcast(self.size())).select("term", "id", (-self._idf(F.col("n")) * self._gain("tf", "length")).alias("score"))
+        if not (n := self._n_of(wanted)):
+            return self.spark.createDataFrame([], "term string, id long, score double")
+        hits = self._seen(self._rows(self._of(*n)).drop("places"))
+        return hits.select("term", "id", (-self._weight(n) * self._gain("tf", "length")).alias("score"))
 
     def best(self, terms: list[str], limit: int = 20) -> DataFrame:
         """id, score of the best documents that have all terms.
@@ -246,21 +274,20 @@ class Inverted:
         last of what they gave.
         """
         wanted = list(dict.fromkeys(words.term_of(t, self.stems) for t in terms))
-        test = self._of(*wanted)
-        rows = self._read("postings").where(test).select("term", "segment", "block", "m", "most_tf", "least_length")
-        n = rows.groupBy("term").agg(F.sum("m").alias("n")) if len(self.segments()) < 2 else self._seen(self._rows(test).select("term", "segment", "id")).groupBy("term").agg(F.count("*").alias("n"))
-        known = written(n.crossJoin(F.broadcast(self.size())), "terms")  # one row for each term
-        most = (self._idf(F.col("n")) * self._gain("most_tf", "least_length")).alias("most")
-        able = rows.join(F.broadcast(known), "term").select("segment", "block", most).groupBy("segment", "block").agg(F.sum("most").alias("most"), F.count("*").alias("found")).where(F.col("found") == len(wanted)).drop("found")
-        able = written(able, "blocks")
+        n = self._n_of(wanted)
+        if len(n) < len(wanted):
+            return self.spark.createDataFrame([], "id long, score double")
+        test, index = self._of(*wanted), self._read("postings")
+        bounds = index.where(test).select("segment", "block", (self._weight(n) * self._gain("most_tf", "least_length")).alias("most"))
+        able = bounds.groupBy("segment", "block").agg(F.sum("most").alias("most"), F.count("*").alias("found")).where(F.col("found") == len(wanted)).drop("found")
 
         def scores(of: DataFrame) -> DataFrame:
-            opened = self._read("postings").where(test).join(of.select("segment", "block"), ["segment", "block"], "left_semi")
+            opened = index.where(test).join(of.select("segment", "block"), ["segment", "block"], "left_semi")
             one = opened.select("term", "segment", F.explode(F.arrays_zip("ids", "tf", "lengths")).alias("p")).select("term", "segment", F.col("p.ids").alias("id"), F.col("p.tf").alias("tf"), F.col("p.lengths").alias("length"))
-            part = self._seen(one).join(F.broadcast(known), "term").select("id", (-self._idf(F.col("n")) * self._gain("tf", "length")).alias("score"))
+            part = self._seen(one).select("id", (-self._weight(n) * self._gain("tf", "length")).alias("score"))
             return part.groupBy("id").agg(F.sum("score").alias("score"), F.count("*").alias("found")).where(F.col("found") == len(wanted)).select("id", F.round("score", 6).alias("score"))
 
-        sooner = able.orderBy(F.desc("most")).limit(FIRST)
+        sooner = able.orderBy(F.desc("most"), "segment", "block").limit(FIRST)
         last = scores(sooner).orderBy("score").limit(limit).agg(F.count("*").alias("n"), F.max("score").alias("score")).first()
         # Scores are negative and rounded; a block's bound may miss them by the rounding.
         rest = able.where(F.col("most") >= -last["score"] - 1e-5) if last["n"] >= limit else able
@@ -290,7 +317,7 @@ class Inverted:
         times = held.select("id", "length", *(often(i, len(found)).alias(f"t{i}") for i, (_, found, _) in enumerate(phrases) if found))
         filled = [i for i, (_, found, _) in enumerate(phrases) if found]
         n = times.agg(*(F.count(F.when(F.col(f"t{i}") > 0, 1)).alias(f"n{i}") for i in filled))
-        known = times.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(self.size()))
+        known = times.crossJoin(F.broadcast(n))
         score = reduce(lambda a, b: a + b, (-self._idf(F.col(f"n{i}")) * self._gain(f"t{i}", "length") for i in filled))
         test = query_text.test(tree, {id(p): F.col(f"t{i}") > 0 for i, p in enumerate(phrases) if p[1]})
         return known.where(test).select("id", F.round(score, 6).alias("score"))

@@ -122,17 +122,18 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("role"), F.col("source").alias("tool_name"))
 
 
-#: Indexes of corpora that this process has built: path by application, folder and whether words are stemmed.
-_BUILT: dict[tuple, str] = {}
+#: Indexes of corpora that this process has built, by application, folder and whether words are stemmed.
+_BUILT: dict[tuple, Inverted] = {}
 
 
 def corpus_index(spark: SparkSession, sf_dir: str, stems: bool = False) -> Inverted:
     """The stored index of the corpus, built when first asked for."""
     key = (spark.sparkContext.applicationId, sf_dir, stems)
-    found = Inverted(spark, _BUILT.get(key) or new_path(spark, "search"), stems=stems)
-    if key not in _BUILT or not found.segments():
+    found = _BUILT.get(key)
+    if found is None or not found.segments():
+        found = Inverted(spark, new_path(spark, "search"), stems=stems)
         found.add(corpus(spark, sf_dir))
-        _BUILT[key] = found.path
+        _BUILT[key] = found
     return found
 
 

@@ -9,9 +9,11 @@ from tessella.functions import rewrite, text
 from tessella.functions.shared import new_path
 from tessella.operators import graph, search
 from tessella.operators.inverted import Inverted
-from tessella.plans import binding, catalog, registry
+from tessella.plans import binding, catalog, oracles, registry
 
 TERMS = ["tion", "ther"]
+#: Rounds of the ranks and of the labels in the queries.
+ROUNDS, SPREAD = 20, 5
 QUESTION = "how did we fix tion and thon near ther"
 
 
@@ -121,21 +123,30 @@ def extract_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.run("graph_co_change", _tables(spark, sf_dir)).select(F.col("file_a").alias("src"), F.col("file_b").alias("dst"))
+    """All nodes and edges: sessions, files, errors and concepts."""
+    t = _tables(spark, sf_dir)
+    named = t["messages"].select("session_id", F.explode(text.concepts_in(F.col("content"), binding.CONCEPT_WORDS)).alias("concept"))
+    involves = named.groupBy("session_id", "concept").agg(F.count("*").alias("n"))
+    return graph.whole(*(registry.run(p, t) for p in ("graph_touched", "graph_co_change", "causes_error", "tested_by")), involves)
 
 
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = graph.pagerank(graph.both_ways(_edges(spark, sf_dir)))
-    return ranks.select("node", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "node").limit(20)
+    """The files of the highest rank, over all nodes, after twenty rounds."""
+    ranks = graph.pagerank(_edges(spark, sf_dir), rounds=ROUNDS, tolerance=0).where("node like 'File: %'")
+    return ranks.select(F.expr("substr(node, 7)").alias("node"), F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "node").limit(20)
 
 
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.communities(_edges(spark, sf_dir)).groupBy("community").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "community").limit(10)
+    """Communities of all nodes with how many of each kind they have."""
+    found = graph.communities(_edges(spark, sf_dir), rounds=SPREAD)
+    kinds = (F.count_if(F.col("node").startswith(k)).alias(f"{k.lower()}s") for k in ("File", "Session", "Error", "Concept"))
+    return found.groupBy("community").agg(F.count("*").alias("size"), *kinds).orderBy(F.desc("size"), "community").limit(10)
 
 
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = registry.run("tested_by", _tables(spark, sf_dir)).select(F.col("source").alias("src"), F.col("test_file").alias("dst"))
-    return graph.shortest_paths(edges, *_ENDS)
+    """Paths between the two most frequent concepts."""
+    ends = [r["concept"] for r in concepts(spark, sf_dir).orderBy(F.desc("frequency"), "concept").limit(2).collect()]
+    return graph.shortest_paths(_edges(spark, sf_dir), *(f"Concept: {e}" for e in ends))
 
 
 QUERIES = {f"q_{f.__name__}": f for f in (fts_search, fts_stems, postings, boolean_search, ranked_expression, nl_search, recall, quantize_int8, knn, hybrid_rrf, clean_project, next_steps, decisions, concepts, concept_files, extract_keywords, pagerank, communities, shortest_path)}
@@ -200,12 +211,34 @@ _PLAIN = " OR ".join(f"starts_with(lower(trim(content)), '{p.replace(chr(39), ch
 ORACLES["q_decisions"] = f"WITH {_DOCS}, {_bm25(list(binding.DECISION_WORDS))}, r AS (SELECT id, row_number() OVER (PARTITION BY term ORDER BY score, id) AS rank FROM b) SELECT left(content, 200) AS beginning, min(rank) AS rank FROM r JOIN corpus USING (id) WHERE rank <= 5 AND length(content) >= 50 AND NOT ({_PLAIN}) GROUP BY 1 ORDER BY rank, beginning LIMIT 10"
 ORACLES["q_concepts"] = registry.with_views("SELECT concept, count(*) AS frequency, count(DISTINCT session_id) AS sessions FROM {messages}, (VALUES " + ", ".join(f"('{w}')" for w in binding.CONCEPT_WORDS) + ") c(concept) WHERE list_contains(string_split(regexp_replace(lower(content), CASE WHEN contains(concept, '/') THEN '[^a-z0-9_/]+' ELSE '[^a-z0-9_]+' END, ' ', 'g'), ' '), concept) GROUP BY concept")
 ORACLES["q_concept_files"] = registry.with_views("SELECT concept, target AS path, count(DISTINCT session_id) AS sessions FROM (SELECT session_id, role AS concept FROM {messages} UNION ALL SELECT session_id, lower(tool_name) FROM {messages} WHERE tool_name IS NOT NULL) JOIN {artifacts} USING (session_id) WHERE starts_with(artifact_type, 'file') GROUP BY 1, 2")
-_ENDS = ("/src/mod1/f1.py", "/src/mod2/f2.py")
+_INVOLVES = "SELECT session_id, concept, count(*) AS n FROM {messages}, (VALUES " + ", ".join(f"('{w}')" for w in binding.CONCEPT_WORDS) + ") c(concept) WHERE list_contains(string_split(regexp_replace(lower(content), CASE WHEN contains(concept, '/') THEN '[^a-z0-9_/]+' ELSE '[^a-z0-9_]+' END, ' ', 'g'), ' '), concept) GROUP BY ALL"
+_GRAPH = (
+    "u AS (SELECT 'Session: ' || session_id AS src, 'File: ' || path AS dst, reads + writes AS weight FROM ({graph_touched}) UNION ALL SELECT 'File: ' || file_a, 'File: ' || file_b, co_sessions FROM ({graph_co_change}) UNION ALL SELECT 'File: ' || path, 'Error: ' || pattern, n FROM ({causes_error}) "
+    "UNION ALL SELECT 'File: ' || source, 'File: ' || test_file, co_sessions FROM ({tested_by}) UNION ALL SELECT 'Session: ' || session_id, 'Concept: ' || concept, n FROM ({involves})), "
+    "g AS MATERIALIZED (SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM u GROUP BY ALL), two AS MATERIALIZED (SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT * FROM g UNION ALL SELECT dst, src, weight FROM g) WHERE src != dst GROUP BY ALL)"
+)
+for _name in ("graph_touched", "graph_co_change", "causes_error", "tested_by"):
+    _GRAPH = _GRAPH.replace(f"{{{_name}}}", catalog.to_duckdb(oracles.APART.get(_name, catalog.PLANS[_name])))
+_GRAPH = _GRAPH.replace("{involves}", _INVOLVES)
+_RANKS = ", ".join(
+    f"r{i + 1} AS MATERIALIZED (SELECT v.node, v.degree, 0.15E0 / n + 0.85E0 * (coalesce(given, 0) + loose / n) AS rank FROM v LEFT JOIN (SELECT dst, sum(rank / degree) AS given FROM g JOIN r{i} ON r{i}.node = g.src GROUP BY dst) x ON x.dst = v.node, (SELECT coalesce(sum(rank), 0) AS loose FROM r{i} WHERE degree IS NULL), (SELECT count(*) AS n FROM v))"
+    for i in range(ROUNDS)
+)
+ORACLES["q_pagerank"] = registry.with_views(
+    f"WITH {_GRAPH}, v AS MATERIALIZED (SELECT node, degree FROM (SELECT src AS node FROM g UNION SELECT dst FROM g) LEFT JOIN (SELECT src, count(*) AS degree FROM g GROUP BY src) ON src = node), r0 AS (SELECT node, degree, 1.0E0 / (SELECT count(*) FROM v) AS rank FROM v), {_RANKS} "
+    f"SELECT substr(node, 7) AS node, round(rank, 6) AS rank FROM r{ROUNDS} WHERE starts_with(node, 'File: ') ORDER BY rank DESC, node LIMIT 20"
+)
+_LABELS = ", ".join(
+    f"l{i + 1} AS MATERIALIZED (SELECT node, community FROM (SELECT src AS node, community, row_number() OVER (PARTITION BY src ORDER BY sum(weight) DESC, community) AS nth FROM two JOIN l{i} ON l{i}.node = two.dst GROUP BY src, community) WHERE nth = 1)"
+    for i in range(SPREAD)
+)
+_KINDS = ", ".join(f"count(*) FILTER (starts_with(node, '{k}')) AS {k.lower()}s" for k in ("File", "Session", "Error", "Concept"))
+ORACLES["q_communities"] = registry.with_views(f"WITH {_GRAPH}, l0 AS (SELECT DISTINCT src AS node, src AS community FROM two), {_LABELS} SELECT community, count(*) AS size, {_KINDS} FROM l{SPREAD} GROUP BY community ORDER BY size DESC, community LIMIT 10")
 #: Hops from either end by walks, then the paths that come one hop nearer at each step.
 ORACLES["q_shortest_path"] = registry.with_views(
-    f"WITH RECURSIVE t AS ({catalog.to_duckdb(catalog.PLANS['tested_by'])}), e AS (SELECT source AS src, test_file AS dst FROM t UNION SELECT test_file, source FROM t), "
-    f"f(node, d) AS (SELECT '{_ENDS[0]}', 0 UNION SELECT dst, d + 1 FROM f JOIN e ON src = node WHERE d < 6), b(node, d) AS (SELECT '{_ENDS[1]}', 0 UNION SELECT dst, d + 1 FROM b JOIN e ON src = node WHERE d < 6), "
-    f"near AS (SELECT node, min(d) AS d FROM b GROUP BY node), whole AS (SELECT min(d) AS d FROM f WHERE node = '{_ENDS[1]}'), "
-    f"p(node, path, hops) AS (SELECT '{_ENDS[0]}', '{_ENDS[0]}', 0 UNION ALL SELECT e.dst, path || ' > ' || e.dst, hops + 1 FROM p JOIN e ON e.src = p.node JOIN near n ON n.node = e.dst, whole WHERE n.d = whole.d - hops - 1) "
-    f"SELECT path, CAST(hops AS INT) AS hops FROM p, whole WHERE hops = whole.d AND node = '{_ENDS[1]}' ORDER BY path LIMIT 5"
+    f"WITH RECURSIVE {_GRAPH}, top AS (SELECT concept, row_number() OVER (ORDER BY n DESC, concept) AS nth FROM (SELECT concept, sum(n) AS n FROM ({_INVOLVES}) GROUP BY concept)), a AS (SELECT 'Concept: ' || concept AS node FROM top WHERE nth = 1), z AS (SELECT 'Concept: ' || concept AS node FROM top WHERE nth = 2), "
+    "f(node, d) AS (SELECT node, 0 FROM a UNION SELECT dst, d + 1 FROM f JOIN two ON src = node WHERE d < 6), b(node, d) AS (SELECT node, 0 FROM z UNION SELECT dst, d + 1 FROM b JOIN two ON src = node WHERE d < 6), "
+    "near AS (SELECT node, min(d) AS d FROM b GROUP BY node), whole AS (SELECT min(d) AS d FROM f WHERE node = (SELECT node FROM z)), "
+    "p(node, path, hops) AS (SELECT node, node, 0 FROM a UNION ALL SELECT two.dst, path || ' > ' || two.dst, hops + 1 FROM p JOIN two ON two.src = p.node JOIN near n ON n.node = two.dst, whole WHERE n.d = whole.d - hops - 1) "
+    "SELECT path, CAST(hops AS INT) AS hops FROM p, whole WHERE hops = whole.d AND node = (SELECT node FROM z) ORDER BY path LIMIT 5"
 )

@@ -52,6 +52,8 @@ def test_pagerank_of_a_star(spark):
     edges = spark.createDataFrame([("a", "hub"), ("b", "hub"), ("c", "hub")], "src string, dst string")
     ranks = {r["node"]: r["rank"] for r in graph.pagerank(edges).collect()}
     assert ranks["hub"] == max(ranks.values()) and abs(sum(ranks.values()) - 1) < 1e-6
+    exact = {r["node"]: r["rank"] for r in graph.pagerank(edges, rounds=40, tolerance=0).collect()}
+    assert all(abs(exact[k] - v) < 1e-5 for k, v in ranks.items())
 
 
 def test_shortest_path_and_communities(spark):
@@ -60,6 +62,10 @@ def test_shortest_path_and_communities(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "x"), ("x", "d")], "src string, dst string")
     assert [tuple(r) for r in graph.shortest_paths(edges, "a", "d").collect()] == [("a > x > d", 2)]
     assert graph.shortest_paths(edges, "a", "nowhere").collect() == []
+    assert [tuple(r) for r in graph.shortest_paths(edges, "a", "a").collect()] == [("a", 0)]
+    line = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(7)] + [("n0", "m1"), ("m1", "n2")], "src string, dst string")
+    assert [tuple(r) for r in graph.shortest_paths(line, "n0", "n6").collect()] == [(" > ".join(["n0", second, *(f"n{i}" for i in range(2, 7))]), 6) for second in ("m1", "n1")]
+    assert graph.shortest_paths(line, "n0", "n7").collect() == [] and graph.shortest_paths(line, "n0", "n7", most=7).count() == 2
     two = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z")], "src string, dst string")
     found = {r["node"]: r["community"] for r in graph.communities(two).collect()}
     assert found["a"] == found["b"] == found["c"] != found["x"] == found["y"]
