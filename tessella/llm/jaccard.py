@@ -397,12 +397,15 @@ def bucket_edges(members: DataFrame, points: DataFrame, num: int, den: int) -> D
     ``points``: node, point. Of buckets that have the same members one is taken
     (told by their number and two hashes), and none whose members have one label.
     """
-    # A label that is the node itself is null on the way.
-    rows, named, labelled = sized(members, num, den), F.xxhash64("node"), F.xxhash64(F.coalesce("label", "node"))
+    # A label that is the node itself is null on the way. Most buckets have one member: they go by their number alone, before anything else is shuffled.
+    every, named, labelled = sized(members, num, den), F.xxhash64("node"), F.xxhash64(F.coalesce("label", "node"))
+    several = every.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    rows = written(every.join(several, "bucket"), "rows")
     sums = (F.count("*").alias("m"), F.bit_xor(named).alias("all"), F.min(named).alias("hub"), F.min(labelled).alias("low"), F.max(labelled).alias("high"))
-    buckets = rows.groupBy("bucket").agg(*sums).where("m > 1 and low != high")
+    buckets = rows.groupBy("bucket").agg(*sums).where("low != high")
     buckets = written(buckets.groupBy("m", "all", "hub").agg(F.min("bucket").alias("bucket")).select("bucket", "m", "hub"), "buckets")
     inside = written(rows.join(buckets, "bucket").select(F.col("bucket").alias("token"), "node", "n", "label", "m", (named == F.col("hub")).alias("is_hub")), "inside")
+    discard(rows)
     held = points.join(inside.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("point").alias("point"))
     chunks = F.ceil(F.col("m") / POINTS).cast("int")
     # The hub goes to every chunk and is first there, so that what is joined to it has one root throughout.
