@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +35,12 @@ from pyspark.sql import functions as F
 
 from tessella.functions.shared import discard, written
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: Where a comment, a tag (its slash and name) or another mark begins; what is between a name and the tag's end, quotes closed; quotes and ends.
+MARK = re.compile(r"<(?:(?P<comment>!--)|(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*)|[!?/])")
+ATTRIBUTES = re.compile(r"""(?:[^>"']+|"[^"]*"|'[^']*')*+>""")
+QUOTES = re.compile(r"[\"'>]")
+#: Characters in which a tag usually ends; a longer one is looked up.
+NEAR = 4_096
 CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 #: Fixed values of the HTML standard: elements without content, with raw text, and that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,6 +84,54 @@ def hash_of(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode(errors="replace")) - (1 << 63)
 
 
+class Tags:
+    """The tags of a page, one after the other, in time that grows with its length whatever its quotes.
+
+    A tag ends at the first ``>`` outside quotes; where its quotes are never
+    closed, at the first one.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.places: list[int] | None = None
+
+    def _ends(self) -> None:
+        """For each quote and ``>``, where a tag ends whose attributes go on there: read from the page's end, once."""
+        found = [(m.start(), m[0]) for m in QUOTES.finditer(self.source)]
+        self.places, self.ends = [at for at, _ in found], [-1] * (len(found) + 1)
+        following: dict[str, int] = {}
+        for i in range(len(found) - 1, -1, -1):
+            at, mark = found[i]
+            if mark == ">":
+                self.ends[i] = at + 1
+            else:
+                self.ends[i] = self.ends[following[mark] + 1] if mark in following else -1
+                following[mark] = i
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; -1 if there is no more ``>``."""
+        if m := ATTRIBUTES.match(self.source, at, at + NEAR):
+            return m.end()
+        if self.places is None:
+            self._ends()
+        end = self.ends[bisect_left(self.places, at)]
+        return end if end >= 0 else self.source.find(">", at) + 1 or -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """start, end, whether it closes, name and attributes of the next tag; comments and the like have no name."""
+        for m in MARK.finditer(self.source, at):
+            if m["comment"]:
+                end = self.source.find("-->", m.end())
+                return m.start(), end + 3 if end >= 0 else len(self.source), False, "", ""
+            if m.start() > self.last:
+                begin = self.source.find("<!--", m.start())  # no tag ends any more, a comment without an end may begin
+                return None if begin < 0 else (begin, len(self.source), False, "", "")
+            end = self._end(m.end()) if m["name"] else self.source.find(">", m.end()) + 1 or -1
+            if end > 0:
+                return m.start(), end, bool(m["slash"]), m["name"] or "", self.source[m.end() : end - 1] if m["name"] else ""
+        return None
+
+
 class Page:
     """Elements of a page in document order, and its texts, without those that stand on one of ``theirs``, the host's own paths."""
 
@@ -113,24 +167,23 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, block, at, links = [0], 0, 0, 0
-        size = len(source)
+        size, tags = len(source), Tags(source)
         while at < size:
-            m = TAG.search(source, at)
-            text = source[at : m.start() if m else size]
+            m = tags.next(at)
+            text = source[at : m[0] if m else size]
             if text and not text.isspace() and not self.out[stack[-1]]:
                 self.texts.append((stack[-1], block, html.unescape(text), links > 0))
             elif text and self.texts and not self.out[stack[-1]]:
                 self.texts.append((stack[-1], block, " ", links > 0))
             if not m:
                 break
-            at = m.end()
-            name = m[2] or m[5]
+            _, at, closing, name, attributes = m
             if not name:
                 continue
             tag = name.lower()
             if tag in BLOCKS:
                 block += 1
-            if m[1] or m[4]:
+            if closing:
                 for depth in range(len(stack) - 1, 0, -1) if self.open.get(tag) else ():
                     if self.tag[stack[depth]] == tag:
                         self._close(stack, depth)
@@ -139,7 +192,6 @@ class Page:
                 continue
             if tag in BLOCKS and tag != "br":
                 self._imply(stack, tag)
-            attributes = m[3] or m[6] or ""
             self._open(stack, tag, attributes)
             if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
                 self._close(stack, len(stack) - 1)

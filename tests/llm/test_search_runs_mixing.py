@@ -199,3 +199,23 @@ def test_running_sums(spark):
     for a, b in sorted(rows):
         assert found[a] == total
         total += b
+
+
+def test_tags_with_open_quotes_take_linear_time():
+    import time
+
+    from tessella.llm import html_text
+
+    def tags(source):
+        scanner, out, at = html_text.Tags(source), [], 0
+        while at < len(source) and (m := scanner.next(at)):
+            out.append(m[3:])
+            at = m[1]
+        return out
+
+    began = time.perf_counter()
+    for part in ('<a "', "<a title='", "<a ", "<a<a", "</", "<!-", "<!--", "<a x='\">\""):
+        for end in ("", ">", '">', "'>"):
+            tags(part * (1_000_000 // len(part)) + end)
+    assert time.perf_counter() - began < 30
+    assert tags('<a href="x>y" id=\'z\'>t</a><br/><!-- <b> --><p class="open>text</p>') == [("a", " href=\"x>y\" id='z'"), ("a", ""), ("br", "/"), ("", ""), ("p", ' class="open'), ("p", "")]
