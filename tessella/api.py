@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rewrite, text
 from tessella.functions.shared import new_path
-from tessella.operators import query_text, search, snippets, words
+from tessella.operators import query_text, search, snippets, vectors, words
 from tessella.operators.inverted import Inverted
 from tessella.plans import registry
 
@@ -103,18 +103,19 @@ class History:
         """Messages by words and by a vector, their ranks fused; by words alone where there is no vector or none is stored."""
         docs = self._corpus()
         found = search.ranked(self.index.best(terms, 3 * limit), "score", "id")
-        vectors = None
+        held = None
         if vector is not None:
             try:
-                vectors = self.tables["vectors"]
+                held = self.tables["vectors"]
             except (AnalysisException, KeyError):
-                vectors = None
-        if vectors is None or vectors.isEmpty():
+                held = None
+        if held is None or held.isEmpty():
             best = found.select("id", F.round(1 / (search.RRF + F.col("rank")), 8).alias("score")).limit(limit)
         else:
-            query = docs.sparkSession.createDataFrame([([float(x) for x in vector],)], "query array<double>")
-            as_double = vectors.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
-            near = search.ranked(search.nearest(as_double, query, 3 * limit), "distance", "message_id").withColumnRenamed("message_id", "id")
+            if held.schema["embedding"].dataType.elementType.simpleString() != "tinyint":
+                held = held.withColumn("embedding", vectors.quantised(F.col("embedding")))
+            query = docs.sparkSession.createDataFrame([([float(x) for x in vector],)], "v array<double>").select(vectors.quantised(F.col("v")).alias("query"))
+            near = search.ranked(vectors.nearest(held, query, 3 * limit), "distance", "message_id").withColumnRenamed("message_id", "id")
             best = search.fused(found, near, limit)
         return docs.join(F.broadcast(best), "id").select("id", "session_id", "sequence", "role", "timestamp", "score", search.snippet(F.col("content")).alias("snippet")).orderBy(F.desc("score"), "id")
 

@@ -1,4 +1,4 @@
-"""Full-text and vector search without an index: BM25, nearest vectors and rank fusion.
+"""Full-text search without an index, by BM25, and rank fusion.
 
 ``bm25`` reads the documents themselves, for tables that are searched once (a
 task's worktrees and errors); messages and corpora have a stored index
@@ -40,22 +40,6 @@ def snippet(text: Column) -> Column:
     return F.when(F.length(text) <= 220, text).otherwise(F.concat(F.substring(text, 1, 217), F.lit("...")))
 
 
-def quantised(vector: Column) -> Column:
-    """A unit vector of 8-bit integers."""
-    double = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(double, F.lit(0.0), lambda a, x: a + x * x))
-    scaled = lambda x: F.rint(x / F.when(norm > 0, norm).otherwise(1.0) * 127)
-    return F.transform(double, lambda x: F.greatest(F.lit(-128.0), F.least(F.lit(127.0), scaled(x))).cast("tinyint"))
-
-
-def nearest(vectors: DataFrame, query: DataFrame, limit: int = 20) -> DataFrame:
-    """message_id, distance (cosine) of the nearest vectors to ``query`` (one row: query); none where it has no row."""
-    inner = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = vectors.crossJoin(F.broadcast(query.limit(1)))
-    distance = 1 - inner("embedding", "query") / (F.sqrt(inner("embedding", "embedding")) * F.sqrt(inner("query", "query")))
-    return met.select("message_id", (F.round(distance, 6) + F.lit(0.0)).alias("distance")).orderBy("distance", "message_id").limit(limit)
-
-
 def fused(first: DataFrame, second: DataFrame, limit: int = 20) -> DataFrame:
     """id, score: two ranked lists (id, rank) joined by summed 1 / (60 + rank)."""
     both = first.select("id", F.col("rank").alias("a")).join(second.select("id", F.col("rank").alias("b")), "id", "full_outer")

@@ -93,9 +93,17 @@ RATIOS = f"""
   {ratio('execution', 'tool_calls')} AS execution_ratio, {ratio('errors', 'messages')} AS error_ratio"""
 
 #: Sessions of calls: a new one where the project changes or GAP seconds or more have passed.
+#: Calls are ordered inside ranges of RANGE seconds, so a project of very many calls is many tasks; what a range needs of
+#: those before it is their last time and how many sessions began in them, a row for each range.
 SESSIONISED = """
-SELECT c.*, sum(begins) OVER (PARTITION BY project ORDER BY ts_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ordinal
-FROM (SELECT *, CASE WHEN ts_s - lag(ts_s) OVER (PARTITION BY project ORDER BY ts_s, id) < GAP THEN 0 ELSE 1 END AS begins FROM {calls} WHERE project IS NOT NULL) c"""
+WITH d AS (SELECT *, CAST(floor(ts_s / RANGE.0E0) AS BIGINT) AS part FROM {calls} WHERE project IS NOT NULL),
+e AS (SELECT project, part, max(ts_s) AS last_s FROM d GROUP BY project, part),
+p AS (SELECT project, part, lag(last_s) OVER (PARTITION BY project ORDER BY part) AS before_s FROM e),
+b AS (SELECT d.*, CASE WHEN d.ts_s - coalesce(lag(d.ts_s) OVER (PARTITION BY d.project, d.part ORDER BY d.ts_s, d.id), p.before_s) < GAP THEN 0 ELSE 1 END AS begins FROM d JOIN p ON p.project = d.project AND p.part = d.part),
+n AS (SELECT project, part, sum(begins) AS begun FROM b GROUP BY project, part),
+s AS (SELECT project, part, sum(begun) OVER (PARTITION BY project ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - begun AS sooner FROM n)
+SELECT b.*, s.sooner + sum(b.begins) OVER (PARTITION BY b.project, b.part ORDER BY b.ts_s, b.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ordinal
+FROM b JOIN s ON s.project = b.project AND s.part = b.part""".replace("RANGE", "21600")
 TURNS = f"""
 SELECT s.*, row_number() OVER (PARTITION BY project, ordinal ORDER BY ts_s, id) AS turn, count(*) OVER (PARTITION BY project, ordinal) AS turns,
   CASE WHEN tools_used LIKE '%"Edit"%' OR tools_used LIKE '%"Write"%' OR tools_used LIKE '%"NotebookEdit"%' THEN 1 ELSE 0 END AS is_edit,
@@ -145,11 +153,17 @@ SELECT w.target AS path, count(DISTINCT w.id) AS writes, count(DISTINCT e.id) AS
 FROM {{artifacts}} w LEFT JOIN ({BANDED_ERRORS}) e ON {NEAR}
 WHERE w.artifact_type IN {WRITES} AND {NO_RISK} GROUP BY w.target HAVING count(DISTINCT e.id) > 0"""
 TOUCHED = f"SELECT DISTINCT session_id, target FROM {{artifacts}} WHERE artifact_type IN {WRITES} AND target NOT LIKE '%*%'"
+#: Files that are touched in two sessions or more: no other can be in a pair of two sessions. A session's files are dealt into
+#: blocks of about 256, and each file meets those of one other block in a task; of most sessions there is one block.
+PAIRABLE = f"""
+SELECT t.session_id, t.target, CAST(ceil(count(*) OVER (PARTITION BY t.session_id) / 256.0E0) AS INT) AS blocks
+FROM ({TOUCHED}) t LEFT SEMI JOIN (SELECT target FROM ({TOUCHED}) u GROUP BY target HAVING count(*) >= 2) v ON v.target = t.target"""
+DEALT = f"SELECT session_id, target, CAST(pmod(xxhash64(target), blocks) AS INT) AS own, explode(sequence(0, blocks - 1)) AS other FROM ({PAIRABLE}) q"
 CO_CHANGE = f"""
 SELECT a.target AS file_a, b.target AS file_b, count(*) AS co_sessions
-FROM ({TOUCHED}) a
-JOIN ({TOUCHED}) b ON a.session_id = b.session_id AND a.target < b.target
-GROUP BY a.target, b.target"""
+FROM ({DEALT}) a
+JOIN ({DEALT}) b ON a.session_id = b.session_id AND a.own = b.other AND a.other = b.own AND a.target < b.target
+GROUP BY a.target, b.target HAVING count(*) >= 2"""
 CAUSES = f"""
 SELECT substr(e.target, 1, 100) AS pattern, w.target AS path, count(DISTINCT e.id) AS n FROM {{artifacts}} w JOIN ({BANDED_ERRORS}) e ON {NEAR}
 WHERE w.artifact_type IN {WRITES} GROUP BY substr(e.target, 1, 100), w.target"""

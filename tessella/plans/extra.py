@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rewrite, text
 from tessella.functions.shared import new_path
-from tessella.operators import graph, search
+from tessella.operators import graph, search, vectors
 from tessella.operators.inverted import Inverted
 from tessella.plans import binding, catalog, oracles, registry
 
@@ -55,25 +55,35 @@ def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.corpus_index(spark, sf_dir).by_keywords(rewrite.search_terms(spark, topic), limit=3, per_keyword=15)
 
 
-def _query_vector(vectors: DataFrame) -> DataFrame:
+def _query_vector(held: DataFrame) -> DataFrame:
     """The vector that others are compared with here: one row, or none."""
-    return vectors.where("message_id = 0").select(F.col("embedding").alias("query")).limit(1)
+    return held.where("message_id = 0").select(F.col("embedding").alias("query")).limit(1)
+
+
+def _quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables(spark, sf_dir)["vectors"].select("message_id", vectors.quantised(F.col("embedding")).alias("embedding"))
 
 
 def quantize_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = search.quantised(F.col("embedding"))
-    return _tables(spark, sf_dir)["vectors"].select("message_id", F.array_join(F.transform(q, lambda x: x.cast("string")), ",").alias("vector"))
+    return _quantised(spark, sf_dir).select("message_id", F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",").alias("vector"))
 
 
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _tables(spark, sf_dir)["vectors"].withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
-    return search.nearest(vectors, _query_vector(vectors))
+    """Neighbours among all vectors, by distances of 8-bit integers."""
+    held = _quantised(spark, sf_dir)
+    return vectors.nearest(held, _query_vector(held))
+
+
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every vector whose id is divisible by 100, through an index of all (no SQL: its recall is tested)."""
+    held, index = _quantised(spark, sf_dir), vectors.Cells(spark, new_path(spark, "cells"))
+    index.build(held)
+    return index.nearest(held.where("message_id % 100 = 0").select(F.col("message_id").alias("query_id"), F.col("embedding").alias("query")), 10)
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    vectors = t["vectors"].withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
-    near = search.ranked(search.nearest(vectors, _query_vector(vectors), 60), "distance", "message_id").withColumnRenamed("message_id", "id")
+    held = _quantised(spark, sf_dir)
+    near = search.ranked(vectors.nearest(held, _query_vector(held), 60), "distance", "message_id").withColumnRenamed("message_id", "id")
     found = search.ranked(binding.corpus_index(spark, sf_dir).best(TERMS, 60), "score", "id")
     return search.fused(found, near)
 
@@ -149,7 +159,7 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(_edges(spark, sf_dir), *(f"Concept: {e}" for e in ends))
 
 
-QUERIES = {f"q_{f.__name__}": f for f in (fts_search, fts_stems, postings, boolean_search, ranked_expression, nl_search, recall, quantize_int8, knn, hybrid_rrf, clean_project, next_steps, decisions, concepts, concept_files, extract_keywords, pagerank, communities, shortest_path)}
+QUERIES = {f"q_{f.__name__}": f for f in (fts_search, fts_stems, postings, boolean_search, ranked_expression, nl_search, recall, quantize_int8, knn, knn_cells, hybrid_rrf, clean_project, next_steps, decisions, concepts, concept_files, extract_keywords, pagerank, communities, shortest_path)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower(concat_ws(' ', content, role, tool_name))), '[^\p{L}\p{N}]+'), lambda x: x != '')"
 _DOCS = f"corpus AS ({binding.ORACLE['corpus']}), d AS (SELECT id, content, {_TOKENS} AS t FROM corpus), size AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean FROM d)"
@@ -171,7 +181,7 @@ def _keyword(terms: list[str], limit: int, each: int) -> str:
     return f"WITH {_DOCS}, {_bm25(terms)} SELECT id, count(*) AS hits, min(rank) AS best_rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score, id) AS rank FROM b) WHERE rank <= {each} GROUP BY id ORDER BY hits DESC, best_rank, id LIMIT {limit}"
 
 
-_V = "v AS (SELECT vec_id AS message_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE message_id = 0)"
+_V = "v AS (SELECT message_id, list_transform(e, lambda x: CAST(greatest(-128.0, least(127.0, round_even(x / sqrt(list_inner_product(e, e)) * 127, 0))) AS DOUBLE)) AS e FROM (SELECT vec_id AS message_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)), q AS (SELECT e AS qe FROM v WHERE message_id = 0)"
 _NEAR = "SELECT message_id, round(1 - list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe))), 6) + 0.0E0 AS distance FROM v, q ORDER BY distance, message_id LIMIT {n}"
 _STOP = ", ".join(f"'{w}'" for w in sorted(rewrite.STOPWORDS))
 _PADDED = r"' ' || array_to_string(t, ' ') || ' '"

@@ -22,6 +22,8 @@ m AS (SELECT project, ordinal, c[1].id AS first_call, CAST(len(c) AS BIGINT) AS
 )
 _FILES = "SELECT DISTINCT session_id, target FROM {artifacts} WHERE artifact_type = ANY(['file_write', 'file_create']) AND NOT contains(target, '*')"
 _PAIRS = f"SELECT x.target AS file_a, y.target AS file_b, count(DISTINCT session_id) AS co_sessions FROM ({_FILES}) x JOIN ({_FILES}) y USING (session_id) WHERE x.target < y.target GROUP BY ALL HAVING count(DISTINCT session_id) > 1"
+#: Names of test files: a name that begins with test_, or parts that say so.
+_TEST = "(starts_with({f}, 'test_') OR contains({f}, '/test_') OR contains({f}, '.test.') OR contains({f}, '.spec.') OR contains({f}, '/tests/') OR contains({f}, '/__tests__/'))"
 _WRITES = "SELECT * FROM {artifacts} WHERE artifact_type = ANY(['file_write', 'file_create'])"
 _ERRORS = "SELECT * FROM {artifacts} WHERE artifact_type = 'error' AND left(target, 1) NOT IN ('{{', '[')"
 _CAUSES = f"SELECT left(e.target, 100) AS pattern, w.target AS path, count(DISTINCT e.id) AS n FROM ({_WRITES}) w JOIN ({_ERRORS}) e USING (session_id) WHERE abs(e.sequence - w.sequence) <= 10 GROUP BY ALL"
@@ -49,6 +51,7 @@ APART: dict[str, str] = {
     "danger_all": f"SELECT w.target AS path, count(DISTINCT e.id) AS errors, count(DISTINCT w.id) AS writes, count(DISTINCT w.session_id) AS sessions FROM ({_WRITES}) w LEFT JOIN ({_ERRORS}) e ON e.session_id = w.session_id AND abs(e.sequence - w.sequence) <= 10 WHERE NOT contains(w.target, '/plans/') AND NOT contains(w.target, '/node_modules/') GROUP BY w.target HAVING count(e.id) > 0",
     "co_change": f"{_PAIRS} ORDER BY co_sessions DESC, file_a, file_b LIMIT 5",
     "graph_co_change": _PAIRS,
+    "tested_by": f"SELECT CASE WHEN ta THEN file_b ELSE file_a END AS source, CASE WHEN ta THEN file_a ELSE file_b END AS test_file, co_sessions FROM (SELECT *, {_TEST.format(f='file_a')} AS ta, {_TEST.format(f='file_b')} AS tb FROM ({_PAIRS})) WHERE ta <> tb",
     "causes_error": f"SELECT pattern, path, n, CAST((2000000 * n + g) // (2 * g) AS DOUBLE) / 1.0E6 AS ratio FROM (SELECT c.*, greatest((SELECT count(*) FROM ({_WRITES}) v WHERE v.target = c.path), 1) AS g FROM ({_CAUSES}) c)",
     "danger_ratio": f"SELECT path, CAST((2000000 * n + g) // (2 * g) AS DOUBLE) / 1.0E6 AS danger_ratio FROM (SELECT path, CAST(sum(n) AS BIGINT) AS n, greatest((SELECT count(*) FROM ({_WRITES}) v WHERE v.target = path), 1) AS g FROM ({_CAUSES}) WHERE NOT contains(path, '*') GROUP BY path)",
     "read_loops": "SELECT session_id, target, count(*) AS reads FROM {artifacts} WHERE artifact_type = 'file_read' GROUP BY ALL HAVING count(*) >= 6",

@@ -14,11 +14,12 @@ from tessella.functions.ranges import running
 from tessella.functions.shared import discard, written
 from tessella.functions.text import clean_project_name
 from tessella.operators.artifacts import extract_artifacts, unique_artifacts
+from tessella.operators import vectors
 from tessella.operators.inverted import Inverted
 from tessella.sources import transcripts
 from tessella.sources.versions import Change, changed, table, version
 
-__all__ = ["Change", "changed", "index", "insert_by_key", "rename_projects", "replace_by_key", "search_index", "session_file", "table", "update_by_key", "upsert_messages"]
+__all__ = ["Change", "changed", "embed", "index", "insert_by_key", "pending", "rename_projects", "replace_by_key", "search_index", "session_file", "table", "update_by_key", "upsert_messages"]
 #: Places of a session's messages within its block of ids, which is one owner of the search index.
 PLACES = 1 << 24
 #: Segments of the search index up to which it is not merged.
@@ -150,6 +151,29 @@ def _continued(rows: DataFrame, ends: DataFrame | None) -> DataFrame:
     return met.withColumn("sequence", (F.coalesce("next", F.lit(0)) + own).cast("long")).drop("next", "place")
 
 
+def pending(spark: SparkSession, store: str) -> DataFrame:
+    """id, content of the stored messages with a text and without a vector."""
+    rows = table(spark, store, "messages").where("content is not null and trim(content) != ''").select("id", "content")
+    held = table(spark, store, "vectors")
+    return rows if held is None else rows.join(held.select(F.col("message_id").alias("id")), "id", "left_anti")
+
+
+def embed(spark: SparkSession, store: str, model: vectors.Model, batch: int = vectors.BATCH, parts: int = 1) -> int:
+    """Gives the pending messages vectors, in ``parts`` changes of the store, so that a run that is stopped goes on where it was; returns how many it gave.
+
+    Messages of a batch for which the model fails twice stay pending.
+    """
+    given = 0
+    for part in range(parts):
+        own = pending(spark, store).where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        rows = written(vectors.embedded(own, model, batch), "vectors")
+        if n := rows.count():
+            replace_by_key(spark, store, "vectors", rows, "message_id")
+        discard(rows)
+        given += n
+    return given
+
+
 def rename_projects(spark: SparkSession, store: str) -> int:
     """Cleans the names of all stored projects; returns how many sessions changed."""
 

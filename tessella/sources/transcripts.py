@@ -7,8 +7,12 @@ numbered per session in file order (the block's start, then the line in it).
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MESSAGE = "session_id string, sequence long, role string, content string, timestamp string, tool_name string, token_usage_in long, token_usage_out long, cache_read_tokens long, cache_create_tokens long, agent_id string"
 #: Tool names of the function-call transcripts (fixed values).
@@ -31,6 +35,30 @@ def get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def coerced(value: object) -> str:
+    """Any JSON value as text: strings trimmed, a list's parts (an object's text or content) in lines, objects as JSON with sorted keys."""
+    match value:
+        case None:
+            return ""
+        case dict():
+            return json.dumps(value, sort_keys=True)
+        case list():
+            told = ((x.get("text") or x.get("content") or x) if isinstance(x, dict) else x for x in value)
+            return "\n".join(filter(None, map(coerced, told))).strip()
+    return str(value).strip()
+
+
+@F.pandas_udf(T.StringType())
+def _coerced(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else coerced(json.loads(v)), na_action="ignore")
+
+
+def as_text(v: Column) -> Column:
+    """``coerced`` of a VARIANT: strings and nulls in the plan, lists and objects (at any depth) in Arrow batches."""
+    plain = F.schema_of_variant(v) == "STRING"
+    return F.when(v.isNull(), F.lit("")).when(plain, F.btrim(get(v, "$"), F.lit(" \t\n\r\f\x0b"))).otherwise(_coerced(F.when(~plain, F.to_json(v))))
+
+
 def _blocks(message: Column) -> Column:
     return get(message, "$.content", "array<variant>")
 
@@ -96,6 +124,8 @@ def chat_rows(found: DataFrame) -> DataFrame:
     own = F.when((F.col("text") != "") | (F.col("role") == "user"), F.array(F.struct(F.col("text").alias("content"), F.lit(None).cast("string").alias("tool_name")))).otherwise(F.array().cast(f"array<{part}>"))
     tools = F.transform("calls", lambda c: F.struct(c["input"].alias("content"), c["name"].alias("tool_name")))
     rows = said.select("*", F.posexplode(F.concat(own, tools)).alias("part", "x"))
+    # Inputs of tools are objects; their text has sorted keys at every depth.
+    rows = rows.withColumn("x", F.struct(F.when(F.col("x.tool_name").isNotNull(), _coerced(F.when(F.col("x.tool_name").isNotNull(), F.col("x.content")))).otherwise(F.col("x.content")).alias("content"), F.col("x.tool_name").alias("tool_name")))
     first = [F.when(F.col("part") == 0, F.col(n)).otherwise(0).cast("long").alias(n) for n in usage]
     return _numbered(rows).select("session_id", "project", "sequence", "role", "x.content", "timestamp", "x.tool_name", *first, "agent_id", "file", F.struct("place", "part").alias("place"))
 
