@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SLICE = 256
 #: Chunks remembered by a task, and the longest chunk worth remembering.
-REMEMBERED, REMEMBERED_CHARS = 1_000_000, 64
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: Fixed values of the published model format (piece types, model types, field numbers).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
