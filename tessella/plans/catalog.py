@@ -10,14 +10,16 @@ order of a sum. Names of ``PARAMS`` in braces are arguments with defaults.
 
 from __future__ import annotations
 
+from tessella.functions.text import BOILERPLATE
+
 #: Dollars per million tokens are 15, 75, 1.5 and 18.75 (fixed values); here in units of 1e-8 dollars a token.
 UNITS = """
 (coalesce({p}token_usage_in, 0) * 1500 + coalesce({p}token_usage_out, 0) * 7500 + coalesce({p}cache_read_tokens,
   0) * 150 + coalesce({p}cache_create_tokens, 0) * 1875)"""
-#: Arguments of plans and their defaults.
+#: Arguments of plans and their defaults; of filters by name, an empty one is none.
 PARAMS: dict[str, int | str] = {
     "min_messages": 5, "most_reads": 5, "sort": "recent", "project": "-Users-dev-code-app1", "kind": "file_write", "name": "code-app3", "prefix": "e1", "role": "assistant",
-    "from_s": 1704500000, "to_s": 1705500000, "status": "failed", "now_s": 1800000000,
+    "session": "", "target": "", "of_project": "", "from_s": 1704500000, "to_s": 1705500000, "status": "failed", "now_s": 1800000000,
 }
 
 
@@ -179,6 +181,8 @@ SELECT session_id, min(sequence) AS sequence
 FROM {messages}
 WHERE role = 'user' AND content IS NOT NULL AND length(trim(content)) > 0
 GROUP BY session_id"""
+#: The first message of a user that is not boilerplate.
+FIRST_MEANT = FIRST_USER.replace("GROUP BY", "  AND " + " AND ".join(f"NOT lower(trim(content)) LIKE {quoted(p + '%')}" for p in BOILERPLATE) + " AND substr(trim(content), 1, 1) NOT IN ('{{', '[')\nGROUP BY")
 RECENT = """
 SELECT *
 FROM (SELECT s.*, row_number() OVER (PARTITION BY project
@@ -295,7 +299,7 @@ SELECT s.session_id, s.project, s.message_count, s.created_at, s.updated_at, coa
   0) AS tokens_out, coalesce(p.tool_calls, 0) AS tool_calls
 FROM {{sessions}} s
 LEFT JOIN ({PER_SESSION}) p ON p.session_id = s.session_id
-WHERE s.message_count > {{min_messages}}
+WHERE s.message_count > {{min_messages}} AND ({{of_project}} = '' OR s.project = {{of_project}})
 ORDER BY CASE WHEN {{sort}} = 'messages' THEN s.message_count WHEN {{sort}} = 'tokens' THEN coalesce(p.tokens_in,
   0) + coalesce(p.tokens_out, 0) ELSE 0 END DESC, s.updated_at DESC NULLS LAST, s.session_id LIMIT 50""",
     "session_by_prefix": """
@@ -338,7 +342,7 @@ ORDER BY n DESC, project LIMIT 1""",
 SELECT a.session_id, a.artifact_type, a.target, a.sequence
 FROM {artifacts} a
 JOIN {sessions} s ON s.session_id = a.session_id
-WHERE s.project = {project} AND a.artifact_type = {kind}
+WHERE ({project} = '' OR s.project = {project}) AND ({kind} = '' OR a.artifact_type = {kind}) AND ({session} = '' OR a.session_id = {session}) AND ({target} = '' OR a.target = {target})
 ORDER BY a.id DESC LIMIT 100""",
     "key_files_read": KEY_READ,
     "key_files_modified": KEY_MODIFIED,
@@ -634,7 +638,7 @@ WHERE n <= 3""",
     "recent_sessions": f"""
 SELECT r.project, r.session_id, r.message_count, substr(i.content, 1, 200) AS intent, t.tool, t.n
 FROM ({RECENT}) r
-LEFT JOIN ({FIRST_USER}) f ON f.session_id = r.session_id
+LEFT JOIN ({FIRST_MEANT}) f ON f.session_id = r.session_id
 LEFT JOIN {{messages}} i ON i.session_id = f.session_id AND i.sequence = f.sequence
 LEFT JOIN (SELECT session_id, tool, n
 FROM (SELECT session_id, tool_name AS tool, count(*) AS n, row_number() OVER (PARTITION BY session_id
@@ -677,11 +681,11 @@ WHERE artifact_type LIKE 'file%' AND target NOT LIKE '%*%'
 GROUP BY session_id, target""",
     "graph_co_change": f"SELECT file_a, file_b, co_sessions FROM ({CO_CHANGE}) c WHERE co_sessions >= 2",
     "graph_errors": f"""
-SELECT substr(target, 1, 100) AS pattern, min(target) AS message, count(*) AS frequency, min(sequence) AS first_sequence, max(sequence)
-  AS last_sequence
-FROM {{artifacts}}
-WHERE artifact_type = 'error' AND {real_error()}
-GROUP BY substr(target, 1, 100)""",
+SELECT substr(a.target, 1, 100) AS pattern, min(a.target) AS message, count(*) AS frequency, min(m.timestamp) AS first_seen, max(m.timestamp) AS last_seen
+FROM {{artifacts}} a
+LEFT JOIN {{messages}} m ON m.id = a.id
+WHERE a.artifact_type = 'error' AND {real_error('a.')}
+GROUP BY substr(a.target, 1, 100)""",
     "causes_error": f"""
 SELECT c.pattern, c.path, c.n, {quotient('c.n', 'greatest(coalesce(w.writes, 0), 1)', 6)} AS ratio
 FROM ({CAUSES}) c

@@ -54,7 +54,7 @@ APART: dict[str, str] = {
     "tested_by": f"SELECT CASE WHEN ta THEN file_b ELSE file_a END AS source, CASE WHEN ta THEN file_a ELSE file_b END AS test_file, co_sessions FROM (SELECT *, {_TEST.format(f='file_a')} AS ta, {_TEST.format(f='file_b')} AS tb FROM ({_PAIRS})) WHERE ta <> tb",
     "causes_error": f"SELECT pattern, path, n, CAST((2000000 * n + g) // (2 * g) AS DOUBLE) / 1.0E6 AS ratio FROM (SELECT c.*, greatest((SELECT count(*) FROM ({_WRITES}) v WHERE v.target = c.path), 1) AS g FROM ({_CAUSES}) c)",
     "danger_ratio": f"SELECT path, CAST((2000000 * n + g) // (2 * g) AS DOUBLE) / 1.0E6 AS danger_ratio FROM (SELECT path, CAST(sum(n) AS BIGINT) AS n, greatest((SELECT count(*) FROM ({_WRITES}) v WHERE v.target = path), 1) AS g FROM ({_CAUSES}) WHERE NOT contains(path, '*') GROUP BY path)",
-    "read_loops": "SELECT session_id, target, count(*) AS reads FROM {artifacts} WHERE artifact_type = 'file_read' GROUP BY ALL HAVING count(*) >= 6",
+    "read_loops": "SELECT session_id, target, count(*) AS reads FROM {artifacts} WHERE artifact_type = 'file_read' GROUP BY ALL HAVING count(*) >= 2",
     "first_messages_tools": "SELECT ifnull(tool_name, 'none') AS tool, count(*) AS n FROM {messages} WHERE sequence <= 9 GROUP BY ALL",
     "file_history": f"SELECT t.target, count(*) FILTER (WHERE artifact_type = 'file_read') AS reads, count(*) FILTER (WHERE artifact_type IN ('file_write', 'file_create')) AS writes, greatest(count(DISTINCT session_id) FILTER (WHERE artifact_type = 'file_read'), count(DISTINCT session_id) FILTER (WHERE artifact_type = 'file_write'), count(DISTINCT session_id) FILTER (WHERE artifact_type = 'file_create')) AS sessions, any_value(x.last_error) AS last_error, any_value(x.at) AS last_error_at FROM {{artifacts}} t LEFT JOIN (SELECT w.target, arg_max(left(e.target, 80), e.id) AS last_error, max(e.id) AS at FROM ({_WRITES}) w JOIN ({_ERRORS}) e USING (session_id) GROUP BY w.target) x ON x.target = t.target WHERE starts_with(artifact_type, 'file') GROUP BY t.target",
     "sessionize": f"WITH {_SESSIONS % 600} SELECT project, ordinal, min(id) AS first_call, count(*) AS turns, min(timestamp) AS started_at, max(timestamp) AS ended_at FROM s GROUP BY ALL",

@@ -174,8 +174,17 @@ def editor_messages(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(rows).select("session_id", "sequence", "x.role", "x.content", "timestamp", "x.tool_name", "x.output", "file")
 
 
+def _since_first() -> Column:
+    """Minutes and seconds since the first row of the session; null without a time."""
+    at = F.try_to_timestamp("timestamp")
+    first = F.min_by(at, "sequence").over(Window.partitionBy("session_id"))
+    passed = F.floor(F.unix_micros(at) / 1_000_000 - F.unix_micros(first) / 1_000_000).cast("long")
+    two = lambda n: F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
+    return F.concat(two(F.floor(passed / 60)), F.lit(":"), two(F.pmod(passed, F.lit(60))))
+
+
 def trail(spark: SparkSession, path: str) -> DataFrame:
-    """The tool calls of chat transcripts with their results: sequence, timestamp, tool, file, command, exit code and error."""
+    """The tool calls of chat transcripts with their results: sequence, timestamp, tool, file, command, exit code and error, and the time since the session's first call as mm:ss."""
     from tessella.functions.text import exit_code
 
     found = lines(spark, path).select("session_id", "place", get(F.col("v"), "$.type").alias("kind"), get(F.col("v"), "$.timestamp").alias("timestamp"), F.posexplode(get(F.col("v"), "$.message.content", "array<variant>")).alias("part", "b"))
@@ -190,7 +199,7 @@ def trail(spark: SparkSession, path: str) -> DataFrame:
     code = F.when(F.col("name") == "Bash", exit_code(output, failed))
     file = F.when(F.col("name").isin("Glob", "Grep"), F.coalesce(get(i, "$.path"), get(i, "$.file_path"))).otherwise(get(i, "$.file_path"))
     named = output.rlike(r"^Exit code \d+") & (F.col("name") == "Bash")
-    return uses.join(results, ["session_id", "id"], "left").select("session_id", "sequence", "timestamp", F.upper("name").alias("tool"), file.alias("file_path"), get(i, "$.command").alias("command"), get(i, "$.old_string").alias("old_content"), F.coalesce(get(i, "$.new_string"), get(i, "$.content")).alias("new_content"), code.alias("exit_code"), F.when(named, code != 0).otherwise(failed).alias("is_error"))
+    return uses.join(results, ["session_id", "id"], "left").select("session_id", "sequence", "timestamp", F.upper("name").alias("tool"), file.alias("file_path"), get(i, "$.command").alias("command"), get(i, "$.old_string").alias("old_content"), F.coalesce(get(i, "$.new_string"), get(i, "$.content")).alias("new_content"), code.alias("exit_code"), F.when(named, code != 0).otherwise(failed).alias("is_error")).withColumn("since_first", _since_first())
 
 
 def sse_usage(streams: DataFrame) -> DataFrame:

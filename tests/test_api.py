@@ -21,6 +21,9 @@ def test_history(history):
     assert history.file_history("/src/mod1/f1.py")["reads"] > 0 and history.file_history("/none") is None
     assert history.search("how did the step failed with code", limit=5).count() > 0
     assert history.recall("add a button") is None
+    # Filters by name may be left out.
+    assert history.ask("artifacts_filter", project="", kind="").count() == 100 and {r["target"] for r in history.ask("artifacts_filter", project="", kind="", target="/src/mod1/f1.py").collect()} == {"/src/mod1/f1.py"}
+    assert {r["project"] for r in history.ask("list_sessions", min_messages=0, of_project="-Users-dev-code-app1").collect()} == {"-Users-dev-code-app1"}
     assert set(history.insights()) >= {"tool_usage", "topics"}
 
 
