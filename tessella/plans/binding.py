@@ -90,7 +90,7 @@ def worktrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "passed").when(F.col("o_orderstatus") == "O", "active").otherwise("failed")
     return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("e"), F.col("o_custkey") % 200).alias("session_id"), F.concat(F.lit("fix/"), F.col("o_custkey") % 50).alias("branch_name"), status.alias("status"),
                     F.concat(F.lit("repair order "), F.col("o_custkey") % 97, F.lit(" webhook")).alias("task_description"), F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b").alias("ab_variant_label"), _iso(F.col("o_orderdate")).alias("created_at"),
-                    _seconds("o_orderdate").alias("created_s"), F.col("o_totalprice").alias("price"))
+                    _seconds("o_orderdate").alias("created_s"), F.when(status != "active", _seconds("o_orderdate") + F.col("o_custkey") % 200 * 86400).alias("resolved_s"), F.col("o_totalprice").alias("price"))
 
 
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +162,8 @@ def stored(spark: SparkSession, path: str, number: int | None = None) -> dict:
             found = versions.table(spark, path, name, at) if name in TABLES and at else None
             if found is None:
                 raise KeyError(name)
+            if name == "checkpoints" and "files" in found.columns:
+                found = found.withColumn("file", F.explode_outer("files"))  # the plans take a row for each file
             self[name] = found
             return found
 
@@ -203,7 +205,8 @@ SELECT 'call-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, strftime(ts, '
     "worktrees": """
 SELECT o_orderkey AS id, 'e' || (o_custkey % 200) AS session_id, 'fix/' || (o_custkey % 50) AS branch_name, CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN 'active' ELSE 'failed' END AS status,
   'repair order ' || (o_custkey % 97) || ' webhook' AS task_description, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS ab_variant_label, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS created_at,
-  date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) AS created_s, o_totalprice AS price FROM orders""",
+  date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) AS created_s, CASE WHEN o_orderstatus <> 'O' THEN date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) + o_custkey % 200 * 86400 END AS resolved_s,
+  o_totalprice AS price FROM orders""",
     "cycles": """
 SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS worktree_id, CAST(l_linenumber AS BIGINT) AS cycle_number, 'Error in part ' || (l_partkey % 50) AS trigger_error,
   CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'passed' ELSE 'escalated' END AS outcome, CAST(floor(l_quantity) AS BIGINT) * 10 AS duration_seconds, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS created_at,

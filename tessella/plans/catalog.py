@@ -202,7 +202,7 @@ def lower(metric: str) -> str:
 
 WORKTREE_RESULT = f"""
 SELECT w.id, w.ab_variant_label, w.status, t.last_s - t.first_s AS duration_seconds, coalesce(c.cycles, 0) AS cycles, coalesce(k.files, 0) AS snapshot_files, coalesce(c.failures, 0) AS failures
-FROM {{worktrees}} w JOIN (SELECT id, min(s) AS first_s, max(s) AS last_s FROM (SELECT id, created_s AS s FROM {{worktrees}} UNION ALL SELECT worktree_id, created_s FROM {{cycles}} UNION ALL SELECT worktree_id, created_s FROM {{checkpoints}}) u GROUP BY id) t ON t.id = w.id
+FROM {{worktrees}} w JOIN (SELECT id, min(s) AS first_s, max(s) AS last_s FROM (SELECT id, created_s AS s FROM {{worktrees}} UNION ALL SELECT id, resolved_s FROM {{worktrees}} UNION ALL SELECT worktree_id, created_s FROM {{cycles}} UNION ALL SELECT worktree_id, created_s FROM {{checkpoints}}) u GROUP BY id) t ON t.id = w.id
 LEFT JOIN (SELECT worktree_id, count(*) AS cycles, count(CASE WHEN outcome = 'failed' THEN 1 END) AS failures FROM {{cycles}} GROUP BY worktree_id) c ON c.worktree_id = w.id
 LEFT JOIN (SELECT worktree_id, count(DISTINCT file) AS files FROM {{checkpoints}} GROUP BY worktree_id) k ON k.worktree_id = w.id"""
 

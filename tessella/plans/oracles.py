@@ -64,6 +64,9 @@ APART: dict[str, str] = {
     "turn_metrics": f"WITH {_LISTS} SELECT s.project, s.ordinal, row_number() OVER w AS turn, input_tokens, output_tokens, CAST(sum(CAST(cost_estimate_usd AS DECIMAL(18, 6))) OVER w AS DOUBLE) AS cumulative_cost, CASE WHEN cache_read_tokens + input_tokens > 0 THEN (20000 * cache_read_tokens + cache_read_tokens + input_tokens) // (2 * (cache_read_tokens + input_tokens)) / 10000.0E0 ELSE 0.0E0 END AS cache_hit_ratio, tools_used FROM s WINDOW w AS (PARTITION BY project, ordinal ORDER BY ts_s, id)",
     "variant_comparison": f"WITH {_LISTS} SELECT ifnull(variant, 'baseline') AS variant, count(*) AS sessions, {_mean('first_edit', 4)} AS first_edit, {_mean('exploration_turns', 4)} AS exploration_turns, {_mean(_MICROS.format(c='exploration_cost'), 0)} / 1000000.0E0 AS exploration_cost, {_mean('turns', 4)} AS turns, {_mean(_MICROS.format(c='total_cost'), 0)} / 1000000.0E0 AS cost, {_mean('reads_before_edit', 4)} AS reads, {_mean('errors_count', 4)} AS errors FROM m WHERE turns > 2 GROUP BY 1",
     "variant_by_length": f"WITH {_LISTS} SELECT ifnull(variant, 'baseline') AS variant, length_category, count(*) AS sessions, {_mean('turns', 4)} AS turns, {_mean(_MICROS.format(c='total_cost'), 0)} / 1000000.0E0 AS cost FROM m GROUP BY 1, 2",
+    "worktree_result": "SELECT w.id, w.ab_variant_label, w.status, greatest(w.created_s, ifnull(w.resolved_s, w.created_s), ifnull(c.hi, w.created_s), ifnull(k.hi, w.created_s)) - least(w.created_s, ifnull(w.resolved_s, w.created_s), ifnull(c.lo, w.created_s), ifnull(k.lo, w.created_s)) AS duration_seconds, ifnull(c.n, 0) AS cycles, ifnull(k.n, 0) AS snapshot_files, ifnull(c.failed, 0) AS failures FROM {worktrees} w LEFT JOIN (SELECT worktree_id, min(created_s) AS lo, max(created_s) AS hi, count(*) AS n, count(*) FILTER (WHERE outcome = 'failed') AS failed FROM {cycles} GROUP BY ALL) c ON c.worktree_id = w.id LEFT JOIN (SELECT worktree_id, min(created_s) AS lo, max(created_s) AS hi, count(DISTINCT file) AS n FROM {checkpoints} GROUP BY ALL) k ON k.worktree_id = w.id",
+    "worktrees_by_status": "SELECT id, branch_name, task_description FROM (SELECT *, row_number() OVER (ORDER BY id DESC) AS place FROM {worktrees} WHERE status = 'failed') WHERE place <= 50",
+    "correction_counts": "SELECT worktree_id, count(*) AS cycles, max(cycle_number) AS latest, arg_max(outcome, {{n: cycle_number, o: outcome}}) AS latest_outcome FROM {cycles} GROUP BY ALL",
     "worktree_with_cycles": "SELECT w.id, w.branch_name, w.status, c.cycles, k.id AS checkpoint_id, k.git_sha FROM {worktrees} w LEFT JOIN (SELECT worktree_id, string_agg(cycle_number || ':' || outcome, ',' ORDER BY cycle_number, outcome) AS cycles FROM {cycles} GROUP BY worktree_id) c ON c.worktree_id = w.id LEFT JOIN (SELECT * FROM {checkpoints} QUALIFY row_number() OVER (PARTITION BY worktree_id ORDER BY id DESC, git_sha DESC) = 1) k ON k.worktree_id = w.id",
     "last_session_summary": "SELECT s.project, s.session_id, s.message_count, count(DISTINCT a.target) FILTER (WHERE a.artifact_type IN ('file_write', 'file_create')) AS edited, coalesce(array_to_string(list_sort(list(DISTINCT a.target) FILTER (WHERE a.artifact_type IN ('file_write', 'file_create')))[1:3], ', '), '') AS files, arg_min(a.target, a.sequence) FILTER (WHERE a.artifact_type = 'command' AND NOT starts_with(a.target, 'cd') AND NOT starts_with(a.target, 'ls')) AS first_command, count(*) FILTER (WHERE a.artifact_type = 'command' AND NOT starts_with(a.target, 'cd') AND NOT starts_with(a.target, 'ls')) AS commands, count(*) FILTER (WHERE a.artifact_type = 'error') AS errors FROM (SELECT * FROM {sessions} QUALIFY row_number() OVER (PARTITION BY project ORDER BY updated_at DESC, session_id) = 1) s JOIN {artifacts} a USING (session_id) GROUP BY ALL UNION ALL SELECT s.project, s.session_id, s.message_count, NULL, NULL, NULL, NULL, NULL FROM (SELECT * FROM {sessions} QUALIFY row_number() OVER (PARTITION BY project ORDER BY updated_at DESC, session_id) = 1) s ANTI JOIN {artifacts} a USING (session_id)",
 }
