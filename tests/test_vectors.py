@@ -41,6 +41,18 @@ def test_only_pending_messages_are_embedded(spark, tmp_path):
     assert len(row["embedding"]) == 1024 and abs(sum(x * x for x in row["embedding"]) ** 0.5 - 127) < 2
 
 
+@pytest.fixture()
+def close_by(spark, tmp_path):
+    """Vectors that 8-bit integers do not tell apart, the nearest last."""
+    spark.createDataFrame([(i, [1.0, y]) for i, y in enumerate([0.0, 0.0036, 0.003, 0.002])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(9, "nothing", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_neighbours_by_whole_vectors(spark, close_by):
+    assert [tuple(r) for r in extra.knn(spark, close_by).collect()] == [(0, 0.0), (3, 2e-06), (2, 4e-06), (1, 6e-06)]
+
+
 @pytest.mark.parametrize("cells", [None, 2])
 def test_cells_find_the_nearest(spark, data, tmp_path, cells):
     held = extra._quantised(spark, data).cache()
