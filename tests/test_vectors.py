@@ -53,6 +53,10 @@ def test_neighbours_by_whole_vectors(spark, close_by):
     assert [tuple(r) for r in extra.knn(spark, close_by).collect()] == [(0, 0.0), (3, 2e-06), (2, 4e-06), (1, 6e-06)]
 
 
+def test_fused_ranks_are_those_of_whole_vectors(spark, close_by):
+    assert [r["id"] for r in extra.hybrid_rrf(spark, close_by).collect()] == [0, 3, 2, 1]
+
+
 @pytest.mark.parametrize("cells", [None, 2])
 def test_cells_find_the_nearest(spark, data, tmp_path, cells):
     held = extra._quantised(spark, data).cache()
