@@ -4,6 +4,7 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.api import History
 from tessella.operators import inverted, query_text, snippets, words
@@ -57,6 +58,20 @@ def test_only_the_buckets_of_the_words_are_read(both):
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:200] and "EqualTo(term,alpha)" in plan
 
 
+def test_a_frequent_word_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "BLOCK", 8)
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 7} " + "alpha " * (i % 5)) for i in range(800)], "id long, content string").repartition(4)
+    answers, files = [], []
+    for n, words_of_a_task in enumerate((10_000_000, 250)):
+        monkeypatch.setattr(inverted, "TASK_WORDS", words_of_a_task)
+        index = inverted.Inverted(spark, f"file://{tmp_path}/{n}", ("content",), stems=False)
+        index.add(docs)
+        rows = index._read("postings").where("term = 'alpha'").groupBy(F.input_file_name()).agg(F.sum("m").alias("m")).collect()
+        files.append([r["m"] for r in rows])
+        answers.append([sorted(map(tuple, x.collect())) for x in (index.best(["alpha", "w3"]), index.counts(), index.by_keywords(["alpha", "w3"]), index.matching('"alpha beta" NOT w1'))])
+    assert answers[0] == answers[1] and len(files[0]) == 1 and len(files[1]) > 4 and sum(files[1]) == 800 and max(files[1]) < 320
+
+
 def test_expressions_that_are_none():
     for text in ("", "alpha AND", "OR beta", "(alpha", "alpha)", "()", "alpha + ", "NOT alpha"):
         with pytest.raises(query_text.QuerySyntaxError):
