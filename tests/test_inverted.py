@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.api import History
 from tessella.operators import inverted, query_text, snippets, words
-from tessella.plans import binding
+from tessella.plans import binding, extra
 
 WORDS = ["alpha", "beta", "gamma", "delta", "alphabet", "Gammon", "naïve", "failing", "failed", "x1", "words", "word"]
 EXPRESSIONS = [
@@ -72,6 +72,15 @@ def test_a_frequent_word_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert answers[0] == answers[1] and len(files[0]) == 1 and len(files[1]) > 4 and sum(files[1]) == 800 and max(files[1]) < 320
 
 
+def test_texts_are_not_shuffled_to_a_few_hits(spark, data):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = extra.decisions(spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_expressions_that_are_none():
     for text in ("", "alpha AND", "OR beta", "(alpha", "alpha)", "()", "alpha + ", "NOT alpha"):
         with pytest.raises(query_text.QuerySyntaxError):
