@@ -12,7 +12,9 @@ position. What "best" means depends on the kind of model:
 
 No piece has a word-start mark after another character (checked when the model
 is read), so a text falls apart before each run of marks and the ids of a chunk
-are remembered per task in a table of bounded size.
+are remembered per task in a table of bounded size. No BPE piece is made across
+two characters that stand beside each other in no piece, so chunks end there too
+(where letters meet punctuation, say), which leaves far fewer different ones.
 
 Characters that no piece covers become byte pieces (or the unknown piece, in
 models without them), as in the published library.
@@ -22,7 +24,8 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -37,6 +40,8 @@ MARK = "▁"
 SLICE = 256
 #: Chunks remembered by a task, and the longest chunk worth remembering.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+#: Groups of characters that chunks are told apart by; smaller ones count as one.
+GROUPS = 16
 #: Fixed values of the published model format (piece types, model types, field numbers).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -106,6 +111,42 @@ class Model:
         return m
 
 
+class _Known(dict):
+    """Chunks and their ids as 32-bit integers, found when first asked for."""
+
+    def __init__(self, ids: Callable[[str], list[int]]):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array("i", self.ids(chunk)).tobytes()
+        if len(chunk) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+def _groups(pieces: Iterable[str]) -> list[str]:
+    """Characters in groups, the largest first: those of one piece are in one group; characters that never have a neighbour are in none."""
+    above: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while (up := above.setdefault(c, c)) != c:
+            above[c] = c = above.setdefault(up, up)
+        return c
+
+    for p in pieces:
+        first, *more = p.lstrip(MARK) or MARK
+        for c in more:
+            above[top(c)] = top(first)
+    found: dict[str, list[str]] = {}
+    for c in above:
+        found.setdefault(top(c), []).append(c)
+    sizes = sorted(map("".join, found.values()), key=len, reverse=True)
+    return sizes[: GROUPS - 1] + ["".join(sizes[GROUPS - 1 :])] * (len(sizes) >= GROUPS)
+
+
 class Codec:
     """Encodes and decodes texts with one model."""
 
@@ -116,7 +157,10 @@ class Codec:
         self.ids = {p: i for i, (p, t) in enumerate(zip(model.pieces, model.types)) if t in (NORMAL, USER_DEFINED)}
         self.chunked = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
-        self.known: dict[str, bytes] = {}
+        if model.kind == BPE and (groups := [re.escape(g) for g in _groups(self.ids)]):
+            runs = "|".join(f"[{g}]+" for g in groups)
+            self.chunks = re.compile(f"{MARK}*(?:{runs}|[^{MARK}{''.join(groups)}])|{MARK}+")
+        self.known = _Known(self._ids)
         self.apart: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
@@ -222,17 +266,7 @@ class Codec:
         text = self.normalised(text or "")
         if not self.chunked:
             return np.array(self._ids(text), dtype=np.int32).tobytes()
-        known, out = self.known, []
-        for chunk in self.chunks.findall(text):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = np.array(self._ids(chunk), dtype=np.int32).tobytes()
-                if len(chunk) <= REMEMBERED_CHARS:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.chunks.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), dtype=np.int32).tolist()

@@ -553,6 +553,25 @@ def test_sentencepieces_like_the_library(spark):
     assert sentencepieces.encode_texts(table(spark, []), model).count() == 0
 
 
+def test_chunks_of_sentencepieces_end_where_no_piece_goes_on():
+    codec = sentencepieces.Codec(sentencepieces.Model.parse(sentencepieces.model_bytes()))
+    said, ends = [f"{a}{b}" for a in ("house", "tion", "sea") for b in ("s", "bank", "lich", "ment")], [".", ",", ");", "?!", ":\n", "…", "数", "7"]
+    text = " ".join(w + e for w in said for e in ends)
+    assert codec.encode(text) == codec._ids(codec.normalised(text)) and len(codec.known) <= len(said) + 12 < len(said) * len(ends)
+    r = random.Random(11)
+    parts = [*said, *ends, " ", "  ", "\n\n", "▁", "▁▁", "─────", "الع", "数据获取一个", "\u0000", "🙂", "é", "\u0301", "[^-]\\", "3.14", "\t", "стран"]
+    for _ in range(300):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(30)))
+        assert codec.encode(text) == codec._ids(codec.normalised(text))
+    for fallback in (False, True):  # a small model with characters that have no piece of their own
+        pieces = ["<unk>", "ab", "a", "b", "▁", "▁a", "xy", "x", ".", ".."] + [f"<0x{i:02X}>" for i in range(256)] * fallback
+        types = [sentencepieces.UNKNOWN] + [sentencepieces.NORMAL] * 9 + [sentencepieces.BYTE] * 256 * fallback
+        small = sentencepieces.Codec(sentencepieces.Model(pieces, [-float(i) for i in range(len(pieces))], types, sentencepieces.BPE, fallback))
+        for _ in range(300):
+            text = "".join(r.choice("abxy. z??") for _ in range(r.randrange(20)))
+            assert small.encode(text) == small._ids(small.normalised(text))
+
+
 def test_sentencepieces_of_repeats_and_clashing_columns(spark):
     docs = table(spark, [(1, "same text"), (1, "same text"), (None, "same text")]).withColumn("ids", F.lit("x")).withColumn("n_tokens", F.lit(9))
     rows = sentencepieces.encode_texts(docs, sentencepieces.model_bytes()).collect()
