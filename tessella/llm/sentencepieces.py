@@ -32,6 +32,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,6 +173,8 @@ class Codec:
         plain = [t in (NORMAL, USER_DEFINED) for t in model.types]
         self.plain = np.array(plain)
         self.texts = [p.replace(MARK, " ") for p in model.pieces]
+        kinds = {BYTE: lambda i: bytes([int(model.pieces[i][3:5], 16)]), UNKNOWN: lambda i: " \u2047 ".encode(), CONTROL: lambda i: b""}
+        self.decoded = pa.array([kinds.get(t, lambda i: self.texts[i].encode())(i) for i, t in enumerate(model.types)], pa.binary())
 
     def _merge(self, text: str) -> list[str]:
         """Plain merging: again and again the neighbours whose join scores best, the leftmost of equals."""
@@ -290,6 +293,20 @@ class Codec:
         return text[1:] if m.dummy_prefix and text.startswith(" ") else text
 
 
+    def round_trips(self, lists: pa.ListArray, texts: pa.Array) -> list[bool]:
+        """Whether lists of ids (null: none) decode to ``texts`` (null: empty). Bytes are compared in whole columns; where they differ, the text is decoded by itself."""
+        texts = pc.fill_null(texts, "")
+        same = [False] * len(texts)
+        if texts.nbytes < 1 << 30:
+            joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.decoded.take(lists.values)), b"")
+            held = texts.cast(pa.binary())
+            same = pc.equal(joined, pc.binary_join_element_wise(b" ", held, b"") if self.model.dummy_prefix else held).to_pylist()
+        for i, found in enumerate(same):
+            if not found:
+                same[i] = self.decode(np.asarray(lists[i].values) if lists[i].is_valid else []) == texts[i].as_py()
+        return same
+
+
 @lru_cache(maxsize=4)
 def codec_of(data: bytes) -> Codec:
     return Codec(Model.parse(data))
@@ -324,7 +341,7 @@ def encode_texts(docs: DataFrame, model: bytes, decode: bool = True) -> DataFram
                 np.cumsum(sizes, out=offsets[1:])
                 flat = np.frombuffer(b"".join(ids), dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([t is None for t in texts]))
-                same = [not decode or codec.decode(np.frombuffer(x, dtype=np.int32)) == (t or "") for t, x in zip(texts, ids)]
+                same = codec.round_trips(lists, part.column("text")) if decode else [True] * len(texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(sizes, pa.int64()), pa.array(same)], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")

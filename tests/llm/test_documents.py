@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -570,6 +571,10 @@ def test_chunks_of_sentencepieces_end_where_no_piece_goes_on():
         for _ in range(300):
             text = "".join(r.choice("abxy. z??") for _ in range(r.randrange(20)))
             assert small.encode(text) == small._ids(small.normalised(text))
+        said = [None, "", "ab", " a  b ", "a▁b", "?z", "▁", "abxy..", None]
+        lists = pa.array([None if t is None else small.encode(t) for t in said], pa.list_(pa.int32()))
+        got = small.round_trips(lists, pa.array(said))
+        assert got == [small.decode(small.encode(t)) == (t or "") for t in said] and got[:3] == [True] * 3 and not got[4]
 
 
 def test_sentencepieces_of_repeats_and_clashing_columns(spark):
